@@ -5,11 +5,16 @@ from __future__ import annotations
 import importlib
 
 _OPS = {
+    "op1_fingerprints": "fingerprints",
     "op2_mixing": "mixing",
+    "op3_license_scan": "licenses",
     "op4_language_id": "langid",
     "op5_jaccard_join": "jaccard",
     "op6_decontamination": "decontaminate",
+    "op7_substring_dedup": "substrings",
+    "op8_pii": "pii",
     "op9_line_dedup": "lines",
+    "op10_run_index": "runindex",
 }
 
 
