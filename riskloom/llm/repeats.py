@@ -10,8 +10,9 @@ Items are words (op7) or bytes (op10). The common part of both:
 3. Of each mixed anchor's contents one copy each is fetched from the texts and sent to the anchor's shard, a reference
    of bounded size (``CROWD`` contents). There an index of the shard, built by the caller (a suffix automaton or a
    run-compressed Burrows-Wheeler transform), gives the matching statistics of every content.
-4. An anchor of more contents than a shard takes (a passage in very many contexts) is split by the finest key there is,
-   the window's own hash, and counted with map-side combining.
+4. An anchor of more contents than a shard takes (a passage in very many contexts) is halved: the windows reaching far
+   to its right get a longer anchor there, the others one to the left, and steps 2 and 3 go on with both. Every halving
+   leaves at most two rows per content, and a whole window is an anchor with one content, so it ends.
 
 Rows are named by document id, or by a hash of id and text where ids repeat or are null.
 """
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,24 +109,52 @@ def unique_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.col("doc_id") if named else F.xxhash64("doc_id", "text"))
 
 
-def _windows(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every window of every content of a crowded anchor."""
+def _halve(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cut each content of a crowded anchor in two: the windows that hold half of their free items right of the anchor,
+    and the others, which hold as many left of it. The longer stretch that the windows of a half have in common is
+    their new anchor. As before it depends on a window's content alone."""
+
+    def pieces(body: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
+        n = len(body) - items.window + 1
+        if low < 0:  # the anchor that the runs were cut by
+            sums = tk.prefix_sums(body, tk._WORD_BASE) if items.words else tk.byte_sums(body)
+            low = int(np.argmin(items.grams(sums)[: items.window - items.gram + 1]))
+            high = low + items.gram
+        half = (items.window - (high - low) + 1) // 2
+        cut = high + half - items.window
+        if n > cut:
+            first = max(0, cut)
+            yield first, body[first:], low - first, high + half - first
+        if cut > 0:
+            yield 0, body[: min(n, cut) + items.window - 1], cut - 1, high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            single = batch.column(2).to_numpy(zero_copy_only=False)
-            for row in range(batch.num_rows):
-                body = np.frombuffer(batch.column(3)[row].as_py(), np.uint64 if items.words else np.uint8)
-                sums = tk.prefix_sums(body, tk._WORD_BASE) if items.words else tk.byte_sums(body)
-                at = np.arange(len(body) - items.window + 1)
-                digest = items.span_hash(sums, at, at + items.window)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, keys[row])), pa.array((starts[row] + at).astype(np.int32)), pa.array(np.full(n, single[row])), pa.array(tk.signed(digest))], ["key", "start", "single", "w"])
+            out = []
+            for key, start, single, body, low, high in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                for first, part, begin, end in pieces(np.frombuffer(body, np.uint64 if items.words else np.uint8), low, high):
+                    digest = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in (part[begin:end], part)]
+                    out.append((*digest, key, start + first, single, begin, end, part.tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "c", "key", "start", "single", "low", "high", "body"])
 
     return run
 
 
+def _spread(crowded: DataFrame, items: Items, crowd: int) -> tuple[DataFrame | None, list[DataFrame], list[DataFrame]]:
+    """(still crowded, spans found, bodies that fit shards) after one halving of the crowded contents."""
+    halves = written(crowded.select("key", "start", "single", "body", "low", "high").mapInArrow(_halve(items), "a long, c long, key long, start int, single boolean, low int, high int, body binary"), "halves")
+    contents = halves.groupBy("a", "c").agg(F.count("*").alias("rows"), F.min("single").alias("single"), F.min_by(F.struct("key", "start", "low", "high", "body"), F.struct("key", "start")).alias("one"))
+    contents = written(contents.select("a", "c", (F.col("single") & (F.col("rows") == 1)).alias("single"), "one.*"), "half-contents")
+    again = halves.where("single").join(contents.where("not single").select("a", "c"), ["a", "c"])
+    spans = again.select("key", "start", (F.octet_length("body") / (8 if items.words else 1) - items.window + 1).cast("int").alias("n"))
+    anchors = contents.groupBy("a").agg(F.count("*").alias("d"), F.max("single").alias("open")).where("open and d > 1").select("a", (F.col("d") > crowd).alias("crowded"))
+    left = contents.join(anchors, "a").select("a", "key", "start", "single", "low", "high", "body", "crowded")
+    more = left.where("crowded").drop("crowded", "a")
+    return (None if more.isEmpty() else more), [spans], [left.where("not crowded").select("a", "key", "start", "single", "body")]
+
+
 #: Marks the repeated windows of a shard: (bodies, singles) of whole anchors -> for each body a mask of its windows.
 Matcher = Callable[[list[np.ndarray], list[int]], list[np.ndarray]]
 
@@ -180,12 +210,17 @@ def repeated_windows(keyed: DataFrame, items: Items, matcher: Matcher, shard: in
     parts = contents.join(open_, "a").select("key", F.struct("start", "n", "a", "key", "single", "crowded").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
     bodies = texts.join(parts, "key").groupBy("key", F.xxhash64("text")).agg(F.first("text").alias("text"), F.first("parts").alias("parts"))
     bodies = written(bodies.select("text", "parts").mapInArrow(items.contents(), "a long, key long, start int, single boolean, crowded boolean, body binary"), "bodies")
-    sharded = bodies.where("not crowded").select("a", "key", "start", "single", "body").repartition("a").sortWithinPartitions("a")
-    matched = sharded.mapInArrow(_shards(items, matcher, shard), "key long, start int, n int")
-    windows = bodies.where("crowded").select("key", "start", "single", "body").mapInArrow(_windows(items), "key long, start int, single boolean, w long")
-    twice = written(windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w"), "windows")
-    crowded = windows.where("single").join(twice, "w").select("key", "start", F.lit(1).alias("n"))
-    spans = copies.unionAll(again).unionAll(matched).unionAll(crowded)
+    fitting = bodies.where("not crowded").select("a", "key", "start", "single", "body")
+    spans = copies.unionAll(again)
+    crowded = bodies.where("crowded").select("key", "start", "single", "body", F.lit(-1).alias("low"), F.lit(-1).alias("high"))
+    while crowded is not None and not crowded.isEmpty():  # at most log2(window) times: a window whole is its own anchor
+        crowded, found_here, fit_here = _spread(crowded, items, crowd)
+        for more in found_here:
+            spans = spans.unionAll(more)
+        for more in fit_here:
+            fitting = fitting.unionAll(more)
+    sharded = fitting.repartition("a").sortWithinPartitions("a")
+    spans = spans.unionAll(sharded.mapInArrow(_shards(items, matcher, shard), "key long, start int, n int"))
     return spans.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
