@@ -128,6 +128,11 @@ def brand_words(spark, brands=BRANDS) -> DataFrame:
     return spark.createDataFrame(rows, "brand string, words string, n int, exact string")
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    """All runs of n consecutive words; what there is if the text has fewer."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+
+
 def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     """(text, name_brands, subject_brands, has_integration) for each distinct text of column ``text``.
 
@@ -146,7 +151,7 @@ def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     social = F.lit(False)
     for phrase in phrases:
         social = social | line.contains(f" {phrase} ")
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice("tokens", i, n), " ")) for n in range(1, longest + 1)]))
+    runs = F.flatten(F.array(*[_runs(F.col("tokens"), n) for n in range(1, longest + 1)]))
     read = read.select("text", "original", "has_integration", F.arrays_overlap("tokens", gate).alias("gated"), social.alias("social"), F.explode(F.array_distinct(runs)).alias("words"))
     hits = read.join(F.broadcast(listed), "words").where(F.col("exact").isNull() | F.array_contains("original", F.col("exact")))
     hits = hits.groupBy("text").agg(F.array_sort(F.collect_set(F.when(~F.col("gated"), F.col("brand")))).alias("name_brands"), F.array_sort(F.collect_set(F.when(~F.col("social"), F.col("brand")))).alias("subject_brands"))

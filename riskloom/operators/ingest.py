@@ -30,13 +30,13 @@ def _short(text: Column, most: int) -> Column:
     return text.isNotNull() & F.octet_length(text).between(1, most) & ~text.rlike(CONTROL)
 
 
-def structural_code(now_ns: Column | None = None) -> Column:
+def structural_code(now_ns: Column | None = None, instant: Column | None = None) -> Column:
     """First structural violation in the order id, subject, type, time, links; null if there is none.
 
     Times more than a day from ``now_ns`` (received_ns by default) are refused unless the row is a backfill.
     """
     now = F.col("received_ns") if now_ns is None else now_ns
-    at = parse_rfc3339(F.col("at"))
+    at = parse_rfc3339(F.col("at")) if instant is None else instant
     skew = F.abs(now - at["at_ns"]) > DAY_NS
     links = F.lit(True)
     for k in _HASHES:
@@ -57,53 +57,49 @@ def leaks(data: Column, kind: Column) -> Column:
     """Does any key or string of the JSON hold a control character, or an e-mail address outside a sent subject line?"""
     plain = F.to_json(F.try_parse_json(data))
     controls = F.regexp_replace(plain, r"\\\\", "").rlike(r"\\(?:u00(?:[01][0-9a-f]|7f|[89][0-9a-f])|[bfnrt])") | plain.rlike(CONTROL)
-    exempt = F.to_json(F.map_filter(F.from_json(plain, "map<string,string>"), lambda k, v: k != "subject_line"))
+    line = F.to_json(F.try_variant_get(F.try_parse_json(data), "$.subject_line", "variant"))
+    exempt = F.coalesce(F.replace(plain, F.concat(F.lit('"subject_line":'), line), F.lit('"subject_line":""')), plain)
     scanned = F.when(kind == "content.sent", exempt).otherwise(plain)
     return controls | F.coalesce(nfkc(scanned).rlike(EMAIL), F.lit(False))
 
 
 def redact(raw: DataFrame, null_is_absent: bool = False) -> DataFrame:
     """Adds the data fields as typed columns, name and subject skeletons, ``data`` reduced to what is allowed (unknown
-    types keep all of it), redaction_version, and ``reject_code`` (a structural one stays first)."""
+    types keep all of it), redaction_version, and ``reject_code`` (a structural one stays first).
+
+    Each step names its columns before the next one uses them, so no expression is written out twice in the plan.
+    """
     if "reject_code" not in raw.columns:
         raw = raw.withColumn("reject_code", F.lit(None).cast("string"))
     parsed = raw.withColumn("__v", F.try_parse_json(F.coalesce(F.col("data"), F.lit("{}"))))
-    bad = F.col("__v").isNull() | F.coalesce(leaks(F.col("data"), F.col("type")), F.lit(False))
-    columns: dict[str, Column] = {}
+    parsed = parsed.withColumn("__leak", F.col("__v").isNull() | F.coalesce(leaks(F.col("data"), F.col("type")), F.lit(False)))
+    seen = {f"__t_{name}": F.when(_of_type(name), F.expr(f"schema_of_variant(variant_get(__v, '$.{name}', 'variant'))")) for name in _SPECS}
+    typed = {name: F.when(_of_type(name), F.try_variant_get(F.col("__v"), f"$.{name}", DATA_TYPES[name].simpleString())) for name in _SPECS}
+    out = parsed.withColumns(seen | typed)
+    out = out.withColumns({name: mask_emails(F.col(name)) for name, spec in _SPECS.items() if spec.get("mask_email")})
+    bad = F.col("__leak")
     for name, spec in _SPECS.items():
-        here = _of_type(name)
-        found = F.expr(f"schema_of_variant(variant_get(__v, '$.{name}', 'variant'))")
+        found, value = F.col(f"__t_{name}"), F.col(name)
         if null_is_absent:
             found = F.nullif(found, F.lit("VOID"))
-        kind = FIELD_KIND[name]
-        shape = {"text": "^STRING$", "number": "^(?:BIGINT|DOUBLE|DECIMAL.*)$", "bool": "^BOOLEAN$"}[kind]
-        value = F.try_variant_get(F.col("__v"), f"$.{name}", DATA_TYPES[name].simpleString())
-        wrong = found.isNotNull() & ~found.rlike(shape)
+        shape = {"text": "^STRING$", "number": "^(?:BIGINT|DOUBLE|DECIMAL.*)$", "bool": "^BOOLEAN$"}[FIELD_KIND[name]]
+        wrong = ~found.rlike(shape)
         if spec.get("format"):
-            wrong = wrong | ~F.coalesce(value.rlike(FORMATS[spec["format"]]), F.lit(True))
-        if spec.get("mask_email"):
-            value = mask_emails(value)
+            wrong = wrong | ~value.rlike(FORMATS[spec["format"]])
         if spec.get("enum"):
-            wrong = wrong | ~F.coalesce(value.isin(*spec["enum"]), F.lit(True))
+            wrong = wrong | ~value.isin(*spec["enum"])
         if spec.get("positive_integer"):
-            wrong = wrong | ~F.coalesce((value > 0) & (value == F.floor(value)), F.lit(True))
-        if spec.get("max"):
-            value = truncate_utf8(value, spec["max"])
-        bad = bad | (here & F.coalesce(wrong, F.lit(False)))
-        columns[name] = F.when(here, value)
-    out = parsed.withColumns(columns)
+            wrong = wrong | (value <= 0) | (value != F.floor(value))
+        bad = bad | F.coalesce(wrong, F.lit(False))
     crossed = (F.col("type") == "content.sent") & F.col("recipient_hash").isNotNull() & (F.col("recipient_count") > 1)
+    out = out.withColumn("__bad", bad | F.coalesce(crossed, F.lit(False)))
+    out = out.withColumns({name: truncate_utf8(F.col(name), spec["max"]) for name, spec in _SPECS.items() if spec.get("max")})
     skeletons = {f"{n}_skeleton": skeleton(F.col(n)) for n, s in _SPECS.items() if s.get("skeleton")}
     out = out.withColumns(skeletons)
-    known = F.col("type").isin(*DATA_FIELDS)
     kept = F.to_json(F.struct(*sorted([*_SPECS, *skeletons])))
-    out = out.withColumn("data", F.when(known, kept).otherwise(F.coalesce(F.col("data"), F.lit("{}"))))
-    code = F.coalesce(
-        F.col("reject_code"),
-        F.when(bad | F.coalesce(crossed, F.lit(False)), "redaction_failed"),
-        F.when(F.octet_length("data") > MAX_DATA_BYTES, "too_large"),
-    )
-    return out.withColumn("reject_code", code).withColumn("redaction_version", F.lit(REDACTION_VERSION)).drop("__v")
+    out = out.withColumn("data", F.when(F.col("type").isin(*DATA_FIELDS), kept).otherwise(F.coalesce(F.col("data"), F.lit("{}"))))
+    code = F.coalesce(F.col("reject_code"), F.when(F.col("__bad"), "redaction_failed"), F.when(F.octet_length("data") > MAX_DATA_BYTES, "too_large"))
+    return out.withColumn("reject_code", code).withColumn("redaction_version", F.lit(REDACTION_VERSION)).drop("__v", "__leak", "__bad", *seen)
 
 
 def body_hash() -> Column:
@@ -114,9 +110,9 @@ def body_hash() -> Column:
 
 def prepare(raw: DataFrame, now_ns: Column | None = None, null_is_absent: bool = False) -> DataFrame:
     """Structural check, redaction, instant and body hash of raw events; ``reject_code`` is null for accepted rows."""
-    checked = redact(raw.withColumn("reject_code", structural_code(now_ns)), null_is_absent)
-    instant = parse_rfc3339(F.col("at"))
-    return checked.withColumns({"at_ns": instant["at_ns"], "at": instant["at"]}).withColumn("body_hash", body_hash())
+    raw = raw.withColumn("__at", parse_rfc3339(F.col("at")))
+    checked = redact(raw.withColumn("reject_code", structural_code(now_ns, F.col("__at"))), null_is_absent)
+    return checked.withColumns({"at_ns": F.col("__at.at_ns"), "at": F.col("__at.at")}).drop("__at").withColumn("body_hash", body_hash())
 
 
 def classify(events: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ KEY_SPACE = "ns-v1"
 def read_lines(spark: SparkSession, path: str, exact_lines: bool = True) -> DataFrame:
     """(source, line, value) of the lines that are not blank."""
     if exact_lines:
-        files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
         rows = files.select("source", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
     else:
         rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("line"), "value")
@@ -50,7 +50,8 @@ def read_events(spark: SparkSession, path: str, exact_lines: bool = True) -> tup
     rows = rows.select("source", "line", "value", broken.alias("broken"), "row.*")
     rows = rows.select("*", *[F.coalesce(F.col(f"links.{k}"), F.lit("")).alias(k) for k in LINK_KINDS]).drop("links")
     rows = rows.withColumns({"tenant": F.lit("eval"), "producer": F.coalesce("producer", F.lit("")), "id": F.coalesce(F.when(F.col("id") != "", F.col("id")), F.concat(F.lit("replay-line-"), "line"))})
-    at = parse_rfc3339(F.col("at"))
+    rows = rows.withColumn("instant", parse_rfc3339(F.col("at")))
+    at = F.col("instant")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     first = F.when(F.col("broken"), "bad_json").when(blank("subject") | blank("type") | blank("at"), "missing_field").when(at.isNull(), "bad_at")
     is_label = F.coalesce(F.col("type") == "label", F.lit(False))
