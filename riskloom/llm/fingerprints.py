@@ -101,13 +101,16 @@ def next_ids(ids: DataFrame, ranges: int = RANGES) -> DataFrame:
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text_head, next_hashes): the start of the next document that each text's edit takes, and the next one's anchors."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.groupBy("key").agg(F.max(F.expr("length(text) div 2").cast("int")).alias("need"), F.min(F.xxhash64("text")).alias("pick"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.coalesce(docs["doc_id"], F.lit(_NO_ID))
+    ids = docs.groupBy(key.alias("key")).agg(F.max(F.expr("length(text) div 2").cast("int")).alias("need"), F.min(F.xxhash64("text")).alias("pick"))
     wanted = next_ids(ids).select(F.col("next.key").alias("next_key"), F.col("next.pick").alias("pick"), F.col("key").alias("for_key"), "need")
-    given = docs.select("key", "text").join(wanted, F.col("key") == F.col("next_key")).where(F.xxhash64("text") == F.col("pick"))
+    # Both joins shuffle (doc_id, text) by the same key, so the texts are shuffled once and read twice; the choice among
+    # the texts of a repeated id is written so that it does not become a second join key.
+    given = docs.join(wanted, key == F.col("next_key")).where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)
     given = given.select("for_key", F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(anchors(F.col("text"))).alias("next_hashes"))
     given = given.groupBy("for_key").agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
-    return docs.join(given, docs["key"] == given["for_key"], "left").select("doc_id", "text", "head", "next_hashes")
+    return docs.join(given, key == F.col("for_key"), "left").select("doc_id", "text", "head", "next_hashes")
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
