@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.ingest import classify, prepare
 from ..operators.links import propagate_dirty
@@ -64,74 +65,62 @@ def dedup(events: DataFrame, delay: str = "24 hours") -> DataFrame:
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["tenant", "producer", "id"])
 
 
-class _Outcomes(StatefulProcessor):
-    """Keeps each id's first body hash for the time that repeats may take."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.body = handle.getValueState("body", "hash string", OUTCOME_TTL_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        known = self.body.get()[0] if self.body.exists() else None
-        for part in rows:
-            outcomes = []
-            for value in part.sort_values(["received_ns"], kind="stable")["body_hash"]:
-                outcomes.append("accepted" if known is None else "duplicate" if value == known else "conflict")
-                if known is None:
-                    known = value
-                    self.body.update((value,))
-            yield pd.DataFrame({"tenant": key[0], "producer": key[1], "id": key[2], "outcome": outcomes})
-
-    def close(self) -> None:
-        pass
-
-
-def outcomes(prepared: DataFrame) -> DataFrame:
-    """(tenant, producer, id, outcome) of a stream of prepared rows, by keyed state; needs the RocksDB state store."""
-    return prepared.select("tenant", "producer", "id", "body_hash", "received_ns").groupBy("tenant", "producer", "id").transformWithStateInPandas(
-        statefulProcessor=_Outcomes(), outputStructType="tenant string, producer string, id string, outcome string", outputMode="append", timeMode="ProcessingTime"
+def _classify_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps an id's first body hash for as long as repeats may come."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    known, newest = (state.get[0] if state.exists else None), 0
+    for part in parts:
+        found = []
+        newest = max(newest, int(part["at"].max().timestamp() * 1000))
+        for value in part.sort_values("received_ns", kind="stable")["body_hash"]:
+            found.append("accepted" if known is None else "duplicate" if value == known else "conflict")
+            known = known or value
+        yield pd.DataFrame({"tenant": key[0], "producer": key[1], "id": key[2], "outcome": found})
+    state.update((known,))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + OUTCOME_TTL_MS)
+
+
+def outcomes(prepared: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """(tenant, producer, id, outcome) of a stream of prepared rows, by keyed state that event time lets go."""
+    rows = prepared.withWatermark("at", delay).select("tenant", "producer", "id", "body_hash", "received_ns", "at")
+    return rows.groupBy("tenant", "producer", "id").applyInPandasWithState(
+        _classify_group, "tenant string, producer string, id string, outcome string", "hash string", "append", "EventTimeTimeout"
     )
 
 
-class _Timers(StatefulProcessor):
-    """Remembers the instants at which a subject's windows change and fires at the next of them."""
+def _exits(ms: int) -> list[int]:
+    """When an event at ``ms`` leaves the hour and the day window, rounded up to the step."""
+    return [-(-(ms + width) // STEP_MS) * STEP_MS for width in (3_600_000, 86_400_000)]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.at = handle.getListState("at", "ms long")
 
-    def _plan(self, after: int) -> None:
-        waiting = sorted({r[0] for r in self.at.get() if r[0] > after})
-        self.at.clear()
-        if waiting:
-            self.at.put([(x,) for x in waiting])
-        for registered in list(self.handle.listTimers()):
-            self.handle.deleteTimer(registered)
-        if waiting:
-            self.handle.registerTimer(waiting[0])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for ms in part["ms"].astype("int64"):
-                for width in (3_600_000, 86_400_000):
-                    self.at.appendValue((-(-(int(ms) + width) // STEP_MS) * STEP_MS,))
-        self._plan(timer_values.getCurrentWatermarkInMs())
-        yield pd.DataFrame({"tenant": [], "subject": [], "due_ms": []}).astype({"tenant": str, "subject": str, "due_ms": "int64"})
-
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        now = expired.getExpiryTimeInMs()
-        self._plan(now)
-        yield pd.DataFrame({"tenant": [key[0]], "subject": [key[1]], "due_ms": [now]})
-
-    def close(self) -> None:
-        pass
+def _time_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Remembers the instants at which a subject's windows change, and tells those that the watermark has passed."""
+    waiting = {int(x) for x in state.get[0].split(",")} if state.exists else set()
+    for part in parts:
+        waiting |= {x for ms in part["ms"].astype("int64") for x in _exits(int(ms))}
+    passed = state.getCurrentWatermarkMs()
+    due = sorted(x for x in waiting if x <= passed)
+    later = sorted(x for x in waiting if x > passed)
+    if later:
+        state.update((",".join(map(str, later)),))
+        state.setTimeoutTimestamp(later[0])
+    elif state.exists:
+        state.remove()
+    if due:
+        yield pd.DataFrame({"tenant": key[0], "subject": key[1], "due_ms": due})
 
 
 def rescore_timers(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """(tenant, subject, due_ms): event-time timers at the exits of the hour and day windows, in steps of five minutes."""
+    """(tenant, subject, due_ms): event-time timers at the exits of the hour and day windows, in steps of five minutes.
+
+    A subject's state is bounded by the steps of one day, however many events it has.
+    """
     own = events.where(F.col("type").isin("resource.created", "content.sent")).withWatermark("at", delay)
     rows = own.select("tenant", "subject", "at", F.floor(F.col("at_ns") / 1_000_000).cast("long").alias("ms"))
-    return rows.groupBy("tenant", "subject").transformWithStateInPandas(
-        statefulProcessor=_Timers(), outputStructType="tenant string, subject string, due_ms long", outputMode="append", timeMode="EventTime"
+    return rows.groupBy("tenant", "subject").applyInPandasWithState(
+        _time_group, "tenant string, subject string, due_ms long", "waiting string", "append", "EventTimeTimeout"
     )
 
 

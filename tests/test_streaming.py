@@ -1,3 +1,5 @@
+import datetime
+
 from pyspark.sql import functions as F
 from test_features import START, event, frame
 from test_library import raw
@@ -19,8 +21,9 @@ def test_ingest_twice(spark, tmp_path):
 
 
 def test_stateful_outcomes(spark, tmp_path):
-    kind = "tenant string, producer string, id string, body_hash string, received_ns long"
-    spark.createDataFrame([("t", "p", "1", "a", 1), ("t", "p", "1", "a", 2), ("t", "p", "1", "b", 3), ("t", "p", "2", "a", 1)], kind).write.parquet(str(tmp_path / "in"))
+    kind = "tenant string, producer string, id string, body_hash string, received_ns long, at timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([("t", "p", "1", "a", 1, at), ("t", "p", "1", "a", 2, at), ("t", "p", "1", "b", 3, at), ("t", "p", "2", "a", 1, at)], kind).write.parquet(str(tmp_path / "in"))
     stream = jobs.outcomes(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["id"], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
