@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 from .storage import table
 
-DIM = 1 << 13
+DIM = 1 << 12
 CENTROIDS = 4
-SAMPLE_PER_LANG = 1000
+SAMPLE_PER_LANG = 400
 MAX_LANGS = 64
 #: A text is rejected below this share of the lowest cosine in ten thousand of its language's training texts, and never
 #: above REJECT_MOST: a short text with a foreign notice in it is still text of its language.
@@ -45,8 +45,8 @@ def _codes(data: np.ndarray) -> np.ndarray:
     x = _MAP[data].astype(np.uint32)
     padded = np.append(x, np.array([32, 32], np.uint32))
     y, z = padded[1:-1], padded[2:]
-    three = ((x | y << np.uint32(8) | z << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(19)
-    two = ((x | y << np.uint32(8) | np.uint32(1 << 24)) * np.uint32(2246822519)) >> np.uint32(19)
+    three = ((x | y << np.uint32(8) | z << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(20)
+    two = ((x | y << np.uint32(8) | np.uint32(1 << 24)) * np.uint32(2246822519)) >> np.uint32(20)
     return np.concatenate([three[y != 32], two[x != 32]]).astype(np.int64)
 
 
@@ -118,9 +118,13 @@ def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
         picked = picked | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000)) < share))
     got = train.where(picked).select("lang", "text").mapInArrow(_sample_vectors, "lang string, vector binary").toArrow()
     names = np.array(got["lang"].to_pylist())
-    x = np.stack([np.frombuffer(v, np.float16) for v in got["vector"].to_pylist()]).astype(np.float32) if len(names) else np.zeros((0, DIM), np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = _unit(x * idf)
+    x = np.zeros((len(names), DIM), np.float32)
+    for k, vector in enumerate(got["vector"]):
+        x[k] = np.frombuffer(vector.as_buffer(), np.float16)
+    del got
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     langs, centres, floors = [], [], []
     for lang in sorted(set(names.tolist())):
         own = x[names == lang]

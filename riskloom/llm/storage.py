@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_folder, written
 
-__all__ = ["shared_folder", "table", "written"]
+__all__ = ["shared_folder", "small_batches", "table", "written"]
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole documents pass to Python in Arrow batches: a tenth of Spark's default rows, unless the session has its own."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -49,8 +49,8 @@ def _powers_upto(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < size."""
-    room = 1 << max(21, int(size - 1).bit_length())
-    if room > 1 << 22:
+    room = 1 << max(19, int(size - 1).bit_length())
+    if room > 1 << 20:
         _powers_upto.cache_clear()
     up, down = _powers_upto(int(base), room)
     return up[:size], down[:size]
