@@ -9,8 +9,8 @@ from riskloom.schema import DAY_NS, EVENTS, FEATURES, HOUR_NS, LOCAL_WEIGHTS, MI
 START = 1_700_000_000_000_000_000
 
 
-def event(at_ns, kind, **data):
-    row = {f.name: None for f in EVENTS} | {"tenant": "t", "producer": "", "id": f"e{at_ns}-{random.random()}", "subject": "s", "type": kind, "at_ns": at_ns}
+def event(at_ns, event_type, /, **data):
+    row = {f.name: None for f in EVENTS} | {"tenant": "t", "producer": "", "id": f"e{at_ns}-{random.random()}", "subject": "s", "type": event_type, "at_ns": at_ns}
     return row | data
 
 

@@ -135,8 +135,8 @@ def test_labels_and_keys(spark):
 # --- links ---
 
 
-def linked(at, subject, card, kind="resource.created", **data):
-    return event(at, kind, subject=subject, card_fingerprint_hash=card, **data)
+def linked(at, subject, card, event_type="resource.created", **data):
+    return event(at, event_type, subject=subject, card_fingerprint_hash=card, **data)
 
 
 def test_neighbours_are_as_of_and_capped(spark):
