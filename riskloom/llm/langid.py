@@ -4,8 +4,9 @@ Texts become TF-IDF vectors of letter n-grams (1 to 3 bytes of the lower-cased t
 sub-linear counts, unit length). Each language is several spherical k-means centroids; a text takes the language of the
 centroid of highest cosine and is rejected when even that one is farther than any but the oddest training text.
 
-Fitting uses a bounded sample: at most ``sample_per_lang`` labelled rows of each language, picked by a hash of the
-document id. Prediction reads every whole text and nothing but the text.
+Every language of the labelled rows is learnt, each from a bounded sample of its own: about ``sample_per_lang`` of its
+rows that have a letter, picked by a hash of the document id, and one at least. Vectors are fitted in one task a
+language; only centroids reach the driver. Prediction reads every whole text and nothing but the text.
 
 Defined cases: null text and text without a letter are ``und`` with score 0 and count as rejected; null languages and
 null ids are never learnt from; with nothing to learn from every text is ``und``; ties go to the first language in order.
@@ -23,12 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .storage import table
+from .storage import table, written
 
 DIM = 1 << 12
 CENTROIDS = 4
 SAMPLE_PER_LANG = 400
-MAX_LANGS = 64
 #: A text is rejected below this share of the lowest cosine in ten thousand of its language's training texts, and never
 #: above REJECT_MOST: a short text with a foreign notice in it is still text of its language.
 REJECT_SHARE = 0.5
@@ -72,7 +72,19 @@ def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if letters[row + k]:
                     vectors.append(_counts(data[offsets[k] : offsets[k + 1]]).astype(np.float16).tobytes())
                     keep.append(row + k)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(vectors, pa.binary())], ["lang", "vector"])
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(vectors, pa.binary())], ["lang", "hash", "vector"])
+
+
+def _rows_with_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: the number of vectors, and of those with each bucket."""
+    n, found = 0, np.zeros(DIM, np.int64)
+    for batch in batches:
+        n += batch.num_rows
+        for vector in batch.column(0):
+            found += np.frombuffer(vector.as_buffer(), np.float16) != 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([found.tobytes()], pa.binary())], ["n", "found"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -109,30 +121,36 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> LanguageModel:
-    """Fit on a hash sample of at most about ``sample_per_lang`` rows of each language of ``train``."""
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    picked = F.lit(False)
-    for lang, n in sizes.items():
-        share = int(min(1.0, sample_per_lang / n) * 1_000_000)
-        picked = picked | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000)) < share))
-    got = train.where(picked).select("lang", "text").mapInArrow(_sample_vectors, "lang string, vector binary").toArrow()
-    names = np.array(got["lang"].to_pylist())
-    x = np.zeros((len(names), DIM), np.float32)
-    for k, vector in enumerate(got["vector"]):
-        x[k] = np.frombuffer(vector.as_buffer(), np.float16)
-    del got
-    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    langs, centres, floors = [], [], []
-    for lang in sorted(set(names.tolist())):
-        own = x[names == lang]
-        c = _spherical_kmeans(own, centroids)
-        langs += [lang] * len(c)
-        centres.append(c)
-        floors += [min(REJECT_MOST, float(np.quantile((own @ c.T).max(1), 0.0001)) * REJECT_SHARE)] * len(c)
-    return LanguageModel(langs, idf, np.concatenate(centres) if centres else np.zeros((0, DIM), np.float32), np.array(floors))
+def _sample(train: DataFrame, sample_per_lang: float) -> DataFrame:
+    """(lang, hash, vector) of about ``sample_per_lang`` rows of each language: hashes below its share of all 64 bits, and the least."""
+    rows = train.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64(F.lit("langid"), F.col("doc_id")))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("__n"), F.min("hash").alias("__least"))
+    below = F.lit(2.0**64) * sample_per_lang / F.col("__n") - 2.0**63
+    picked = (F.col("__n") <= sample_per_lang) | (F.col("hash").cast("double") < below) | (F.col("hash") == F.col("__least"))
+    return rows.join(F.broadcast(sizes), "lang").where(picked).select("lang", "text", "hash").mapInArrow(_sample_vectors, "lang string, hash long, vector binary")
+
+
+def fit(train: DataFrame, sample_per_lang: float = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> LanguageModel:
+    """Fit every language of ``train`` on a hash sample of about ``sample_per_lang`` of its rows."""
+    sample = written(_sample(train, sample_per_lang), "language_sample")
+    n, found = 0, np.zeros(DIM, np.int64)
+    for part in sample.select("vector").mapInArrow(_rows_with_gram, "n long, found binary").toArrow().to_pylist():
+        n, found = n + part["n"], found + np.frombuffer(part["found"], np.int64)
+    idf = np.log((1 + n) / (1 + found)).astype(np.float32) + 1
+
+    def fit_one(own: pa.Table) -> pa.Table:
+        rows = sorted(zip(own["hash"].to_pylist(), own["vector"].to_pylist(), strict=True))  # the order of arrival varies
+        x = _unit(np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, v in rows]) * idf)
+        c = _spherical_kmeans(x, centroids)
+        floor = min(REJECT_MOST, float(np.quantile((x @ c.T).max(1), 0.0001)) * REJECT_SHARE)
+        k = len(c)
+        return pa.table({"lang": own["lang"][:1].to_pylist() * k, "k": pa.array(range(k), pa.int32()), "floor": [floor] * k, "centroid": [v.tobytes() for v in c.astype(np.float32)]})
+
+    got = sample.groupBy("lang").applyInArrow(fit_one, "lang string, k int, floor double, centroid binary").toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
+    centres = np.zeros((got.num_rows, DIM), np.float32)
+    for k, centroid in enumerate(got["centroid"]):
+        centres[k] = np.frombuffer(centroid.as_buffer(), np.float32)
+    return LanguageModel(got["lang"].to_pylist(), idf, centres, got["floor"].to_numpy())
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

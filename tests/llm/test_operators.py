@@ -122,6 +122,16 @@ def test_language_id(spark, sf_dir):
     assert [rows[k]["lang_pred"] for k in (1, 2, 4)] == ["und"] * 3 and all(rows[k]["rejected"] for k in rows)
 
 
+def test_every_language_is_learnt(spark):
+    names = [f"l{k:02d}" for k in range(70)]
+    rows = [(k, " ".join([chr(0x4E00 + 50 * (k % 70) + j) * 3 for j in range(20)]), names[k % 70], "s") for k in range(210)]
+    docs = spark.createDataFrame([*rows, *[(1000 + k, "...", "none", "s") for k in range(3)]], KIND)
+    for sample in (400, 0.0001):  # all rows, or a share far below a millionth
+        model = langid.fit(docs, sample_per_lang=sample)
+        assert sorted(set(model.langs)) == names
+        assert all(r["lang_pred"] == names[r["doc_id"] % 70] and not r["rejected"] for r in langid.predict(docs.where("lang <> 'none'"), model).collect())
+
+
 # --- op5 ---
 
 
