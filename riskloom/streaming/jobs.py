@@ -1,7 +1,8 @@
 """Streaming ingest, deduplication with conflicts, dirty subjects, incremental scoring and timers.
 
 Batches go through the batch operators in ``foreachBatch``; state lives either in the tables they append to, or in the
-stateful operators here. Late and future rows carry a reject code or are counted later; no watermark drops them silently.
+stateful operators here. Late and future rows carry a reject code or are counted later. Only ``rescore_timers`` has a
+watermark and drops rows older than it; state that grows with the log belongs in the RocksDB store.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from ..operators.ingest import classify, prepare
 from ..operators.links import propagate_dirty
 from ..schema import HOUR_NS
 
-OUTCOME_TTL_MS = 48 * 3_600_000
 STEP_MS = 300_000
 
 
@@ -60,33 +60,28 @@ def _log(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def dedup(events: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """Drop repeats of (tenant, producer, id) that come within the delay of one another."""
-    return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["tenant", "producer", "id"])
+def dedup(events: DataFrame) -> DataFrame:
+    """Drop repeats of (tenant, producer, id), however late they come; the state holds every id."""
+    return events.dropDuplicates(["tenant", "producer", "id"])
 
 
 def _classify_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps an id's first body hash for as long as repeats may come."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    known, newest = (state.get[0] if state.exists else None), 0
+    """Keeps an id's first body hash."""
+    known = state.get[0] if state.exists else None
     for part in parts:
         found = []
-        newest = max(newest, int(part["at"].max().timestamp() * 1000))
         for value in part.sort_values("received_ns", kind="stable")["body_hash"]:
             found.append("accepted" if known is None else "duplicate" if value == known else "conflict")
             known = known or value
         yield pd.DataFrame({"tenant": key[0], "producer": key[1], "id": key[2], "outcome": found})
     state.update((known,))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + OUTCOME_TTL_MS)
 
 
-def outcomes(prepared: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """(tenant, producer, id, outcome) of a stream of prepared rows, by keyed state that event time lets go."""
-    rows = prepared.withWatermark("at", delay).select("tenant", "producer", "id", "body_hash", "received_ns", "at")
+def outcomes(prepared: DataFrame) -> DataFrame:
+    """(tenant, producer, id, outcome) of a stream of prepared rows, one for each row; the state holds every id's first hash."""
+    rows = prepared.select("tenant", "producer", "id", "body_hash", "received_ns")
     return rows.groupBy("tenant", "producer", "id").applyInPandasWithState(
-        _classify_group, "tenant string, producer string, id string, outcome string", "hash string", "append", "EventTimeTimeout"
+        _classify_group, "tenant string, producer string, id string, outcome string", "hash string", "append", "NoTimeout"
     )
 
 
@@ -124,9 +119,12 @@ def rescore_timers(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def velocity(events: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """Resource and send counts of each subject by sliding hour, for dashboards; exact windows come from the features."""
-    own = events.where(F.col("type").isin("resource.created", "content.sent")).withWatermark("at", delay)
+def velocity(events: DataFrame) -> DataFrame:
+    """Resource and send counts of each subject by sliding hour, for dashboards; exact windows come from the features.
+
+    For update or complete mode: a window stays open to late and backfilled events, so its count is kept.
+    """
+    own = events.where(F.col("type").isin("resource.created", "content.sent"))
     return own.groupBy("tenant", "subject", F.window("at", "1 hour", "5 minutes")).agg(F.count_if(F.col("type") == "resource.created").alias("resources"), F.count_if(F.col("type") == "content.sent").alias("sends"))
 
 

@@ -59,3 +59,23 @@ def test_velocity_and_dedup(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     jobs.velocity(stream).writeStream.format("memory").queryName("velocity").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("velocity").agg(F.max("sends")).first()[0] == 2
+
+
+def test_late_backfilled_and_future_rows(spark, tmp_path):
+    kind = "tenant string, producer string, id string, subject string, type string, body_hash string, received_ns long, at timestamp, at_ns long"
+    now = datetime.datetime.now(datetime.UTC).replace(microsecond=0)
+    ages = {"1": 100, "future": -23, "late": 123, "ordinary": 99, "backfilled": 20_000}  # hours, in order of arrival
+    for k, (name, hours) in enumerate([*ages.items(), ("1", 100)]):
+        at = now - datetime.timedelta(hours=hours)
+        row = ("t", "p", name, name, "content.sent", "a", k, at, int(at.timestamp()) * 1_000_000_000)
+        spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name, job, mode="append"):
+        stream = job(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert query.awaitTermination(100)
+        return spark.table(name).collect()
+
+    assert sorted((r["id"], r["outcome"]) for r in run("outcomes_seen", jobs.outcomes)) == sorted([*((k, "accepted") for k in ages), ("1", "duplicate")])
+    assert sorted(r["id"] for r in run("dedup_seen", jobs.dedup)) == sorted(ages)
+    assert {r["subject"] for r in run("velocity_seen", jobs.velocity, "update")} == set(ages)
