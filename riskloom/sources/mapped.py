@@ -2,7 +2,7 @@
 
 signup -> subject.created, purchase -> payment.attempt, view -> content.sent, click -> resource.created; error becomes a
 permanent deletion, a label or a paid subscription by the number in ``props``. Link hashes come from user ids; names and
-subject lines are the first words of a document picked by event id.
+subject lines are the whole text of a document picked by event id.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def mapped_events(spark: SparkSession, sf_dir: str, texts: bool = False) -> Data
     out = e.select("event_id", *[v.alias(c) for c, v in values.items()])
     if texts:
         docs = read_table(spark, sf_dir, "documents")
-        heads = docs.select(F.col("doc_id").alias("__doc"), F.substring("text", 1, 48).alias("head"))
+        heads = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("head"))
         n = docs.agg(F.max("doc_id") + 1).first()[0] or 1
         out = out.join(heads, F.col("event_id") % n == F.col("__doc"), "left")
         out = out.withColumns({"name": F.when(F.col("type") == "resource.created", F.col("head")), "subject_line": F.when(F.col("type") == "content.sent", F.col("head"))})

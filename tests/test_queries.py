@@ -25,3 +25,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_mapped_texts_are_whole(spark, sf_dir):
+    from riskloom.sources.mapped import mapped_events
+
+    events = mapped_events(spark, sf_dir, texts=True).selectExpr("id", "coalesce(name, subject_line) text").where("text is not null")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("text")
+    assert events.where("length(text) > 48").count() and events.join(docs, "text", "left_anti").count() == 0
