@@ -3,15 +3,18 @@
 Every run of ``GRAM + KEEP - 1`` (10) consecutive words of either side keeps the minimum of its ``KEEP`` hashes of
 ``GRAM`` words, so two texts that share 10 words in a row share a kept fingerprint (the winnowing guarantee). Document
 fingerprints are joined with the benchmark's, and every hit is extended: the document windows that hold the hit are
-compared whole with the benchmark's windows. Items of fewer words than a window are one window of their own length and
-are looked up at every position.
+compared whole with the benchmark's windows, by hash and then by a 128-bit digest of their words. Items of fewer words
+than a window are one window of their own length and are looked up at every position.
 
-The benchmark side is the stated query set: it is cut into blocks of at most ``block_words`` words, each a broadcast of
-known size, and the documents stream past the blocks row by row without a shuffle. A larger benchmark means more blocks
-and the same result.
+The benchmark side is the stated query set: it is cut into blocks of about ``block_words`` words. A benchmark of one block
+is a broadcast of that size, and documents stream past it without a shuffle. Of a larger one, every block is a pass of its
+own over ids and texts whose result, a row for each document with a hit, is written before the next block is sent, so that
+one block at most is held at a time.
 
 Defined cases: null or empty text has no words and no hits; an item without words never occurs; repeated documents are
-each answered; repeated item ids are one item with all their windows; a null item id is never reported.
+each answered; repeated item ids are one item with all their windows; a null item id is never reported; item ids of any
+type are reported as strings; input columns named ``hits`` or ``items`` are kept as ``in_hits`` and ``in_items``
+(``decontaminate`` returns the input's columns unchanged).
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .storage import table
+from .storage import make_room, table, written
 
 WINDOW = 10
 GRAM = 5
@@ -38,9 +42,9 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, tk.Words]]:
         yield row, count, tk.Words(data, offsets, tk.ALPHANUMERIC, lower=True)
 
 
-def _kept(words: tk.Words, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kept(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the winnowed fingerprints."""
-    grams = tk.grams(sums, GRAM)
+    grams = tk.grams(words.hashes, GRAM)
     windows = tk.starts_within(words.rows, WINDOW)
     if not len(windows):
         return windows, grams[:0]
@@ -48,108 +52,129 @@ def _kept(words: tk.Words, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
+def _digest_of(words: tk.Words, start: int, size: int) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join([words.data[words.starts[k] : words.ends[k]].tobytes() for k in range(start, start + size)]))
+
+
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (kind, hash, item) per window and per fingerprint; kind is the window length, 0 for a fingerprint."""
+    """One row (kind, hash, digest, item) per window and per fingerprint; kind is the window length, 0 for a fingerprint."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for row, count, words in _words(batch.column(1)):
-            sums, out = words.sums(), []
-            owner = words.row_of()
-            lengths = np.diff(words.rows)
-            start = tk.starts_within(words.rows, WINDOW)
-            out.append((np.full(len(start), WINDOW), tk.word_span_hash(sums, start, start + WINDOW), owner[start]))
-            short = np.flatnonzero((lengths > 0) & (lengths < WINDOW))
-            out.append((lengths[short], tk.word_span_hash(sums, words.rows[short], words.rows[short + 1]), short))
-            at, fingerprint = _kept(words, sums)
-            out.append((np.zeros(len(at), int), fingerprint, owner[at]))
-            kind, digest, item = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(tk.signed(digest)), pa.array(ids[row : row + count][item].astype(np.int64))], ["kind", "hash", "item_id"])
+        ids = batch.column(0)
+        for row, _, words in _words(batch.column(1)):
+            owner, lengths = words.row_of(), np.diff(words.rows)
+            out = []
+            for size in range(1, WINDOW + 1):
+                start = tk.starts_within(words.rows, WINDOW) if size == WINDOW else words.rows[:-1][lengths == size]
+                out.append((np.full(len(start), size), tk.gram_hashes(words.hashes, start, size), [_digest_of(words, s, size) for s in start.tolist()], owner[start]))
+            at, fingerprint = _kept(words)
+            out.append((np.zeros(len(at), int), fingerprint, [b""] * len(at), owner[at]))
+            kind, digest, item = (np.concatenate([x[k] for x in out]) for k in (0, 1, 3))
+            exact = [d for x in out for d in x[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(tk.signed(digest.astype(np.uint64))), pa.array(exact, pa.binary()), ids.take(pa.array(row + item))], ["kind", "hash", "digest", "item_id"])
 
 
 class _Block:
-    """Sorted lookup arrays of one block of the benchmark."""
-
-    def __init__(self, rows: np.ndarray):
-        self.lengths = [int(k) for k in np.unique(rows["kind"]) if k and k < WINDOW]
-        self.fingerprints = np.unique(rows["hash"][rows["kind"] == 0])
-        windows = np.unique(rows[rows["kind"] > 0][["kind", "hash", "item_id"]])
-        self.windows = {int(k): windows[windows["kind"] == k] for k in np.unique(windows["kind"])}
-
-    def lookup(self, kind: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mask of known hashes, and for each the range of its rows."""
-        known = self.windows.get(kind)
-        if known is None or not len(hashes):
-            none = np.zeros(len(hashes), np.int64)
-            return none > 0, none, none
-        low, high = np.searchsorted(known["hash"], hashes, "left"), np.searchsorted(known["hash"], hashes, "right")
-        return high > low, low, high
+    """Sorted lookup arrays of one block of the benchmark (kind, hash, digest, item_id)."""
+
+    def __init__(self, rows: pa.Table):
+        kind, hashes = (rows[c].to_numpy() for c in ("kind", "hash"))
+        self.lengths = [int(k) for k in np.unique(kind) if 0 < k < WINDOW]
+        self.fingerprints = np.unique(hashes[kind == 0])
+        self.items = sorted(set(rows["item_id"].to_pylist()))
+        number = {x: k for k, x in enumerate(self.items)}
+        self.windows = {}
+        for k in (*self.lengths, WINDOW):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(hashes[own], kind="stable")]
+            digests, items = (rows[c].take(pa.array(own)).to_pylist() for c in ("digest", "item_id"))
+            self.windows[k] = (hashes[own], digests, np.array([number[x] for x in items], np.int64))
 
     def match(self, words: tk.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, window starts, ids of an item each) of all occurrences in the slice."""
-        sums = words.sums()
+        """(length, window starts, number of an item each) of all occurrences in the slice."""
         found: list[tuple[int, np.ndarray]] = []
         if len(self.fingerprints):
-            at, fingerprint = _kept(words, sums)
+            at, fingerprint = _kept(words)
             hit = at[self.fingerprints[np.minimum(np.searchsorted(self.fingerprints, tk.signed(fingerprint)), len(self.fingerprints) - 1)] == tk.signed(fingerprint)]
             around = np.unique((hit[:, None] - np.arange(KEEP)[None, :]).ravel())
             found.append((WINDOW, np.intersect1d(around, tk.starts_within(words.rows, WINDOW), assume_unique=True)))
         found += [(k, tk.starts_within(words.rows, k)) for k in self.lengths]
         for length, start in found:
-            known, low, high = self.lookup(length, tk.signed(tk.word_span_hash(sums, start, start + length)))
-            start, low, high = start[known], low[known], high[known]
-            each = high - low
-            rows = np.repeat(low - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum()) if len(each) else low
-            yield length, np.repeat(start, each), self.windows[length]["item_id"][rows] if len(rows) else rows
-
-
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[np.ndarray]:
+            known, digests, items = self.windows[length]
+            own = tk.signed(tk.gram_hashes(words.hashes, start, length))
+            low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+            at, item = [], []
+            for k in np.flatnonzero(high > low).tolist():
+                exact = _digest_of(words, int(start[k]), length)
+                for j in range(low[k], high[k]):
+                    if digests[j] == exact:
+                        at.append(int(start[k]))
+                        item.append(int(items[j]))
+            yield length, np.array(at, np.int64), np.array(item, np.int64)
+
+
+def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[pa.Table]:
     """Windows and fingerprints of the benchmark, in blocks of about ``block_words`` words by item."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("string"), "text").where(F.col("item_id").isNotNull())
     n = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = 1 + int(n // 2) // block_words  # a word takes two bytes at least
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        got = own.mapInArrow(_item_rows, "kind int, hash long, item_id long").distinct().toArrow()
-        rows = np.zeros(got.num_rows, [("kind", np.int32), ("hash", np.int64), ("item_id", np.int64)])
-        for name in rows.dtype.names:
-            rows[name] = got[name].to_numpy()
-        yield rows
-    del spark
+        yield own.mapInArrow(_item_rows, "kind int, hash long, digest binary, item_id string").distinct().toArrow()
+
+
+_HITS, _ITEMS = "array<struct<start:int,end:int>>", "array<string>"
+
+
+def _overlaps(docs: DataFrame, rows: pa.Table) -> DataFrame:
+    """``docs`` with ``__hits`` and ``__items`` of one block added."""
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    names = docs.columns
+    hits_kind, items_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(shared.value)
+        for batch in batches:
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+            for row, _, words in _words(batch.column(names.index("text"))):
+                owner = words.row_of()
+                for length, start, item in block.match(words):
+                    line = owner[start]
+                    for r in np.unique(line):
+                        mine = line == r
+                        at = np.unique(start[mine]) - words.rows[r]
+                        cut = np.flatnonzero(np.diff(at) > length)
+                        first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + length
+                        spans[row + r] += [{"start": int(a), "end": int(b)} for a, b in zip(first, last, strict=True)]
+                        items[row + r] |= {block.items[k] for k in item[mine].tolist()}
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, hits_kind), pa.array([sorted(x) for x in items], items_kind)], names=[*batch.schema.names, "__hits", "__items"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(add, f"{fields}, __hits {_HITS}, __items {_ITEMS}")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFrame:
+    """``docs`` with ``__hits`` and ``__items`` over all blocks."""
+    blocks = benchmark_blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _overlaps(docs, first)
+    docs = docs.withColumn("__row", F.xxhash64("doc_id", "text"))  # rows of equal id and text have equal hits
+    slim = docs.select("__row", "text")
+    found = None
+    for rows in (first, second, *blocks):
+        part = _overlaps(slim, rows).where(F.size("__hits") > 0).groupBy("__row").agg(F.first("__hits").alias("__hits"), F.first("__items").alias("__items"))
+        part = written(part, "block-hits")
+        found = part if found is None else found.unionAll(part)
+    found = found.groupBy("__row").agg(F.flatten(F.collect_list("__hits")).alias("__hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    out = docs.join(found, "__row", "left").drop("__row")
+    return out.withColumns({"__hits": F.coalesce("__hits", F.array().cast(_HITS)), "__items": F.coalesce("__items", F.array().cast(_ITEMS))})
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``hits`` (array of word spans [start, end)) and ``items`` (array of item ids) added."""
-    if "hits" in docs.columns or "items" in docs.columns:
-        docs = docs.drop("hits", "items")
-    out = docs.withColumns({"hits": F.array().cast("array<struct<start:int,end:int>>"), "items": F.array().cast("array<long>")})
-    schema = out.schema
-    names = out.columns
-    for rows in benchmark_blocks(benchmark, block_words):
-        shared = out.sparkSession.sparkContext.broadcast(rows)
-
-        def add(batches: Iterator[pa.RecordBatch], shared=shared, names=tuple(names)) -> Iterator[pa.RecordBatch]:
-            block = _Block(shared.value)
-            for batch in batches:
-                spans, items = [list(x) for x in (batch.column(names.index(c)).to_pylist() for c in ("hits", "items"))]
-                for row, _, words in _words(batch.column(names.index("text"))):
-                    owner = words.row_of()
-                    for length, start, item in block.match(words):
-                        line = owner[start]
-                        for r in np.unique(line):
-                            mine = line == r
-                            at = np.unique(start[mine]) - words.rows[r]
-                            cut = np.flatnonzero(np.diff(at) > length)
-                            first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + length
-                            spans[row + r] = spans[row + r] + [{"start": int(a), "end": int(b)} for a, b in zip(first, last, strict=True)]
-                            items[row + r] = sorted({*items[row + r], *item[mine].tolist()})
-                arrays = [batch.column(k) for k in range(len(names))]
-                arrays[names.index("hits")] = pa.array(spans, batch.schema.field("hits").type)
-                arrays[names.index("items")] = pa.array(items, batch.schema.field("items").type)
-                yield pa.RecordBatch.from_arrays(arrays, names=list(names))
-
-        out = out.mapInArrow(add, schema)
-    return out
+    """``docs`` with ``hits`` (array of word spans [start, end)) and ``items`` (array of item ids as strings) added."""
+    docs = make_room(docs, "hits", "items")
+    return _marked(docs, benchmark, block_words).withColumnsRenamed({"__hits": "hits", "__items": "items"})
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +190,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += max(0, s[1] - max(end, s[0]))
                 end = max(end, s[1])
             n_hit.append(total)
-        sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+        sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n_words), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
@@ -173,17 +198,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    found = find_overlaps(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, block_words)
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    docs = docs.select("doc_id", "text")
+    found = _marked(docs, benchmark, block_words).select("doc_id", "text", "__hits", "__items")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without any hit, columns unchanged."""
-    return find_overlaps(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
+    return _marked(docs, benchmark, block_words).where(F.size("__hits") == 0).select(*docs.columns)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return contamination_report(docs, table(spark, sf_dir, "benchmark"))
 
 
 #: Enumerates every window of both sides; the same rows as the winnowed search.

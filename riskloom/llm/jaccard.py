@@ -13,7 +13,8 @@
 5. The links' connected components give the answer.
 
 Defined cases: null text or text without words has an empty set and is linked with nothing; fewer words than a shingle
-are one shingle; repeated ids are one node of the graph, each row with its own set; a null id answers with itself.
+are one shingle; repeated ids are one node of the graph, each row with its own set; a null id answers with itself; ids may
+be of any ordered type; only ``doc_id`` and ``text`` are read, and ``one_of_each`` returns the input's columns unchanged.
 """
 
 from __future__ import annotations
@@ -46,11 +47,14 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
     """(first row, sorted distinct shingle hashes of the slice's rows end to end, row offsets)."""
     for row, count, data, offsets in tk.slices(column):
         words = tk.Words(data, offsets, tk.NON_SPACE, lower=True)
-        sums, lengths = words.sums(), np.diff(words.rows)
+        lengths = np.diff(words.rows)
         start = tk.starts_within(words.rows, SHINGLE)
-        short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
-        owner = np.concatenate([np.repeat(np.arange(count), np.maximum(lengths - SHINGLE + 1, 0)), short])
-        value = np.concatenate([tk.word_span_hash(sums, start, start + SHINGLE), tk.word_span_hash(sums, words.rows[short], words.rows[short + 1])])
+        owners, values = [np.repeat(np.arange(count), np.maximum(lengths - SHINGLE + 1, 0))], [tk.gram_hashes(words.hashes, start, SHINGLE)]
+        for size in range(1, SHINGLE):  # whole texts of fewer words
+            short = np.flatnonzero(lengths == size)
+            owners.append(short)
+            values.append(tk.gram_hashes(words.hashes, words.rows[short], size))
+        owner, value = np.concatenate(owners), np.concatenate(values)
         order = np.lexsort((value, owner))
         owner, value = owner[order], value[order]
         new = np.ones(len(value), bool)
@@ -73,7 +77,7 @@ def _minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: id, set size, 128-bit set hash and the min-hash keys (none for an empty set)."""
+    """Per row: id, set size, 128-bit set hash and the min-hash keys (none for an empty set), each id as it came."""
     for batch in batches:
         for row, values, offsets in shingle_sets(batch.column(1)):
             n, size = len(offsets) - 1, np.diff(offsets)
@@ -183,13 +187,13 @@ class SignatureTree:
 
 def _join_block(block: pa.Table) -> pa.Table:
     """Links of one task: a part with itself, or two parts with each other."""
-    ids, part = block["rep"].to_numpy(), block["part"].to_numpy()
+    ids, part = block["rep"], block["part"].to_numpy()
     sets: list[np.ndarray] = []
     for chunk in block["text"].chunks:
         for _, values, offsets in shingle_sets(chunk):
             sets += [values[offsets[k] : offsets[k + 1]] for k in range(len(offsets) - 1)]
     found = SignatureTree(sets).links(part if len(np.unique(part)) > 1 else None)
-    return pa.table({"src": pa.array([int(ids[x]) for x, _ in found], pa.int64()), "dst": pa.array([int(ids[y]) for _, y in found], pa.int64())})
+    return pa.table({end: ids.take(pa.array([pair[k] for pair in found], pa.int64())) for k, end in enumerate(("src", "dst"))})
 
 
 def _parts(members: DataFrame, block: int) -> DataFrame:
@@ -208,8 +212,9 @@ def _parts(members: DataFrame, block: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = written(docs.mapInArrow(_sketches, "id long, n long, h1 long, h2 long, keys array<long>"), "sets")
+    docs = docs.select(F.col("doc_id").alias("id"), "text")
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = written(docs.mapInArrow(_sketches, f"id {kind}, n long, h1 long, h2 long, keys array<long>"), "sets")
     known = rows.where("id is not null and n > 0")
     classes = written(known.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "keys")).alias("x")).select("h1", "h2", F.col("x.id").alias("rep"), "x.n", "x.keys"), "classes")
     keys = classes.select("rep", F.explode("keys").alias("key"))
@@ -220,7 +225,7 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = docs.where("id is not null").join(blocks.select(F.col("node").alias("id")), "id", "left_semi")
     texts = texts.groupBy("id", F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"))
     tasks = _parts(members, block).join(texts, F.col("rep") == F.col("id")).select("component", "p", "q", "rep", "part", "text")
-    links = written(tasks.groupBy("component", "p", "q").applyInArrow(_join_block, "src long, dst long").where("src <> dst"), "links")
+    links = written(tasks.groupBy("component", "p", "q").applyInArrow(_join_block, f"src {kind}, dst {kind}").where("src <> dst"), "links")
     # the other documents of a class hang on its representative
     same = known.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     if known.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
@@ -236,9 +241,9 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of linked documents: the smallest id; documents without words all stay. Columns unchanged."""
     found = jaccard_components(docs).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
-    return kept.select(*docs.columns)
+    return docs.join(found, F.col("doc_id") == F.col("__drop"), "left_anti")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

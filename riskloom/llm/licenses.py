@@ -106,7 +106,7 @@ class TemplateIndex:
                 raise ValueError(f"template {name} has no words")
             total += len(words)
             size = min(SHINGLE, len(words))
-            grams = tk.grams(words.sums(), size)
+            grams = tk.grams(words.hashes, size)
             width = next((w for w in WIDTHS if len(grams) >= w + w // 2), 1)
             starts = np.arange(len(grams) - width + 1)
             slot = keys.setdefault((size, width), [[] for _ in range(BANDS if width > 1 else 1)])
@@ -127,10 +127,10 @@ class TemplateIndex:
                 order = np.argsort(key, kind="stable")
                 self.keys[kind].append((key[order], number[order], start[order]))
 
-    def candidates(self, words: tk.Words, sums: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def candidates(self, words: tk.Words) -> Iterator[tuple[int, int, int]]:
         """(template, first word at which it may start, row) of every retrieved pair, each once."""
         for (size, width), bands in self.keys.items():
-            grams = tk.grams(sums, size)
+            grams = tk.grams(words.hashes, size)
             starts = tk.starts_within(words.rows, size + width - 1)
             if not len(starts):
                 continue
@@ -150,14 +150,13 @@ class TemplateIndex:
 
     def places(self, words: tk.Words) -> dict[int, list[tuple[int, int, int, float]]]:
         """row -> (template, first word, end word, containment) of verified places, words counted from the row's start."""
-        sums = words.sums()
         best: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-        for number, start, row in self.candidates(words, sums):
+        for number, start, row in self.candidates(words):
             size, length = self.shingle[number], self.lengths[number]
             slack = length // 4
             low, high = max(int(words.rows[row]), start - slack), min(int(words.rows[row + 1]), start + length + slack)
             at = np.arange(low, high - size + 1)
-            grams = tk.word_span_hash(sums, at, at + size)
+            grams = tk.gram_hashes(words.hashes, at, size)
             mine = self.sets[number]
             hit = mine[np.minimum(np.searchsorted(mine, grams), len(mine) - 1)] == grams
             share = len(np.unique(grams[hit])) / len(mine)

@@ -5,16 +5,19 @@ Items are words (op7) or bytes (op10). The common part of both:
 1. Each window's anchor is the leftmost least hash of its Q-grams, which depends on the window's content alone: equal
    windows have equal anchors. Consecutive windows with one anchor form a run. A run is one small row (anchor hash,
    content hash, place), about one for every (L - Q) / 2 items.
-2. Anchors are counted with map-side combining. A run whose anchor is unique has no repeat; where all runs of an anchor
-   have one content, all of them are repeats. What is left are mixed anchors: several contents that may overlap in part.
-3. Of each mixed anchor's contents one copy each is fetched from the texts and sent to the anchor's shard, a reference
-   of bounded size (``CROWD`` contents). There an index of the shard, built by the caller (a suffix automaton or a
-   run-compressed Burrows-Wheeler transform), gives the matching statistics of every content.
+2. Anchors are counted with map-side combining. A run whose anchor is unique has no repeat. Of the others, equal rows
+   (same anchor and content hash) collapse into one content with the number of its rows, and nothing else is decided here.
+3. One copy of every content is fetched from the texts and sent to its anchor's shard, a reference of bounded size
+   (``CROWD`` contents to an anchor). There an index of the shard, built by the caller (a suffix automaton or a
+   run-compressed Burrows-Wheeler transform) that knows which contents occur more than once, gives the matching
+   statistics of every content, and they alone say which windows are repeats.
 4. An anchor of more contents than a shard takes (a passage in very many contexts) is halved: the windows reaching far
-   to its right get a longer anchor there, the others one to the left, and steps 2 and 3 go on with both. Every halving
+   to its right get a longer anchor there, the others one to the left, and step 3 goes on with both. Every halving
    leaves at most two rows per content, and a whole window is an anchor with one content, so it ends.
+5. The spans found in a content are joined back to its rows. Contents with more than one in ``HOT`` of all rows, fewer
+   than ``HOT`` by that, are broadcast; of the others none can fill a task.
 
-Rows are named by document id, or by a hash of id and text where ids repeat or are null.
+Rows are named by document id, or by a hash of id and text where ids repeat, are null or are no numbers.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from . import tokens as tk
 from .storage import written
 
 CROWD = 1000
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -42,30 +46,27 @@ class Items:
     gram: int
     words: bool
 
-    def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first row, row offsets in items, prefix sums, items) of each slice."""
+    def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, row offsets in items, items) of each slice."""
         for row, _, data, offsets in tk.slices(column):
             if self.words:
                 words = tk.Words(data, offsets, tk.NON_SPACE, lower=False)
-                yield row, words.rows, words.sums(), words.hashes
+                yield row, words.rows, words.hashes
             else:
-                yield row, offsets, tk.byte_sums(data), data
+                yield row, offsets, data
 
-    def grams(self, sums: np.ndarray) -> np.ndarray:
-        return tk.grams(sums, self.gram) if self.words else tk.byte_grams(sums, self.gram)
-
-    def span_hash(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (tk.word_span_hash if self.words else tk.byte_span_hash)(sums, start, stop)
+    def grams(self, items: np.ndarray) -> np.ndarray:
+        return (tk.grams if self.words else tk.byte_grams)(items, self.gram)
 
     def runs(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column(0).to_numpy()
-                for row, rows, sums, _ in self.read(batch.column(1)):
+                for row, rows, values in self.read(batch.column(1)):
                     starts = tk.starts_within(rows, self.window)
                     if not len(starts):
                         continue
-                    grams = self.grams(sums)
+                    grams = self.grams(values)
                     at = tk.sliding_min_at(grams, self.window - self.gram + 1)[starts]
                     new = np.ones(len(starts), bool)
                     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -73,7 +74,7 @@ class Items:
                     n = np.diff(np.append(first, len(starts)))
                     begin = starts[first]
                     owner = np.searchsorted(rows, begin, "right") - 1
-                    content = self.span_hash(sums, begin, begin + n + self.window - 1)
+                    content = tk.content_hashes(values, begin, begin + n + self.window - 1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[row + owner]), pa.array((begin - rows[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(tk.signed(grams[at[first]])), pa.array(tk.signed(content))],
                         ["key", "start", "n", "a", "c"],
@@ -82,12 +83,13 @@ class Items:
         return run
 
     def contents(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """From (text, parts array<struct<start, n, a, key, single, crowded>>) to one row with its items for every part."""
+        """From (text, parts array<struct<start, n, a, c, rows, crowded>>) to one row with its items for every part."""
+        names = ["a", "c", "rows", "crowded"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lists = batch.column(1)
-                for row, rows, sums, items in self.read(batch.column(0)):
+                for row, rows, values in self.read(batch.column(0)):
                     n_rows = len(rows) - 1
                     part = lists[row : row + n_rows].flatten()
                     if not len(part):
@@ -96,16 +98,17 @@ class Items:
                     base = np.repeat(rows[:-1], counts)
                     begin = base + part.field("start").to_numpy()
                     end = begin + part.field("n").to_numpy() + self.window - 1
-                    body = pa.array([items[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.field(name) for name in ("a", "key", "start", "single", "crowded")] + [body], ["a", "key", "start", "single", "crowded", "body"])
+                    body = pa.array([values[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.field(name) for name in names] + [body], [*names, "body"])
 
         return run
 
 
 def unique_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text), text not null; the key is the id, or a hash where ids do not name rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty()
+    """(key, doc_id, text), text not null; the key is the id, or a hash where ids do not name rows or are no numbers."""
+    integral = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id") if integral else "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    named = integral and docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty()
     return docs.withColumn("key", F.col("doc_id") if named else F.xxhash64("doc_id", "text"))
 
 
@@ -117,8 +120,7 @@ def _halve(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def pieces(body: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
         n = len(body) - items.window + 1
         if low < 0:  # the anchor that the runs were cut by
-            sums = tk.prefix_sums(body, tk._WORD_BASE) if items.words else tk.byte_sums(body)
-            low = int(np.argmin(items.grams(sums)[: items.window - items.gram + 1]))
+            low = int(tk.sliding_min_at(items.grams(body[: items.window]), items.window - items.gram + 1)[0])
             high = low + items.gram
         half = (items.window - (high - low) + 1) // 2
         cut = high + half - items.window
@@ -131,61 +133,59 @@ def _halve(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, start, single, body, low, high in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for a, c, rows, body, low, high in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 for first, part, begin, end in pieces(np.frombuffer(body, np.uint64 if items.words else np.uint8), low, high):
                     digest = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in (part[begin:end], part)]
-                    out.append((*digest, key, start + first, single, begin, end, part.tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "c", "key", "start", "single", "low", "high", "body"])
+                    out.append((a, c, first, *digest, rows, begin, end, part.tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["of_a", "of_c", "first", "a", "c", "rows", "low", "high", "body"])
 
     return run
 
 
-def _spread(crowded: DataFrame, items: Items, crowd: int) -> tuple[DataFrame | None, list[DataFrame], list[DataFrame]]:
-    """(still crowded, spans found, bodies that fit shards) after one halving of the crowded contents."""
-    halves = written(crowded.select("key", "start", "single", "body", "low", "high").mapInArrow(_halve(items), "a long, c long, key long, start int, single boolean, low int, high int, body binary"), "halves")
-    contents = halves.groupBy("a", "c").agg(F.count("*").alias("rows"), F.min("single").alias("single"), F.min_by(F.struct("key", "start", "low", "high", "body"), F.struct("key", "start")).alias("one"))
-    contents = written(contents.select("a", "c", (F.col("single") & (F.col("rows") == 1)).alias("single"), "one.*"), "half-contents")
-    again = halves.where("single").join(contents.where("not single").select("a", "c"), ["a", "c"])
-    spans = again.select("key", "start", (F.octet_length("body") / (8 if items.words else 1) - items.window + 1).cast("int").alias("n"))
-    anchors = contents.groupBy("a").agg(F.count("*").alias("d"), F.max("single").alias("open")).where("open and d > 1").select("a", (F.col("d") > crowd).alias("crowded"))
-    left = contents.join(anchors, "a").select("a", "key", "start", "single", "low", "high", "body", "crowded")
-    more = left.where("crowded").drop("crowded", "a")
-    return (None if more.isEmpty() else more), [spans], [left.where("not crowded").select("a", "key", "start", "single", "body")]
+def _spread(crowded: DataFrame, items: Items, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One halving of crowded contents (a, c, rows, low, high, body): (where each new content lies in the old ones, in how
+    many places each does, the new contents with ``crowded``)."""
+    schema = "of_a long, of_c long, first int, a long, c long, rows long, low int, high int, body binary"
+    halves = written(crowded.select("a", "c", "rows", "body", "low", "high").mapInArrow(_halve(items), schema), "halves")
+    contents = halves.groupBy("a", "c").agg(F.sum("rows").alias("rows"), F.count("*").alias("n"), F.first(F.struct("low", "high", "body")).alias("one"))
+    contents = written(contents.select("a", "c", "rows", "n", "one.*"), "half-contents")
+    anchors = contents.groupBy("a").agg((F.count("*") > crowd).alias("crowded"))
+    return halves.select("of_a", "of_c", "first", "a", "c"), contents.select("a", "c", "n"), contents.join(anchors, "a")
 
 
-#: Marks the repeated windows of a shard: (bodies, singles) of whole anchors -> for each body a mask of its windows.
-Matcher = Callable[[list[np.ndarray], list[int]], list[np.ndarray]]
+#: Marks the repeated windows of a shard: (bodies, group of each, how often each occurs) -> for each a mask of its windows.
+#: Bodies of one anchor are of one group; those of different groups need not be compared.
+Matcher = Callable[[list[np.ndarray], list[int], list[int]], list[np.ndarray]]
 
 
 def _shards(items: Items, matcher: Matcher, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stream rows sorted by anchor; index whole anchors, several to a shard of about ``size`` items, and match them."""
+    """Stream contents sorted by anchor; index whole anchors, several to a shard of about ``size`` items, and match them."""
 
-    def close(held: list[tuple[int, int, int, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def close(held: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         anchors = np.array([x[0] for x in held])
         group = np.cumsum(np.append(0, anchors[1:] != anchors[:-1])).tolist()
-        masks = matcher([x[4] for x in held], group)
-        key, start, n = [], [], []
-        for (_, k, s, single, _), mask in zip(held, masks, strict=True):
-            if single and mask.any():
+        masks = matcher([x[3] for x in held], group, [x[2] for x in held])
+        found = []
+        for (a, c, _, _), mask in zip(held, masks, strict=True):
+            if mask.any():
                 step = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                for a, b in zip(step[::2].tolist(), step[1::2].tolist(), strict=True):
-                    key.append(k)
-                    start.append(s + a)
-                    n.append(b - a)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["key", "start", "n"])
+                found += [(a, c, x, y - x) for x, y in zip(step[::2].tolist(), step[1::2].tolist(), strict=True)]
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["a", "c", "at", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bool, np.ndarray]] = []
+        held: list[tuple[int, int, int, np.ndarray]] = []
         total = 0
         for batch in batches:
-            for a, key, start, single, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for a, c, rows, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if total >= size and held[-1][0] != a:
                     yield from close(held)
                     held, total = [], 0
                 x = np.frombuffer(body, np.uint64 if items.words else np.uint8)
-                held.append((a, key, start, single, x))
+                held.append((a, c, rows, x))
                 total += len(x)
         if held:
             yield from close(held)
@@ -193,35 +193,43 @@ def _shards(items: Items, matcher: Matcher, size: int) -> Callable[[Iterator[pa.
     return run
 
 
-def repeated_windows(keyed: DataFrame, items: Items, matcher: Matcher, shard: int, crowd: int = CROWD) -> DataFrame:
+def _in_rows(rows: DataFrame, hits: DataFrame, sizes: DataFrame, hot: int) -> DataFrame:
+    """``rows`` (a, c, ...) joined with the ``spans`` found in their content; ``sizes`` (a, c, n) counts the rows."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = sizes.where(F.col("n") * hot > total).select("a", "c")  # fewer than ``hot`` contents
+    spans = hits.groupBy("a", "c").agg(F.collect_list(F.struct("at", "m")).alias("spans"))
+    often = rows.join(F.broadcast(heavy.join(spans, ["a", "c"])), ["a", "c"])
+    return often.unionAll(rows.join(F.broadcast(heavy), ["a", "c"], "left_anti").join(spans, ["a", "c"]))
+
+
+def repeated_windows(keyed: DataFrame, items: Items, matcher: Matcher, shard: int, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """(key, spans array<struct<start int, n int>>): the starts of all repeated windows of each row, as runs of n starts."""
     texts = keyed.select("key", "text")
-    runs = texts.mapInArrow(items.runs(), "key long, start int, n int, a long, c long")
-    anchors = runs.groupBy("a").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("rows > 1")
-    anchors = written(anchors.select("a", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
-    found = written(runs.join(anchors, "a"), "runs")
-    copies = found.where("not mixed").select("key", "start", "n")
-    mixed = found.where("mixed").drop("mixed")
-    contents = mixed.groupBy("a", "c").agg(F.count("*").alias("rows"), F.min(F.struct("key", "start", "n")).alias("one"))
-    contents = written(contents.select("a", "c", (F.col("rows") == 1).alias("single"), "one.*"), "contents")
-    again = mixed.join(contents.where("not single").select("a", "c"), ["a", "c"]).select("key", "start", "n")
-    # only anchors with a content that occurs once need matching
-    open_ = contents.groupBy("a").agg(F.count("*").alias("d"), F.max("single").alias("open")).where("open").select("a", (F.col("d") > crowd).alias("crowded"))
-    parts = contents.join(open_, "a").select("key", F.struct("start", "n", "a", "key", "single", "crowded").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
+    runs = written(texts.mapInArrow(items.runs(), "key long, start int, n int, a long, c long"), "runs")
+    anchors = written(runs.groupBy("a").agg(F.count("*").alias("rows")).where("rows > 1").select("a"), "anchors")
+    found = written(runs.join(anchors, "a", "left_semi"), "repeated-anchors")
+    contents = found.groupBy("a", "c").agg(F.count("*").alias("rows"), F.min(F.struct("key", "start", "n")).alias("one"))
+    contents = written(contents.select("a", "c", "rows", "one.*"), "contents")
+    sizes = contents.groupBy("a").agg((F.count("*") > crowd).alias("crowded"))
+    parts = contents.join(sizes, "a").select("key", F.struct("start", "n", "a", "c", "rows", "crowded").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
     bodies = texts.join(parts, "key").groupBy("key", F.xxhash64("text")).agg(F.first("text").alias("text"), F.first("parts").alias("parts"))
-    bodies = written(bodies.select("text", "parts").mapInArrow(items.contents(), "a long, key long, start int, single boolean, crowded boolean, body binary"), "bodies")
-    fitting = bodies.where("not crowded").select("a", "key", "start", "single", "body")
-    spans = copies.unionAll(again)
-    crowded = bodies.where("crowded").select("key", "start", "single", "body", F.lit(-1).alias("low"), F.lit(-1).alias("high"))
-    while crowded is not None and not crowded.isEmpty():  # at most log2(window) times: a window whole is its own anchor
-        crowded, found_here, fit_here = _spread(crowded, items, crowd)
-        for more in found_here:
-            spans = spans.unionAll(more)
-        for more in fit_here:
-            fitting = fitting.unionAll(more)
+    bodies = written(bodies.select("text", "parts").mapInArrow(items.contents(), "a long, c long, rows long, crowded boolean, body binary"), "bodies")
+    slim = ["a", "c", "rows", "body"]
+    levels: list[tuple[DataFrame, DataFrame]] = []  # where the contents of a halving lie in those before it
+    fitting = bodies.where("not crowded").select(*slim)
+    crowded = bodies.where("crowded").withColumns({"low": F.lit(-1), "high": F.lit(-1)})
+    while not crowded.isEmpty():  # at most log2(window) times: a window whole is its own anchor
+        places, sizes, halves = _spread(crowded, items, crowd)
+        levels.append((places, sizes))
+        fitting = fitting.unionAll(halves.where("not crowded").select(*slim))
+        crowded = halves.where("crowded")
     sharded = fitting.repartition("a").sortWithinPartitions("a")
-    spans = spans.unionAll(sharded.mapInArrow(_shards(items, matcher, shard), "key long, start int, n int"))
-    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    hits = written(sharded.mapInArrow(_shards(items, matcher, shard), "a long, c long, at int, m int"), "hits")
+    for places, sizes in reversed(levels):
+        up = _in_rows(places, hits, sizes, hot).select(F.col("of_a").alias("a"), F.col("of_c").alias("c"), "first", F.inline("spans"))
+        hits = written(hits.unionAll(up.select("a", "c", F.col("first") + F.col("at"), "m")), "hits")
+    spans = _in_rows(found, hits, contents.select("a", "c", F.col("rows").alias("n")), hot).select("key", "start", F.inline("spans"))
+    return spans.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), F.col("m").alias("n"))).alias("spans"))
 
 
 def covered(spans: list[dict] | None, window: int, size: int) -> np.ndarray:

@@ -1,15 +1,16 @@
 """Suffix-array dedup with a run-length index.
 
-A shard (see ``repeats``) is the contents of its anchors end to end, each closed by a separator of its own. Its suffixes
-are sorted by prefix doubling, which gives the Burrows-Wheeler transform; that is kept as runs, with the text positions
-of the suffixes at both ends of every run. The longest common prefix with the suffix above is measured at the first
-suffix of each run only: inside a run it is the one of the position before, less one, so it follows by streaming through
-the text (and likewise with the suffix below, from the last suffixes). The larger of both is the matching statistic of a
-position against the rest of the shard. Repetitive shards have few runs, and so few measurements.
+A shard (see ``repeats``) is the contents of its anchors end to end, each closed by a separator. Its suffixes are sorted by
+prefix doubling and its Burrows-Wheeler transform is cut into runs. Only the two ends of every run are kept: the text
+positions of the suffixes there, with how far each agrees with its neighbour across the border (both ends have that
+length in common). Inside a run a suffix agrees with its neighbour in one byte less than the position before does, so the
+matching statistics of all positions follow by streaming over the text from sample to sample. Sorted suffixes, ranks and
+text are dropped once the samples are taken. A content that occurs more than once lies in the index as one copy with a
+sample at its start that reaches to its end. Repetitive shards have few runs, and so few samples.
 
 Windows are 200 bytes of UTF-8; matches never cross documents. Defined cases: null text is empty; texts shorter than a
 window are never touched; repeated rows are repeats of each other; cuts may fall inside a character, so digests are of
-bytes.
+bytes; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -30,89 +31,94 @@ ITEMS = Items(window=WINDOW, gram=32, words=False)
 SHARD_BYTES = 1 << 19
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(order, rank, distinct values) of int64 keys."""
-    order = np.argsort(keys)
-    in_order = keys[order]
-    steps = np.zeros(len(keys), np.int64)
-    np.cumsum(in_order[1:] != in_order[:-1], out=steps[1:])
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = steps
-    return order, rank, int(steps[-1]) + 1 if len(keys) else 0
-
-
-def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, inverse) by prefix doubling; the last symbol must occur once."""
-    n, bits = len(symbols), int(symbols.max()).bit_length() + 1
-    first = max(1, 62 // bits)
-    padded = np.append(symbols + 1, np.zeros(first, np.int64))
-    key = np.zeros(n, np.int64)
-    for j in range(first):
-        key = key << bits | padded[j : j + n]
-    order, rank, distinct = _dense(key)
-    depth = first
-    while distinct < n:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - depth)] = rank[depth:] + 1
-        order, rank, distinct = _dense(rank * (n + 1) + second)
-        depth *= 2
-    return order, rank
+SEPARATOR = 0xFF  # no byte of UTF-8
+
+
+def _classes(sorted_keys: np.ndarray) -> np.ndarray:
+    """True where a class of equal keys starts."""
+    return np.append(True, sorted_keys[1:] != sorted_keys[:-1])
+
+
+class SuffixOrder:
+    """Suffixes of a text in order, by prefix doubling; each round sorts the suffixes that are still tied.
+
+    ``levels`` are the ranks by the first 8, 16, 32, ... bytes, from which common prefixes are read off exactly.
+    """
+
+    def __init__(self, text: np.ndarray):
+        n = len(text)
+        self.words = np.append(tk.byte_words(text, ">"), np.uint64(0))  # the eight bytes from each position
+        order = np.argsort(self.words[:n])
+        slots = np.arange(n)
+        start = _classes(self.words[order])
+        first = np.maximum.accumulate(np.where(start, slots, 0))
+        rank = np.full(n + 1, -1, np.int64)
+        rank[order] = first
+        self.levels = [rank.copy()]
+        tied = np.flatnonzero(~(start & np.append(start[1:], True)))
+        depth = 8
+        while len(tied):
+            at = order[tied]
+            keys = first[tied] << 32 | rank[np.minimum(at + depth, n)] + 1
+            by = np.argsort(keys)
+            order[tied] = at = at[by]
+            start = _classes(keys[by])
+            first[tied] = rank[at] = np.maximum.accumulate(np.where(start, tied, 0))
+            tied = tied[~(start & np.append(start[1:], True))]
+            depth *= 2
+            if len(tied):
+                self.levels.append(rank.copy())
+        self.order = order
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at a and at b (never the same)."""
+        length = np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            rank = self.levels[k]
+            length += (rank[a + length] == rank[b + length]) * (8 << k)
+        rest = self.words[a + length] ^ self.words[b + length]
+        for j in range(8):
+            length += (rest >> np.uint64(56 - 8 * j)) == 0
+        return length
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of several byte strings, with samples at both ends of each run."""
+    """Run-compressed Burrows-Wheeler transform of byte strings: for each end of a run its position and its reach.
 
-    def __init__(self, bodies: list[np.ndarray]):
-        n = len(bodies)
+    ``copies``: how often each string occurs, once by default; more often is a repeat of its own.
+    """
+
+    def __init__(self, bodies: list[np.ndarray], copies: list[int] | None = None):
+        stop = np.array([SEPARATOR], np.uint8)
+        text = np.concatenate([x for body in bodies for x in (body, stop)])
         lengths = np.array([len(b) for b in bodies])
-        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        self.ends = self.starts + lengths  # of the separators
-        self.data = np.zeros(int(lengths.sum()) + n, np.int64)
-        inside = np.ones(len(self.data), bool)
-        inside[self.ends] = False
-        self.data[inside] = np.concatenate(bodies).astype(np.int64) + n
-        self.data[self.ends] = np.arange(n)
-        order, self.rank = suffix_array(self.data)
-        bwt = self.data[order - 1]
-        change = np.append(True, bwt[1:] != bwt[:-1])
-        self.heads = order[change]
-        self.tails = order[np.append(change[1:], True)]
-        self.run_symbols, self.run_starts = bwt[change], np.flatnonzero(change)
-        above, below = np.append(-1, order[:-1]), np.append(order[1:], -1)
-        self.samples_above = above[self.run_starts]
-        self.samples_below = below[np.append(self.run_starts[1:], len(order)) - 1]
-        self._sums = tk.prefix_sums(self.data.astype(np.uint64) + np.uint64(1), tk._WORD_BASE)
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Longest common prefix of the suffixes at a and b (b may be -1), by halving over span hashes."""
-        of = np.searchsorted(self.ends, a)
-        most = self.ends[of] - a
-        most = np.where(b >= 0, np.minimum(most, self.ends[np.searchsorted(self.ends, np.maximum(b, 0))] - b), 0)
-        low = np.zeros(len(a), np.int64)
-        high = most.copy()
-        while (open_ := low < high).any():
-            x, y, middle = a[open_], b[open_], (low[open_] + high[open_] + 1) // 2
-            same = tk.word_span_hash(self._sums, x, x + middle) == tk.word_span_hash(self._sums, y, y + middle)
-            low[open_] = np.where(same, middle, low[open_])
-            high[open_] = np.where(same, high[open_], middle - 1)
-        return low
-
-    def _stream(self, sampled: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Common prefixes of all positions, in text order, from those of the sampled ones: one less at every step."""
-        at = np.full(len(self.data), -1, np.int64)
-        at[sampled] = self._common(sampled, other) + sampled
-        # a position that is no sample has the end of its match in common with the position before
-        return np.maximum(np.maximum.accumulate(at) - np.arange(len(at)), 0)
+        self.starts = np.cumsum(lengths + 1) - lengths - 1
+        self.ends, self.size = self.starts + lengths, len(text)
+        suffixes = SuffixOrder(text)
+        before = text[suffixes.order - 1].astype(np.int16)
+        before[suffixes.order == 0] = -1  # nothing stands before the first suffix
+        border = np.flatnonzero(before[1:] != before[:-1])  # a run ends here, the next one starts after it
+        self.runs = len(border) + 1
+        tails, heads = suffixes.order[border], suffixes.order[border + 1]
+        both = suffixes.common(tails, heads)
+        twice = np.array(copies or [1] * len(bodies)) > 1
+        at = np.concatenate([tails, heads, self.starts[twice]])
+        reach = np.concatenate([tails + both, heads + both, self.ends[twice]])
+        by = np.argsort(at, kind="stable")
+        self.samples, self.reach = at[by], np.maximum.accumulate(reach[by])
 
     def matching(self) -> np.ndarray:
-        """For each position the longest prefix of its suffix that starts elsewhere too."""
-        return np.maximum(self._stream(self.heads, self.samples_above), self._stream(self.tails, self.samples_below))
+        """For each position the length of the longest prefix of what follows it in its string that starts elsewhere too."""
+        known = np.zeros(self.size, np.int64)
+        known[self.samples] = self.reach  # of several samples at a position the last reaches farthest
+        own = np.repeat(self.ends, self.ends - self.starts + 1)
+        return np.maximum(np.minimum(np.maximum.accumulate(known), own) - np.arange(self.size), 0)
 
 
-def _match(bodies: list[np.ndarray], groups: list[int]) -> list[np.ndarray]:
-    index = RunIndex(bodies)
+def _match(bodies: list[np.ndarray], groups: list[int], copies: list[int]) -> list[np.ndarray]:
+    index = RunIndex(bodies, copies)
     long = index.matching() >= WINDOW
-    return [long[s : s + max(0, len(b) - WINDOW + 1)] for s, b in zip(index.starts, bodies, strict=True)]
+    return [long[s : s + max(0, len(b) - WINDOW + 1)] for s, b in zip(index.starts.tolist(), bodies, strict=True)]
 
 
 def repeated_bytes(keyed: DataFrame) -> DataFrame:
@@ -136,4 +142,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op10_run_index(spark, sf_dir: str) -> DataFrame:
     keyed = unique_keys(table(spark, sf_dir, "documents"))
     marked = keyed.join(repeated_bytes(keyed), "key", "left").select("doc_id", "text", "spans")
-    return marked.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    return marked.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_folder, written
 
-__all__ = ["shared_folder", "small_batches", "table", "written"]
+__all__ = ["make_room", "shared_folder", "small_batches", "table", "written"]
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -17,6 +17,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_ROWS, "1000")
 
 
+def make_room(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with columns that have one of ``names`` renamed to ``in_<name>`` (and so on, until the name is free)."""
+    new = {}
+    for name in names:
+        if name in docs.columns:
+            free = f"in_{name}"
+            while free in docs.columns or free in new.values() or free in names:
+                free = f"in_{free}"
+            new[name] = free
+    return docs.withColumnsRenamed(new) if new else docs
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)

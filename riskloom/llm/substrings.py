@@ -33,14 +33,15 @@ SHARD_WORDS = 200_000
 class SuffixAutomaton:
     """Suffix automaton of several sequences, with the number of occurrences of every state."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], copies: list[int] | None = None):
+        """``copies``: how often each sequence occurs, once by default."""
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.count = [-1], [0], [0]
-        for sequence in sequences:
+        for sequence, times in zip(sequences, copies or [1] * len(sequences), strict=True):
             last = 0
             for item in sequence:
                 last = self._extend(last, item)
-                self.count[last] += 1
+                self.count[last] += times
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             self.count[self.link[state]] += self.count[state]
 
@@ -92,7 +93,7 @@ class SuffixAutomaton:
         return out
 
 
-def _match(bodies: list[np.ndarray], groups: list[int]) -> list[np.ndarray]:
+def _match(bodies: list[np.ndarray], groups: list[int], copies: list[int]) -> list[np.ndarray]:
     """Repeated windows of each body, among the bodies of its group."""
     out: list[np.ndarray] = []
     low = 0
@@ -100,7 +101,7 @@ def _match(bodies: list[np.ndarray], groups: list[int]) -> list[np.ndarray]:
         if high < len(bodies) and groups[high] == groups[low]:
             continue
         own = [b.tolist() for b in bodies[low:high]]
-        automaton = SuffixAutomaton(own)
+        automaton = SuffixAutomaton(own, copies[low:high])
         out += [np.array(automaton.matching(s, 2)[WINDOW - 1 :]) >= WINDOW for s in own]
         low = high
     return out
@@ -157,4 +158,5 @@ def dedup_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     keyed = unique_keys(table(spark, sf_dir, "documents"))
     marked = keyed.join(repeated_words(keyed), "key", "left").select("doc_id", "text", "spans")
-    return marked.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    return marked.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -4,33 +4,35 @@ Everything here works on the raw UTF-8 buffer of an Arrow string column, so a ta
 times with numpy and never builds a Python object per word. Batches are cut into slices of about ``SLICE_BYTES`` (a
 longer document is a slice of its own), which bounds the memory of a task by its longest document.
 
-Nulls count as empty texts. Hashes are 64-bit polynomials of random byte codes, finished with a bit mixer.
+Nulls count as empty texts. A word's hash is the 64-bit sum of random table entries, one for every (place, byte), so no
+pair of words is built to collide; words longer than the table use xxh3. A run of words is a sum with random odd factors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 18
-_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
-
 _ALL = np.arange(256)
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 NON_SPACE = ~((_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D)))
 #: Words of benchmark matching: runs of digits, lower-case ASCII letters and non-ASCII characters.
 ALPHANUMERIC = ((_ALL >= 0x30) & (_ALL <= 0x39)) | ((_ALL >= 0x61) & (_ALL <= 0x7A)) | (_ALL >= 0x80)
 ASCII_LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uint8)
-_CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RNG = np.random.default_rng(20240607)
+#: Words up to this length are hashed by table.
+PLACES = 32
+_TABLE = _RNG.integers(0, 2**64, PLACES * 256, dtype=np.uint64)
+_FACTORS = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Bijective 64-bit finaliser: spreads polynomial sums over all bits."""
+    """Bijective 64-bit finaliser: spreads sums over all bits."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -38,36 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _powers_upto(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
-    up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < size."""
-    room = 1 << max(19, int(size - 1).bit_length())
-    if room > 1 << 20:
-        _powers_upto.cache_clear()
-    up, down = _powers_upto(int(base), room)
-    return up[:size], down[:size]
-
-
-def prefix_sums(values: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Prefix polynomial sums, one longer than ``values``; see ``span_hash``."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(base, len(values) + 1)[0][:-1], out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hash of each half-open span of the sequence under ``sums``; equal contents have equal hashes."""
-    return mix((sums[stop] - sums[start]) * _powers(base, len(sums))[1][start] + (stop - start).astype(np.uint64))
-
-
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row count, bytes, row offsets into them) of consecutive slices of a string or binary column."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,7 +75,19 @@ class Words:
         self.starts = self.starts[self.starts < n]
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
         self.rows = np.searchsorted(self.starts, offsets)
-        self.hashes = span_hash(prefix_sums(_CODES[data], _BYTE_BASE), self.starts, self.ends, _BYTE_BASE)
+        self.hashes = self._hashes(np.flatnonzero(inside[1:-1]))
+
+    def _hashes(self, at: np.ndarray) -> np.ndarray:
+        """``at``: the places of all bytes of words."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        lengths = self.ends - self.starts
+        place = np.minimum(at - np.repeat(self.starts, lengths), PLACES - 1)
+        sums = np.add.reduceat(_TABLE[(place << 8) + self.data[at]], np.cumsum(lengths) - lengths)
+        out = mix(sums + lengths.astype(np.uint64) * _FACTORS[0])
+        for k in np.flatnonzero(lengths > PLACES):
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes())
+        return out
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -111,48 +95,67 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
-    def sums(self) -> np.ndarray:
-        return prefix_sums(self.hashes, _WORD_BASE)
-
-
-def word_span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return span_hash(sums, start, stop, _WORD_BASE)
-
-
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(_CODES[data], _BYTE_BASE)
 
-
-def byte_span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return span_hash(sums, start, stop, _BYTE_BASE)
+def gram_hashes(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` (16 at most) words from each ``start``."""
+    out = np.full(len(start), size, np.uint64)
+    for j in range(size):
+        out += words[start + j] * _FACTORS[j]
+    return mix(out)
+
+
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words, row borders ignored."""
+    n = max(0, len(words) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for j in range(size if n else 0):
+        out += words[j : j + n] * _FACTORS[j]
+    return mix(out)
+
+
+def byte_words(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from each position as one number, zeros behind the end; ``order`` as in a numpy dtype."""
+    n = len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    out = np.empty(n, np.uint64)
+    for j in range(min(8, n)):
+        m = (n - j + 7) // 8
+        out[j::8] = padded[j : j + 8 * m].view(order + "u8")
+    return out
 
 
-def grams(sums: np.ndarray, size: int, base: np.uint64 = _WORD_BASE) -> np.ndarray:
-    """Hash of every run of ``size`` items, row borders ignored."""
-    n = len(sums) - 1
-    start = np.arange(max(0, n - size + 1))
-    return span_hash(sums, start, start + size, base)
+def byte_grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` bytes, a multiple of eight, row borders ignored."""
+    n = max(0, len(data) - size + 1)
+    words, out = byte_words(data), np.zeros(n, np.uint64)
+    for j in range(0, size if n else 0, 8):
+        out += words[j : j + n] * _FACTORS[j // 8]
+    out ^= out >> np.uint64(32)
+    out *= _FACTORS[8]
+    return out
 
 
-def byte_grams(sums: np.ndarray, size: int) -> np.ndarray:
-    return grams(sums, size, _BYTE_BASE)
+def content_hashes(items: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """xxh3 of the items of each half-open span."""
+    view, width = memoryview(np.ascontiguousarray(items)).cast("B"), items.itemsize
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[a:b]) for a, b in zip((start * width).tolist(), (stop * width).tolist(), strict=True)), np.uint64, len(start))
 
 
 def sliding_min_at(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost minimum of every ``width`` consecutive values, in log2(width) vector steps."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best, at, span = values, np.arange(len(values)), 1
-    while span * 2 <= width:
-        left, right = best[:-span], best[span:]
-        take = right < left
-        best, at, span = np.where(take, right, left), np.where(take, at[span:], at[:-span]), span * 2
-    rest = width - span
-    if rest:
-        left, right = best[:n], best[rest : rest + n]
-        at = np.where(right < left, at[rest : rest + n], at[:n])
-    return at[:n]
+    """Index of the leftmost minimum, by the high 40 bits, of every ``width`` consecutive values."""
+    n = max(0, len(values) - width + 1)
+    out = np.zeros(n, np.int64)
+    room = np.uint64((1 << 24) - 1)  # the low 24 bits hold the index inside a block
+    for low in range(0, n, 1 << 23):
+        part = values[low : low + (1 << 23) + width - 1]
+        best, span, m = (part & ~room) | np.arange(len(part), dtype=np.uint64), 1, len(part) - width + 1
+        while span * 2 <= width:
+            best, span = np.minimum(best[:-span], best[span:]), span * 2
+        best = np.minimum(best[:m], best[width - span : width - span + m])
+        out[low : low + m] = (best & room).astype(np.int64) + low
+    return out
 
 
 def starts_within(rows: np.ndarray, width: int) -> np.ndarray:

@@ -236,7 +236,7 @@ def test_run_index_is_compressed():
 
     text = np.frombuffer(LONG.encode(), np.uint8)
     index = runindex.RunIndex([text, text[5:], text[: 900]])
-    assert len(index.heads) < 0.75 * len(index.data)
+    assert index.runs < 0.75 * index.size
     data = [bytes(x) for x in (text, text[5:], text[:900])]
     match = index.matching()
     for s, own, k in ((index.starts[1], data[1], 1), (index.starts[2], data[2], 2)):
