@@ -36,6 +36,7 @@ from .storage import written
 
 CROWD = 1000
 HOT = 1000
+BROADCAST_ANCHORS = 200_000
 
 
 @dataclass(frozen=True)
@@ -144,6 +145,14 @@ def _halve(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _with_crowds(contents: DataFrame, crowd: int) -> DataFrame:
+    """``contents`` with ``crowded``: do more than ``crowd`` of them share the anchor? Such anchors are few; they are
+    broadcast while there are at most ``BROADCAST_ANCHORS``."""
+    crowds = written(contents.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") > crowd).select("a", F.lit(True).alias("crowded")), "crowds")
+    side = F.broadcast(crowds) if crowds.count() <= BROADCAST_ANCHORS else crowds
+    return contents.join(side, "a", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+
+
 def _spread(crowded: DataFrame, items: Items, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One halving of crowded contents (a, c, rows, low, high, body): (where each new content lies in the old ones, in how
     many places each does, the new contents with ``crowded``)."""
@@ -151,8 +160,7 @@ def _spread(crowded: DataFrame, items: Items, crowd: int) -> tuple[DataFrame, Da
     halves = written(crowded.select("a", "c", "rows", "body", "low", "high").mapInArrow(_halve(items), schema), "halves")
     contents = halves.groupBy("a", "c").agg(F.sum("rows").alias("rows"), F.count("*").alias("n"), F.first(F.struct("low", "high", "body")).alias("one"))
     contents = written(contents.select("a", "c", "rows", "n", "one.*"), "half-contents")
-    anchors = contents.groupBy("a").agg((F.count("*") > crowd).alias("crowded"))
-    return halves.select("of_a", "of_c", "first", "a", "c"), contents.select("a", "c", "n"), contents.join(anchors, "a")
+    return halves.select("of_a", "of_c", "first", "a", "c"), contents.select("a", "c", "n"), _with_crowds(contents, crowd)
 
 
 #: Marks the repeated windows of a shard: (bodies, group of each, how often each occurs) -> for each a mask of its windows.
@@ -210,8 +218,7 @@ def repeated_windows(keyed: DataFrame, items: Items, matcher: Matcher, shard: in
     found = written(runs.join(anchors, "a", "left_semi"), "repeated-anchors")
     contents = found.groupBy("a", "c").agg(F.count("*").alias("rows"), F.min(F.struct("key", "start", "n")).alias("one"))
     contents = written(contents.select("a", "c", "rows", "one.*"), "contents")
-    sizes = contents.groupBy("a").agg((F.count("*") > crowd).alias("crowded"))
-    parts = contents.join(sizes, "a").select("key", F.struct("start", "n", "a", "c", "rows", "crowded").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
+    parts = _with_crowds(contents, crowd).select("key", F.struct("start", "n", "a", "c", "rows", "crowded").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
     bodies = texts.join(parts, "key").groupBy("key", F.xxhash64("text")).agg(F.first("text").alias("text"), F.first("parts").alias("parts"))
     bodies = written(bodies.select("text", "parts").mapInArrow(items.contents(), "a long, c long, rows long, crowded boolean, body binary"), "bodies")
     slim = ["a", "c", "rows", "body"]
