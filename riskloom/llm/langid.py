@@ -2,14 +2,18 @@
 
 Texts become TF-IDF vectors of letter n-grams (1 to 3 bytes of the lower-cased text, hashed to ``DIM`` buckets,
 sub-linear counts, unit length). Each language is several spherical k-means centroids; a text takes the language of the
-centroid of highest cosine and is rejected when even that one is farther than any but the oddest training text.
+centroid of highest cosine. It is rejected when even that one is much farther than training texts of the language and of
+its own length (powers of two of bytes) are: a few words share few n-grams with a centroid and are let be, a long text
+that does so is of no known language, or no prose.
 
 Every language of the labelled rows is learnt, each from a bounded sample of its own: about ``sample_per_lang`` of its
 rows that have a letter, picked by a hash of the document id, and one at least. Vectors are fitted in one task a
 language; only centroids reach the driver. Prediction reads every whole text and nothing but the text.
 
 Defined cases: null text and text without a letter are ``und`` with score 0 and count as rejected; null languages and
-null ids are never learnt from; with nothing to learn from every text is ``und``; ties go to the first language in order.
+null ids are never learnt from; with nothing to learn from every text is ``und``; ties go to the first language in order;
+input columns named ``lang_pred``, ``score`` or ``rejected`` are kept as ``in_lang_pred`` and so on (``accepted`` returns
+the input's columns unchanged).
 """
 
 from __future__ import annotations
@@ -24,15 +28,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .storage import table, written
+from .storage import make_room, table, written
 
 DIM = 1 << 12
 CENTROIDS = 4
 SAMPLE_PER_LANG = 400
-#: A text is rejected below this share of the lowest cosine in ten thousand of its language's training texts, and never
-#: above REJECT_MOST: a short text with a foreign notice in it is still text of its language.
-REJECT_SHARE = 0.5
-REJECT_MOST = 0.12
+#: A text is rejected below the median cosine of its language's training texts of like length, less this many robust
+#: deviations, and less this share of the median at least. Lengths with fewer than LEAST_ROWS different ones take in texts
+#: of up to NEAR_LENGTHS lengths; where they are still fewer, LEAST_COSINE alone or the floor of the shorter texts holds.
+REJECT_DEVIATIONS = 6
+REJECT_SHARE = 0.3
+LEAST_ROWS = 20
+NEAR_LENGTHS = 4
+LEAST_COSINE = 0.05
+LENGTHS = 32
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -55,6 +64,10 @@ def _counts(text: np.ndarray) -> np.ndarray:
     return np.log1p(out)
 
 
+def _length(text: np.ndarray) -> int:
+    return min(LENGTHS - 1, len(text).bit_length())
+
+
 def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column, ""))
 
@@ -65,15 +78,17 @@ def _has_letter(column: pa.Array) -> np.ndarray:
 
 def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors, keep = [], []
+        vectors, sizes, keep = [], [], []
         letters = _has_letter(batch.column(1))
         for row, count, data, offsets in tk.slices(_lowered(batch.column(1))):
             for k in range(count):
                 if letters[row + k]:
-                    vectors.append(_counts(data[offsets[k] : offsets[k + 1]]).astype(np.float16).tobytes())
+                    text = data[offsets[k] : offsets[k + 1]]
+                    vectors.append(_counts(text).astype(np.float16).tobytes())
+                    sizes.append(_length(text))
                     keep.append(row + k)
         at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(vectors, pa.binary())], ["lang", "hash", "vector"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(vectors, pa.binary()), pa.array(sizes, pa.int32())], ["lang", "hash", "vector", "size"])
 
 
 def _rows_with_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +124,21 @@ class LanguageModel:
     langs: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    floors: np.ndarray  # least cosine accepted, by centroid
+    floors: np.ndarray  # least cosine accepted, by centroid and length
+
+
+def _floors(cosine: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Least cosine accepted of each length, from texts of that length and, where they are few, of the next shorter ones."""
+    out = np.full(LENGTHS, LEAST_COSINE, np.float32)
+    for length in range(LENGTHS):
+        for shortest in range(length, max(-1, length - NEAR_LENGTHS), -1):
+            own = np.unique(cosine[(size >= shortest) & (size <= length)])  # copies count once
+            if len(own) >= LEAST_ROWS:
+                middle = float(np.median(own))
+                spread = 1.4826 * float(np.median(np.abs(own - middle)))
+                out[length] = max(LEAST_COSINE, middle - max(REJECT_DEVIATIONS * spread, REJECT_SHARE * middle))
+                break
+    return np.maximum.accumulate(out)  # a longer text shares more
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -122,12 +151,12 @@ def held_out(doc_id: str) -> Column:
 
 
 def _sample(train: DataFrame, sample_per_lang: float) -> DataFrame:
-    """(lang, hash, vector) of about ``sample_per_lang`` rows of each language: hashes below its share of all 64 bits, and the least."""
+    """(lang, hash, vector, size) of about ``sample_per_lang`` rows of each language: hashes below its share of all 64 bits, and the least."""
     rows = train.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64(F.lit("langid"), F.col("doc_id")))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("__n"), F.min("hash").alias("__least"))
     below = F.lit(2.0**64) * sample_per_lang / F.col("__n") - 2.0**63
     picked = (F.col("__n") <= sample_per_lang) | (F.col("hash").cast("double") < below) | (F.col("hash") == F.col("__least"))
-    return rows.join(F.broadcast(sizes), "lang").where(picked).select("lang", "text", "hash").mapInArrow(_sample_vectors, "lang string, hash long, vector binary")
+    return rows.join(F.broadcast(sizes), "lang").where(picked).select("lang", "text", "hash").mapInArrow(_sample_vectors, "lang string, hash long, vector binary, size int")
 
 
 def fit(train: DataFrame, sample_per_lang: float = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> LanguageModel:
@@ -139,23 +168,20 @@ def fit(train: DataFrame, sample_per_lang: float = SAMPLE_PER_LANG, centroids: i
     idf = np.log((1 + n) / (1 + found)).astype(np.float32) + 1
 
     def fit_one(own: pa.Table) -> pa.Table:
-        rows = sorted(zip(own["hash"].to_pylist(), own["vector"].to_pylist(), strict=True))  # the order of arrival varies
-        x = _unit(np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, v in rows]) * idf)
+        rows = sorted(zip(own["hash"].to_pylist(), own["vector"].to_pylist(), own["size"].to_pylist(), strict=True))  # the order of arrival varies
+        x = _unit(np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, v, _ in rows]) * idf)
         c = _spherical_kmeans(x, centroids)
-        floor = min(REJECT_MOST, float(np.quantile((x @ c.T).max(1), 0.0001)) * REJECT_SHARE)
+        floors = _floors(np.round((x @ c.T).max(1), 6), np.array([size for _, _, size in rows]))
         k = len(c)
-        return pa.table({"lang": own["lang"][:1].to_pylist() * k, "k": pa.array(range(k), pa.int32()), "floor": [floor] * k, "centroid": [v.tobytes() for v in c.astype(np.float32)]})
+        return pa.table({"lang": own["lang"][:1].to_pylist() * k, "k": pa.array(range(k), pa.int32()), "floors": [floors.tobytes()] * k, "centroid": [v.tobytes() for v in c.astype(np.float32)]})
 
-    got = sample.groupBy("lang").applyInArrow(fit_one, "lang string, k int, floor double, centroid binary").toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
-    centres = np.zeros((got.num_rows, DIM), np.float32)
-    for k, centroid in enumerate(got["centroid"]):
-        centres[k] = np.frombuffer(centroid.as_buffer(), np.float32)
-    return LanguageModel(got["lang"].to_pylist(), idf, centres, got["floor"].to_numpy())
+    got = sample.groupBy("lang").applyInArrow(fit_one, "lang string, k int, floors binary, centroid binary").toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
+    centres, floors = (np.array([np.frombuffer(v.as_buffer(), np.float32) for v in got[c]], np.float32).reshape(got.num_rows, n) for c, n in (("centroid", DIM), ("floors", LENGTHS)))
+    return LanguageModel(got["lang"].to_pylist(), idf, centres, floors)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected`` added."""
-    docs = docs.drop("lang_pred", "score", "rejected")
+def _predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` with ``__lang``, ``__score`` and ``__rejected`` added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -170,14 +196,26 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 rows = [k for k in range(count) if letters[row + k]] if len(m.langs) else []
                 for low in range(0, len(rows), 256):
                     part = rows[low : low + 256]
-                    like = _unit(np.stack([_counts(data[offsets[k] : offsets[k + 1]]) for k in part]) * m.idf) @ m.centroids.T
+                    own = [data[offsets[k] : offsets[k + 1]] for k in part]
+                    like = _unit(np.stack([_counts(x) for x in own]) * m.idf) @ m.centroids.T
                     best = np.argmax(like, 1)
-                    for k, b, s in zip(part, best, like[np.arange(len(part)), best], strict=True):
-                        lang[row + k], score[row + k], rejected[row + k] = m.langs[b], min(1.0, max(0.0, float(s))), s < m.floors[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+                    for k, x, b, s in zip(part, own, best, like[np.arange(len(part)), best], strict=True):
+                        lang[row + k], score[row + k], rejected[row + k] = m.langs[b], min(1.0, max(0.0, float(s))), s < m.floors[b, _length(x)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "__lang", "__score", "__rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, f"{fields}, __lang string, __score double, __rejected boolean")
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected`` added."""
+    names = {"__lang": "lang_pred", "__score": "score", "__rejected": "rejected"}
+    return _predicted(make_room(docs, *names.values()), model).withColumnsRenamed(names)
+
+
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents that are not rejected, columns unchanged."""
+    return _predicted(docs, model).where("not __rejected").select(*docs.columns)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
