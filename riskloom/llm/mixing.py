@@ -7,27 +7,34 @@ leaf's supply is its tokens times ``epochs``. Its stream is the seeded order of
 leaf takes the longest prefix of whole documents within its budget.
 
 At scale: token counts are one map-side aggregation per (leaf, hash bucket); the cut of each leaf's last epoch is found
-first among its ``BUCKETS`` hash buckets and then among the rows of the one bucket it falls into, so no leaf is ever
-sorted whole, however large. The selection is then a filter by cut, without a shuffle of texts while the table of leaves
-is small (its size is checked).
+first among its ``BUCKETS`` hash buckets, then among those of the one bucket it falls into, and so on until that holds
+``EDGE_ROWS`` rows at most, so no leaf is ever sorted whole, however large. The selection is then a filter by cut, without
+a shuffle of texts while the table of leaves is small (its size is checked).
 
-Defined cases: null language or source is a leaf level of its own (''); null or empty text has no tokens and is taken
-with its prefix; a leaf without tokens is taken in every epoch; repeated ids are ordered by text; weights not named count as 1; an empty table gives none.
+The levels of the tree are a parameter. By default they are ``domain`` (the column of that name; without one the letters
+that the source's name begins with), ``lang_key`` (the language) and ``source_key`` (the source).
+
+Defined cases: a null level value is a node of its own (''); null or empty text has no tokens and is taken with its prefix;
+a leaf without tokens is taken in every epoch; repeated ids are ordered by text; weights not named count as 1; an empty
+table gives none; input columns with the name of a level, ``epoch`` or ``n_tokens`` are kept as ``in_<name>``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import table, written
+from .storage import make_room, table, written
 
 LEVELS = ("domain", "lang_key", "source_key")
-BUCKETS = 4096
+DIGITS = 3
+BUCKETS = 16**DIGITS
+EDGE_ROWS = 200_000
 BROADCAST_LEAVES = 20_000
-#: The query's mix: half the corpus' tokens, German and French above their share, long-named sources half the weight.
+#: The query's mix: half the corpus' tokens, German and French above their share, long-named sources half the weight. The
+#: given tables have no domain, so the query takes the length of the source's name for one.
 WEIGHTS = {"domain": {"d4": 2, "d5": 1}, "lang_key": {"en": 4, "de": 3, "fr": 3, "es": 2}, "source_key": {"src0": 3}}
 SHARE = (1, 2)
 EPOCHS = 2
@@ -40,10 +47,10 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds the tree's levels; a domain is told by the length of the source's name."""
+def default_levels(docs: DataFrame) -> dict[str, Column]:
     source = F.coalesce(F.col("source"), F.lit(""))
-    return docs.withColumns({"domain": F.concat(F.lit("d"), F.length(source)), "lang_key": F.coalesce(F.col("lang"), F.lit("")), "source_key": source, "tokens": token_count(F.col("text"))})
+    domain = F.col("domain") if "domain" in docs.columns else F.regexp_extract(source, "^[A-Za-z]*", 0)
+    return dict(zip(LEVELS, (domain, F.col("lang"), source), strict=True))
 
 
 def _order(seed: str, epoch: Column) -> Column:
@@ -76,56 +83,81 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     return level.withColumn("quota", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.expr("(weight * pool) div open_weight")))).drop("spent", "rest", "full", "pool", "open_weight")
 
 
-def leaf_quotas(leaves: DataFrame, budget: DataFrame, epochs: int, weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
+def leaf_quotas(leaves: DataFrame, budget: DataFrame, epochs: int, weights: Mapping[str, Mapping[str, int]], levels: Sequence[str] = LEVELS) -> DataFrame:
     """(levels, tokens, quota) from (levels, tokens); ``budget`` is one row with column budget."""
     plan = leaves.withColumn("supply", F.col("tokens") * epochs)
     top = budget
     parent: list[str] = []
-    for level in LEVELS:
+    for level in levels:
         keys = [*parent, level]
         nodes = plan.groupBy(*keys).agg(F.sum("supply").alias("cap")).withColumn("weight", _weight(level, weights))
         nodes = nodes.join(top, parent) if parent else nodes.withColumn("root", F.lit(0)).crossJoin(F.broadcast(top))
         top = share_out(nodes, parent or ["root"], level).select(*keys, F.col("quota").alias("budget"))
         parent = keys
-    return leaves.join(top, list(LEVELS)).withColumnRenamed("budget", "quota")
-
-
-def select_mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``epoch``, ``n_tokens`` and the leaf added, one row for every epoch in which a document is taken."""
-    keyed = _keyed(docs.drop("epoch", "n_tokens", *LEVELS, "tokens"))
-    keys = list(LEVELS)
-    leaves = written(keyed.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "leaves")
+    return leaves.join(top, list(levels)).withColumnRenamed("budget", "quota")
+
+
+def _cuts(placed: DataFrame, quotas: DataFrame, keys: list[str], side: Callable[[DataFrame], DataFrame], edge_rows: int) -> DataFrame:
+    """(levels, stop): the first row (place, doc_id, text_hash) of each leaf that its last epoch doesn't take."""
+    edge = quotas.select(*keys, "rest", F.lit(0).cast("long").alias("before"), F.lit("").alias("prefix"))
+    for depth in range(0, 30, DIGITS):  # places have 32 digits
+        near = placed.join(side(edge), keys).where(F.col("place").startswith(F.col("prefix")))
+        sums = near.groupBy(*keys, "rest", "before", "prefix", F.substring("place", depth + 1, DIGITS).alias("bucket")).agg(F.sum("tokens").alias("sum"), F.count("*").alias("rows"))
+        upto = F.coalesce(F.sum("sum").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # the bucket in which the prefix ends: whole buckets before it fit, this one does not
+        sums = sums.withColumn("before", F.col("before") + upto).where("before <= rest and before + sum > rest")
+        edge = written(sums.select(*keys, "rest", "before", F.concat("prefix", "bucket").alias("prefix"), "rows"), "edges")
+        if (edge.agg(F.max("rows")).first()[0] or 0) <= edge_rows:
+            break
+    near = placed.join(side(edge.drop("rows")), keys).where(F.col("place").startswith(F.col("prefix")))
+    run = F.col("before") + F.sum("tokens").over(Window.partitionBy(*keys).orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("run", run).where("run > rest").groupBy(*keys).agg(F.min(F.struct("place", "doc_id", "text_hash")).alias("stop"))
+
+
+def select_mix(
+    docs: DataFrame,
+    weights: Mapping[str, Mapping[str, int]] = WEIGHTS,
+    share: tuple[int, int] = SHARE,
+    epochs: int = EPOCHS,
+    seed: str = SEED,
+    levels: Mapping[str, Column] | None = None,
+    edge_rows: int = EDGE_ROWS,
+) -> DataFrame:
+    """``docs`` with ``epoch``, ``n_tokens`` and the leaf's levels added, one row for every epoch in which a document is
+    taken. ``levels``: name and expression over ``docs`` of each level from the root down; ``weights``: by level and value."""
+    levels = levels or default_levels(docs)
+    keys = list(levels)
+    private = {f"__{k}": F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()}
+    keyed = make_room(docs.withColumns(private | {"__tokens": token_count(F.col("text"))}), *keys, "epoch", "n_tokens").withColumnsRenamed({f"__{k}": k for k in keys})
+    text_hash = F.xxhash64("text").alias("text_hash")
+    slim = keyed.select("doc_id", *keys, F.col("__tokens").alias("tokens"), text_hash)
+    leaves = written(slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "leaves")
     budget = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {share[0]} div {share[1]}").alias("budget"))
-    quotas = leaf_quotas(leaves, budget, epochs, weights)
+    quotas = leaf_quotas(leaves, budget, epochs, weights, keys)
     # whole epochs, then a prefix of the next one
     quotas = written(quotas.withColumns({"whole": F.when(F.col("tokens") > 0, F.expr("quota div greatest(tokens, 1)")).otherwise(epochs), "rest": F.when(F.col("tokens") > 0, F.expr("quota % greatest(tokens, 1)")).otherwise(0)}), "quotas")
-    n = quotas.count()
-    side = F.broadcast(quotas) if n <= BROADCAST_LEAVES else quotas
-    slim = ["doc_id", *keys, "tokens", F.xxhash64("text").alias("text_hash")]
-    placed = keyed.select(*slim).join(side.select(*keys, "whole", "rest"), keys).withColumn("place", _order(seed, F.col("whole") + 1))
-    bucket = F.substring("place", 1, 3)
-    sums = placed.groupBy(*keys, "rest", bucket.alias("bucket")).agg(F.sum("tokens").alias("sum"))
-    upto = F.coalesce(F.sum("sum").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # the bucket in which the prefix ends: whole buckets before it fit, this one does not
-    cuts = sums.withColumn("before", upto).where("before <= rest and before + sum > rest").select(*keys, "bucket", "before")
-    cuts = written(cuts, "buckets")
-    cut_side = F.broadcast(cuts) if n <= BROADCAST_LEAVES else cuts
-    edge = placed.withColumn("bucket", bucket).join(cut_side, [*keys, "bucket"])
-    run = F.col("before") + F.sum("tokens").over(Window.partitionBy(*keys).orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
-    last = edge.withColumn("run", run).where("run > rest").groupBy(*keys).agg(F.min(F.struct("place", "doc_id", "text_hash")).alias("stop"))
-    final = written(quotas.join(last, keys, "left").select(*keys, "whole", "stop"), "cuts")
-    final = F.broadcast(final) if n <= BROADCAST_LEAVES else final
-    out = keyed.join(final, keys)
-    place = F.struct(_order(seed, F.col("whole") + 1).alias("place"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    few = quotas.count() <= BROADCAST_LEAVES
+    side = F.broadcast if few else lambda df: df
+    placed = slim.join(side(quotas.select(*keys, "whole")), keys).withColumn("place", _order(seed, F.col("whole") + 1))
+    stops = _cuts(placed, quotas, keys, side, edge_rows)
+    final = written(quotas.join(stops, keys, "left").select(*keys, F.col("whole").alias("__whole"), F.col("stop").alias("__stop")), "cuts")
+    out = keyed.join(side(final), keys)
+    whole = F.col("__whole")
+    place = F.struct(_order(seed, whole + 1).alias("place"), F.col("doc_id"), text_hash)
     # a leaf whose next epoch fits whole has no stop; that is only so for one without tokens or with a full supply
-    partial = F.when(F.col("whole") >= epochs, F.lit(False)).otherwise(F.coalesce(place < F.col("stop"), F.lit(True)))
-    taken = F.when(partial, F.col("whole") + 1).otherwise(F.col("whole")).cast("int")
-    out = out.withColumn("taken", taken).where("taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("taken"))))
-    return out.withColumnRenamed("tokens", "n_tokens").drop("whole", "stop", "taken")
+    partial = F.when(whole >= epochs, F.lit(False)).otherwise(F.coalesce(place < F.col("__stop"), F.lit(True)))
+    taken = F.when(partial, whole + 1).otherwise(whole).cast("int")
+    out = out.withColumn("__taken", taken).where("__taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__taken"))))
+    return out.withColumnRenamed("__tokens", "n_tokens").drop("__whole", "__stop", "__taken")
+
+
+def query_levels() -> dict[str, Column]:
+    source = F.coalesce(F.col("source"), F.lit(""))
+    return dict(zip(LEVELS, (F.concat(F.lit("d"), F.length(source)), F.col("lang"), source), strict=True))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    mix = select_mix(table(spark, sf_dir, "documents"))
+    mix = select_mix(table(spark, sf_dir, "documents"), levels=query_levels())
     return mix.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("epoch").cast("long").alias("epoch"), "domain", F.col("lang_key").alias("lang"), F.col("source_key").alias("source"), "n_tokens")
 
 
