@@ -1,16 +1,19 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-A text is a sequence of tokens: runs without white space, cut every 24 characters so that texts without spaces have
-tokens too. A k-mer of ``K`` tokens is an anchor when the least of its inner s-mers (``S`` tokens, by hash) is its first
-or its last. That depends on the k-mer alone, so equal passages have equal anchors in any context, and of any ``K - S``
-consecutive k-mers one at least is an anchor. Sentinel tokens before and behind the text give the shortest text anchors.
+A text is a sequence of tokens: words (runs of letters and digits) of 24 characters at most, and single characters for all
+else: ideographs, punctuation, and every character of a longer run. What a token is depends on the characters around it
+alone and on no place in the text, with or without spaces. A k-mer of ``K`` tokens is an anchor when the least of its
+inner s-mers (``S`` tokens, by hash) is its first or its last. That depends on the k-mer alone, so equal passages have
+equal anchors in any context, and of any ``K - S`` consecutive k-mers one at least is an anchor. Sentinel tokens before
+and behind the text give the shortest text anchors.
 
 The fingerprint lists the anchors in order as ``hash:position``. The likeness of two fingerprints is the Jaccard
-similarity of their anchor hashes; ``shared_anchors`` pairs positions across a corpus.
+similarity of their anchor hashes; ``shared_anchors`` pairs positions of a query set with a corpus.
 
 Defined cases: null text is empty; an empty text has the one fingerprint of the sentinels; a null id sorts below all ids;
 rows of one id each have their own answer, and the next document of an id is the next smaller distinct id, by its text of
-the least hash; a single document is its own next.
+the least hash; a single document is its own next; input columns named ``anchors`` or ``fingerprint`` are kept as
+``in_anchors`` and ``in_fingerprint``.
 """
 
 from __future__ import annotations
@@ -19,17 +22,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native import let
-from .storage import table
+from .storage import make_room, table, written
 
-K = 12
+K = 8
 S = 2
 _INNER = K - S + 1
 _NO_ID = -(1 << 63)
-RANGES = 256
+
+
+_WORD = r"[\p{L}\p{M}\p{N}&&[^\p{IsIdeographic}]]"
+_TOKEN = rf"(?<!{_WORD}){_WORD}{{1,24}}+(?!{_WORD})|\S"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\S{1,24}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
 def anchors(text: Column) -> Column:
@@ -69,7 +75,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with ``anchors`` and ``fingerprint`` added."""
-    return docs.withColumn("anchors", anchors(F.coalesce("text", F.lit("")))).withColumn("fingerprint", fingerprint(F.col("anchors")))
+    return make_room(docs, "anchors", "fingerprint").withColumn("anchors", anchors(F.coalesce("text", F.lit("")))).withColumn("fingerprint", fingerprint(F.col("anchors")))
 
 
 def shared_anchors(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -82,16 +88,14 @@ def shared_anchors(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "hash").groupBy("left_id", "right_id", (F.col("left_pos") - F.col("right_pos")).alias("offset")).agg(F.count("*").alias("n"))
 
 
-def next_ids(ids: DataFrame, ranges: int = RANGES) -> DataFrame:
+def next_ids(ids: DataFrame) -> DataFrame:
     """(key, next, *rest as of next): each key's next smaller key, the smallest key's the largest; ``ids`` is (key, need, pick).
 
-    Keys are cut into ``ranges`` ranges of about equal counts; inside a range a window finds the neighbour, across ranges a
-    table of one row per range does.
+    Keys are dealt into ranges of about equal counts, one for every shuffle partition; inside a range a window finds the
+    neighbour, across ranges a table of one row per range does.
     """
-    shares = F.array(*[F.lit(j / ranges) for j in range(1, ranges)])
-    bounds = ids.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first()["b"] or []
-    inside = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]).cast("array<long>"), lambda b: b <= F.col("key")))
-    ranged = ids.withColumn("range", inside)
+    ranges = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(ids.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id()), "ranges")
     tops = ranged.groupBy("range").agg(F.max(F.struct("key", "pick")).alias("top"))
     everything = Window.partitionBy(F.lit(1))
     tops = tops.select("range", F.coalesce(F.lag("top").over(everything.orderBy("range")), F.max("top").over(everything)).alias("below"))
