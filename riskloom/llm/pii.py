@@ -7,14 +7,22 @@ different values different ones. What the pseudonym keeps:
 
 - card numbers (Luhn-checked): separators, length, first digit; the check digit is recomputed, so it is valid again
 - social security numbers: valid area, group and serial
-- phone numbers: punctuation, country code, and which leading digits are 2 to 9
+- phone numbers: punctuation, country code, and whether area and exchange start with 2 to 9. The ten digits are permuted
+  as one number, so a number has one pseudonym however it is written
+- IBANs (checked modulo 97): country, length, spaces, letters and digits in place; the check digits are recomputed
 - IPv4 addresses: four octets
 - dates (ISO, or day, month and year by '/' or '.'): a calendar day of the years 1800 to 2199 in the same notation
 - e-mail addresses: domain, and letters, digits and dots of the name
 - access keys and passwords in assignments: the prefix, and letters and digits in place
 
-Values that fail their check are left alone. Null text stays null with nothing found; empty and very long texts are as
-any other (every pattern starts at a boundary and repeats possessively, so the scan is linear).
+Checks by kind: Luhn, modulo 97, octets below 256, days of the calendar, areas and serials in use, no empty part in a
+mail's name and two letters at the end of its domain. For secrets and phone numbers, whose areas no rule settles, the
+pattern is the check. Values that fail are left alone. The key is a parameter; without one it is the session's ``KEY_CONF``, and
+``EXAMPLE_KEY``, which keeps nothing secret, only where that is unset too.
+
+Null text stays null with nothing found; empty and very long texts are as any other (every pattern starts at a boundary
+and repeats possessively, so the scan is linear); repeated rows are masked alike; an input column ``found`` is kept as
+``in_found``; ids are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import let
-from .storage import table
+from .storage import make_room, table
 
-KEY = "pseudonym-key-1"
+KEY_CONF = "spark.riskloom.pseudonym.key"
+EXAMPLE_KEY = "pseudonym-key-1"
 ROUNDS = 8
 
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_key)=)[A-Za-z0-9_-]{6,}+",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_key) ?= ?\"?)[A-Za-z0-9_-]{6,}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -53,7 +63,7 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def feistel(values: Column, radices: Column, kind: str, key: str = KEY) -> Column:
+def feistel(values: Column, radices: Column, kind: str, key: str = EXAMPLE_KEY) -> Column:
     """Keyed permutation of array<int> ``values``, each below its radix, over the product of the radices."""
 
     def one_round(v: Column, r: Column) -> Column:
@@ -65,20 +75,20 @@ def feistel(values: Column, radices: Column, kind: str, key: str = KEY) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
 
 
-def _by_symbol(text: Column, kind: str, lead: Column | None = None) -> Column:
-    """Permute the digits and letters of ``text`` in place. ``lead``: array<boolean>, digits that keep to 0-1 or 2-9."""
+def _by_symbol(text: Column, kind: str, key: str, lead: tuple[int, ...] = ()) -> Column:
+    """Permute the digits and letters of ``text`` in place. ``lead``: places of digits that keep to 0-1 or 2-9."""
     chars = F.split(text, "")
 
     def radix(c: Column, j: Column) -> Column:
-        digit = F.lit(10) if lead is None else F.when(F.get(lead, j), F.when(c >= "2", 8).otherwise(2)).otherwise(10)
+        digit = F.when(j.isin(*lead), F.when(c >= "2", 8).otherwise(2)).otherwise(10) if lead else F.lit(10)
         return F.when(c.between("0", "9"), digit).when(c.between("a", "z") | c.between("A", "Z"), 26).otherwise(1)
 
     def base(c: Column, j: Column) -> Column:
-        digit = F.lit(48) if lead is None else F.when(F.get(lead, j) & (c >= "2"), 50).otherwise(48)
+        digit = F.when(j.isin(*lead) & (c >= "2"), 50).otherwise(48) if lead else F.lit(48)
         return F.when(c.between("0", "9"), digit).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(F.ascii(c))
 
     def build(parts: Column) -> Column:
-        moved = feistel(F.transform(parts, lambda p: p["value"]), F.transform(parts, lambda p: p["radix"]), kind)
+        moved = feistel(F.transform(parts, lambda p: p["value"]), F.transform(parts, lambda p: p["radix"]), kind, key)
         return let(moved, lambda v: F.array_join(F.transform(parts, lambda p, j: F.when(p["radix"] == 1, p["char"]).otherwise(F.char(p["base"] + F.get(v, j)))), ""))
 
     parts = F.transform(chars, lambda c, j: F.struct(c.alias("char"), radix(c, j).alias("radix"), base(c, j).alias("base"), F.when(radix(c, j) == 1, 0).otherwise(F.ascii(c) - base(c, j)).alias("value")))
@@ -95,41 +105,64 @@ def _refill(pattern: Column, digits: Column) -> Column:
     return F.aggregate(F.split(pattern, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step)["out"]
 
 
-def _card(m: Column) -> Column:
+def _card(m: Column, key: str) -> Column:
     def build(d: Column) -> Column:
-        body = F.concat(F.substring(d, 1, 1), _by_symbol(F.substring(d, F.lit(2), F.length(d) - 2), "card"))
+        body = F.concat(F.substring(d, 1, 1), _by_symbol(F.substring(d, F.lit(2), F.length(d) - 2), "card", key))
         return let(body, lambda b: _refill(m, F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
 
     return let(_digits(m), build)
 
 
-def _ssn(m: Column) -> Column:
+def _ssn(m: Column, key: str) -> Column:
     p = F.split(m, "-")
     area = F.get(p, 0).cast("int")
     values = F.array(area - 1 - (area > 666).cast("int"), F.get(p, 1).cast("int") - 1, F.get(p, 2).cast("int") - 1)
-    moved = feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), "ssn")
+    moved = feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), "ssn", key)
     return let(moved, lambda v: F.concat(F.lpad((F.get(v, 0) + 1 + (F.get(v, 0) >= 665).cast("int")).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.get(v, 1) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.get(v, 2) + 1).cast("string"), 4, "0")))
 
 
-def _ip(m: Column) -> Column:
+def _ip(m: Column, key: str) -> Column:
     values = F.transform(F.split(m, "\\."), lambda x: x.cast("int"))
-    return F.array_join(F.transform(feistel(values, F.array(*[F.lit(256)] * 4), "ip"), lambda x: x.cast("string")), ".")
+    return F.array_join(F.transform(feistel(values, F.array(*[F.lit(256)] * 4), "ip", key), lambda x: x.cast("string")), ".")
+
+
+def _national(m: Column) -> Column:
+    """A phone number without its country code."""
+    return F.regexp_replace(m, r"^\+\d{1,2}[ .-]?", "")
+
+
+def _phone(m: Column, key: str) -> Column:
+    rest = _national(m)
+    made = _refill(rest, _by_symbol(_digits(rest), "phone", key, lead=(0, 3)))
+    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(rest)), made)
+
 
+def _email(m: Column, key: str) -> Column:
+    return F.concat(_by_symbol(F.substring_index(m, "@", 1), "email", key), F.lit("@"), F.substring_index(m, "@", -1))
 
-def _phone(m: Column) -> Column:
-    prefix = F.regexp_extract(m, r"^(?:\+\d{1,2}[ .-]?)?", 0)
-    rest = F.substring(m, F.length(prefix) + 1, F.length(m))
-    lead = F.transform(F.split(rest, ""), lambda c, j: let(F.length(F.regexp_replace(F.substring(rest, F.lit(1), j), "[^0-9]", "")), lambda n: n.isin(0, 3)))
-    return F.concat(prefix, _by_symbol(rest, "phone", lead))
 
+def _secret(m: Column, key: str) -> Column:
+    prefix = F.regexp_extract(m, r'^(?:AKIA|[A-Za-z_]+ ?= ?"?)', 0)
+    return F.concat(prefix, _by_symbol(F.substring(m, F.length(prefix) + 1, F.length(m)), "secret", key))
+
+
+def _iban_rest(country: Column, check: str | Column, account: Column) -> Column:
+    """Account, country and check digits as one number, modulo 97; letters count from 10."""
+    check = F.lit(check) if isinstance(check, str) else check
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.split(F.concat(account, country, check), ""), F.lit(0), step)
 
-def _email(m: Column) -> Column:
-    return F.concat(_by_symbol(F.substring_index(m, "@", 1), "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
+def _iban(m: Column, key: str) -> Column:
+    def build(rest: Column) -> Column:
+        country = F.substring(m, 1, 2)
+        account = F.replace(rest, F.lit(" "), F.lit(""))
+        return F.concat(country, F.lpad((98 - _iban_rest(country, "00", account)).cast("string"), 2, "0"), rest)
 
-def _secret(m: Column) -> Column:
-    prefix = F.regexp_extract(m, r"^(?:AKIA|[A-Za-z_]+=)", 0)
-    return F.concat(prefix, _by_symbol(F.substring(m, F.length(prefix) + 1, F.length(m)), "secret"))
+    return let(_by_symbol(F.substring(m, F.lit(5), F.length(m)), "iban", key), build)
 
 
 def _day(m: Column) -> Column:
@@ -141,9 +174,9 @@ def _day(m: Column) -> Column:
     return F.when(F.length(m) < 8, None).when(m.contains("-"), iso).otherwise(F.coalesce(made(1, 0), F.when(m.contains("/"), made(0, 1))))
 
 
-def _date(m: Column) -> Column:
+def _date(m: Column, key: str) -> Column:
     n = F.datediff(_day(m), F.lit(_FROM).cast("date"))
-    moved = feistel(F.array((n / 773).cast("int"), n % 773), F.array(F.lit(189), F.lit(773)), "date")
+    moved = feistel(F.array((n / 773).cast("int"), n % 773), F.array(F.lit(189), F.lit(773)), "date", key)
 
     def show(v: Column) -> Column:
         day = F.date_add(F.lit(_FROM).cast("date"), F.get(v, 0) * 773 + F.get(v, 1))
@@ -160,25 +193,26 @@ def _date(m: Column) -> Column:
 
 
 _VALID = {
-    "email": lambda m: F.lit(True),
+    "email": lambda m: ~m.rlike(r"^\.|\.\.|\.@") & m.rlike("[A-Za-z]{2}$"),
     "secret": lambda m: F.lit(True),
+    "iban": lambda m: let(F.replace(m, F.lit(" "), F.lit("")), lambda x: _iban_rest(F.substring(x, 1, 2), F.substring(x, 3, 2), F.substring(x, F.lit(5), F.length(x))) == 1),
     "ip": lambda m: F.forall(F.split(m, "\\."), lambda x: x.cast("int") < 256),
     "date": lambda m: F.coalesce(_day(m).between("1800-01-01", "2199-12-31"), F.lit(False)),
     "ssn": lambda m: ~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-|-0000$"),
     "phone": lambda m: F.lit(True),
     "card": lambda m: _luhn(_digits(m)) % 10 == 0,
 }
-_MAKE = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKE = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonymise(text: Column) -> Column:
+def pseudonymise(text: Column, key: str = EXAMPLE_KEY) -> Column:
     """struct<text string, found array<struct<kind, value, pseudonym>>> of a text."""
 
     def replaced(m: Column) -> Column:
         out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"), m.alias("pseudonym"))
         for kind in reversed(PATTERNS):
             here = m.rlike(f"^(?:{PATTERNS[kind]})$") & _VALID[kind](m)
-            out = F.when(here, F.struct(F.lit(kind).alias("kind"), m.alias("value"), _MAKE[kind](m).alias("pseudonym"))).otherwise(out)
+            out = F.when(here, F.struct(F.lit(kind).alias("kind"), m.alias("value"), _MAKE[kind](m, key).alias("pseudonym"))).otherwise(out)
         return out
 
     matches = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)
@@ -192,9 +226,11 @@ def pseudonymise(text: Column) -> Column:
     return F.when(F.coalesce(text.rlike(_HINT), F.lit(False)), let(matches, build)).otherwise(none)
 
 
-def mask_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` pseudonymised and ``found`` (kind, value, pseudonym) added."""
-    return docs.drop("found").withColumn("__pii", pseudonymise(F.col("text"))).withColumns({"text": F.col("__pii.text"), "found": F.col("__pii.found")}).drop("__pii")
+def mask_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with ``text`` pseudonymised under ``key`` and ``found`` (kind, value, pseudonym) added."""
+    key = key or docs.sparkSession.conf.get(KEY_CONF, EXAMPLE_KEY)
+    docs = make_room(docs, "found").withColumn("__pii", pseudonymise(F.col("text"), key))
+    return docs.withColumns({"text": F.col("__pii.text"), "found": F.col("__pii.found")}).drop("__pii")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
