@@ -1,17 +1,19 @@
 """Line dedup: range-partitioned line hashes, secondary sort, compressed keep bitmaps.
 
 Each line becomes one small row (128-bit key hash, document, position); texts stay where they are. The rows are
-range-partitioned by (hash, document) and sorted by hash, document and position, so a task streams whole runs of a key
-and holds counters only. Sorting by document inside the range key splits a key that holds much of the corpus over many
-tasks. The runs that touch a partition's border are decided together from one summary row per border run: at most two
-per partition, which is the bound of that broadcast. The result is a zlib-compressed bitmap of kept lines per document.
+range-partitioned by (hash, document) and sorted by hash, document and position, so a task streams runs of a key and holds
+``HELD`` rows and a batch at most. Sorting by document inside the range key splits a key that holds much of the corpus over
+many tasks. Runs that touch a partition's border, and pieces of runs longer than ``HELD``, are decided together from one
+summary row each: two per partition and one for every ``HELD`` rows at most, which is the bound of that broadcast. The
+result is a zlib-compressed bitmap of kept lines per document.
 
 A key is the line with ``[\\x20\\x09-\\x0D]`` stripped and A-Z lower-cased. Keys of at least ``min_chars`` code points in
 at least ``min_docs`` documents stay only in the largest document id.
 
 Defined cases: null or empty text is one empty line; a null document id sorts below all others and counts as one
 document; repeated document ids are one document for counting, and all their lines are judged alike; empty tables give
-empty results.
+empty results; ids must be whole numbers, as the largest one keeps a line; ``dedup_lines`` returns the input's columns
+unchanged but for ``text``.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .storage import table, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+HELD = 1 << 17
 _NO_ID = -(1 << 63)
 _SPACE = " \t\n\v\f\r"
 
@@ -54,18 +57,19 @@ def _line_rows(min_chars: int):
     return rows
 
 
-def _stream(min_docs: int):
-    """Decide every run of equal hashes that ends inside the partition; pass on the rows of its first and last run."""
+def _stream(min_docs: int, most: int):
+    """Decide every run of equal hashes that ends inside the partition; pass on the rows of its first and last run, and of
+    runs of more than ``most`` rows, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = None
+        part, piece = 0, 0
         held: list[tuple] = []  # arrays of the run that may go on in the next batch
-        first = True
+        first, cut = True, None  # cut: the key whose run was passed on in part
 
         def out(h1, h2, doc, pos, edge, docs, top):
             n = len(doc)
             return pa.RecordBatch.from_arrays(
-                [pa.array(h1), pa.array(h2), pa.array(doc), pa.array(pos), pa.array(np.full(n, edge)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, docs, np.int64)), pa.array(np.full(n, top, np.int64))],
+                [pa.array(h1), pa.array(h2), pa.array(doc), pa.array(pos), pa.array(np.full(n, edge)), pa.array(np.full(n, (part << 24) + piece, np.int64)), pa.array(np.full(n, docs, np.int64)), pa.array(np.full(n, top, np.int64))],
                 ["h1", "h2", "doc", "pos", "edge", "part", "docs", "top"],
             )
 
@@ -84,16 +88,18 @@ def _stream(min_docs: int):
             part = batch.column(4)[0].as_py()
             h1, h2, doc, pos = (batch.column(k).to_numpy() for k in range(4))
             new = np.flatnonzero((np.diff(h1) != 0) | (np.diff(h2) != 0)) + 1
-            same = held and held[-1][0][-1] == h1[0] and held[-1][1][-1] == h2[0]
-            if held and not same:
-                yield from close(first)
-                first, held = False, []
+            key = (h1[0], h2[0])
+            if held and (held[-1][0][-1], held[-1][1][-1]) != key:
+                yield from close(first or cut is not None)
+                first, cut, held = False, None, []
+            elif not held and cut is not None and cut != key:
+                first, cut = False, None
             bounds = np.concatenate([[0], new, [len(h1)]])
             # whole runs inside the batch, all at once
             held.append(tuple(x[: bounds[1]] for x in (h1, h2, doc, pos)))
             if len(bounds) > 2:
-                yield from close(first)
-                first = False
+                yield from close(first or cut is not None)
+                first, cut = False, None
                 a, b = bounds[1:-2], bounds[2:-1]
                 if len(a):
                     step = np.zeros(len(doc), np.int64)
@@ -105,6 +111,10 @@ def _stream(min_docs: int):
                     if len(at):
                         yield out(h1[at], h2[at], doc[at], pos[at], False, 0, 0)
                 held = [tuple(x[bounds[-2] :] for x in (h1, h2, doc, pos))]
+            if sum(len(x[0]) for x in held) > most:
+                cut = (held[-1][0][-1], held[-1][1][-1])
+                yield from close(True)
+                held, piece = [], piece + 1
         if held:
             yield from close(True)
 
@@ -117,13 +127,13 @@ def _bitmap(lines: np.ndarray, size: int) -> bytes:
     return zlib.compress(np.packbits(bits).tobytes())
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, held: int = HELD) -> DataFrame:
     """(doc_id, pos) of every line to drop, doc_id null as the smallest long."""
     spark = docs.sparkSession
     lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "text").mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc long, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos").withColumn("part", F.spark_partition_id())
-    judged = written(ranged.mapInArrow(_stream(min_docs), "h1 long, h2 long, doc long, pos int, edge boolean, part int, docs long, top long"), "lines")
+    judged = written(ranged.mapInArrow(_stream(min_docs, held), "h1 long, h2 long, doc long, pos int, edge boolean, part long, docs long, top long"), "lines")
     sure = judged.where(~F.col("edge")).select("doc", "pos")
     # A border run's documents are sorted too: a document cut by the border is counted on both sides, so counted again by its ends.
     edges = judged.where("edge")
@@ -140,14 +150,14 @@ def _by_key():
     return Window.partitionBy("h1", "h2").orderBy("low", "top")
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, held: int = HELD) -> DataFrame:
     """(doc_id, keep): one compressed bitmap per document that loses a line; bits past the last dropped line are 1."""
 
     @F.pandas_udf("binary")
     def pack(lines):
         return lines.map(lambda x: _bitmap(np.asarray(x, np.int64), int(max(x)) + 1))
 
-    return dropped_lines(docs, min_chars, min_docs).groupBy("doc_id").agg(pack(F.collect_set("pos")).alias("keep"))
+    return dropped_lines(docs, min_chars, min_docs, held).groupBy("doc_id").agg(pack(F.collect_set("pos")).alias("keep"))
 
 
 def kept_mask(bitmap: bytes | None, lines: int) -> np.ndarray:
