@@ -5,10 +5,12 @@ The reference of a corpus' own repeats is the corpus, which has no size bound; s
 automaton knows how often each of its states occurs; a document's matching statistic at a word is the longest ending
 there that occurs twice. Where it reaches ``WINDOW`` words, the maximal span is removed.
 
-``dedup_against`` is the same with a given reference set: its shards are broadcast, each bounded by ``SHARD_WORDS``.
+``dedup_against`` is the same with a given reference set: its shards are broadcast one after the other, each bounded by
+``SHARD_WORDS``.
 
 Defined cases: null text has no words; a text without words is kept empty; repeated rows are repeats of each other;
-texts shorter than a window are never touched.
+texts shorter than a window are never touched; ids may be of any type; an input column ``spans`` of ``dedup_against`` is kept
+as ``in_spans``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .repeats import Items, covered, repeated_windows, unique_keys
-from .storage import table
+from .storage import make_room, table, written
 
 WINDOW = 35
 ITEMS = Items(window=WINDOW, gram=5, words=True)
@@ -124,35 +126,40 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def dedup_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with ``spans`` (array of word spans [start, end)) of all runs of ``window`` words or more that occur in
-    ``reference`` (doc_id, text): one broadcast automaton per shard of about ``SHARD_WORDS`` words (a longer document is
-    a shard of its own), each streamed past by all documents."""
+    ``reference`` (doc_id, text). Every shard of about ``shard_words`` words (a longer document is a shard of its own) is a
+    pass of its own over ids and texts: its automaton is broadcast, and the spans found are written before the next one is."""
     size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + int(size // 4 // SHARD_WORDS)
-    docs = docs.drop("spans").withColumn("spans", F.array().cast("array<struct<start:int,end:int>>"))
-    schema, names = docs.schema, docs.columns
+    shards = 1 + int(size // 4 // shard_words)
+    docs = make_room(docs, "spans").withColumn("__row", F.xxhash64("doc_id", "text"))
+    slim, kind = docs.select("__row", "text"), "array<struct<start:int,end:int>>"
+    found = None
     for shard in range(shards):
         own = reference.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)) == shard).select("text").toArrow()["text"]
         sequences = [words.hashes[a:b].tolist() for c in own.chunks for _, _, data, at in tk.slices(c) for words in [tk.Words(data, at, tk.NON_SPACE, lower=False)] for a, b in zip(words.rows[:-1], words.rows[1:], strict=True)]
         shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(sequences))
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             for batch in batches:
-                spans = batch.column(names.index("spans")).to_pylist()
-                for row, _, data, at in tk.slices(batch.column(names.index("text"))):
+                spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+                for row, _, data, at in tk.slices(batch.column(1)):
                     words = tk.Words(data, at, tk.NON_SPACE, lower=False)
                     for k, (a, b) in enumerate(zip(words.rows[:-1], words.rows[1:], strict=True)):
                         stats = np.array(shared.value.matching(words.hashes[a:b].tolist(), 1), np.int64)
                         ends = np.flatnonzero(stats >= window) + 1
                         hit = tk.cover(ends - window, ends, int(b - a))
                         step = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                        spans[row + k] = spans[row + k] + [{"start": int(x), "end": int(y)} for x, y in zip(step[::2], step[1::2], strict=True)]
-                arrays = [pa.array(spans, batch.schema.field("spans").type) if n == "spans" else batch.column(i) for i, n in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-        docs = docs.mapInArrow(mark, schema)
-    return docs
+                        spans[row + k] = [{"start": int(x), "end": int(y)} for x, y in zip(step[::2], step[1::2], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, spans_kind)], names=["__row", "spans"])
+
+        part = slim.mapInArrow(mark, f"__row long, spans {kind}").where(F.size("spans") > 0)
+        part = written(part.groupBy("__row").agg(F.first("spans").alias("spans")), "shard-spans")
+        shared.unpersist()
+        found = part if found is None else found.unionAll(part)
+    found = found.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return docs.join(found, "__row", "left").drop("__row").withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
