@@ -15,8 +15,7 @@ from riskloom.llm.storage import small_batches, table, written
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language ID rejects; the model is fitted on the stage's own labelled rows."""
     small_batches(spark)
-    model = langid.fit(langid.labelled(docs))
-    return langid.predict(docs, model).where("not rejected").select(*docs.columns)
+    return langid.accepted(docs, langid.fit(langid.labelled(docs)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return mixing.select_mix(docs)
+    return mixing.select_mix(docs, levels=mixing.query_levels())
 
 
 STAGES = [
