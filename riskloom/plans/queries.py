@@ -41,26 +41,29 @@ slices AS (SELECT subject, point, now_ns, now_ns AS cutoff_ns FROM (
 _SENDS = ", sends AS (SELECT subject, id AS point, at_ns AS now_ns, at_ns + 1 AS cutoff_ns FROM ev WHERE type = 'content.sent')"
 
 
+ALL_KINDS = "'email_hash', 'card_fingerprint_hash', 'device_hash'"
+
+
 def _touch_sql() -> str:
     return """
-touches AS (SELECT 'email_hash' AS kind, email_hash AS hash, subject, at_ns FROM ev WHERE type <> 'label' UNION ALL SELECT 'card_fingerprint_hash', card_fingerprint_hash, subject, at_ns FROM ev WHERE type <> 'label')"""
+touches AS (SELECT 'email_hash' AS kind, email_hash AS hash, subject, at_ns FROM ev WHERE type <> 'label' UNION ALL SELECT 'card_fingerprint_hash', card_fingerprint_hash, subject, at_ns FROM ev WHERE type <> 'label'
+  UNION ALL SELECT 'device_hash', device_hash, subject, at_ns FROM ev WHERE type <> 'label' AND device_hash IS NOT NULL)"""
 
 
-def _neighbour_sql(name: str, spine: str, kinds: str) -> str:
+def _neighbour_sql(name: str, spine: str, kinds: str, per_key: int = 50, total: int = 200) -> str:
     return f"""
 {name}_cand AS (SELECT o.subject, o.point, o.kind, o.hash, t.subject AS other, max(t.at_ns) AS last_ns FROM
   (SELECT DISTINCT s.subject, s.point, s.cutoff_ns, t.kind, t.hash FROM {spine} s JOIN touches t ON t.subject = s.subject AND t.at_ns < s.cutoff_ns WHERE t.kind IN ({kinds})) o
   JOIN touches t ON t.kind = o.kind AND t.hash = o.hash AND t.subject <> o.subject AND t.at_ns < o.cutoff_ns GROUP BY ALL),
 {name}_rank AS (SELECT *, row_number() OVER (PARTITION BY subject, point, kind, hash ORDER BY last_ns DESC, other) AS r FROM {name}_cand),
-{name}_first AS (SELECT subject, point, other, min(struct_pack(k := kind, h := hash, r := r)) AS place FROM {name}_rank WHERE r <= 50 GROUP BY ALL),
+{name}_first AS (SELECT subject, point, other, min(struct_pack(k := kind, h := hash, r := r)) AS place FROM {name}_rank WHERE r <= {per_key} GROUP BY ALL),
 {name} AS (SELECT f.subject, f.point, f.other, f.over OR c.subject IS NOT NULL AS truncated FROM
-  (SELECT *, count(*) OVER (PARTITION BY subject, point) > 200 AS over, row_number() OVER (PARTITION BY subject, point ORDER BY place) AS n FROM {name}_first) f
-  LEFT JOIN (SELECT DISTINCT subject, point FROM {name}_rank WHERE r > 50) c ON c.subject = f.subject AND c.point = f.point WHERE f.n <= 200)"""
+  (SELECT *, count(*) OVER (PARTITION BY subject, point) > {total} AS over, row_number() OVER (PARTITION BY subject, point ORDER BY place) AS n FROM {name}_first) f
+  LEFT JOIN (SELECT DISTINCT subject, point FROM {name}_rank WHERE r > {per_key}) c ON c.subject = f.subject AND c.point = f.point WHERE f.n <= {total})"""
 
 
 def _evidence_sql(spine: str) -> str:
-    both = "'email_hash', 'card_fingerprint_hash', 'device_hash'"
-    return f"""{_touch_sql()},{_neighbour_sql('general', spine, both)},{_neighbour_sql('cards', spine, "'card_fingerprint_hash'")},
+    return f"""{_touch_sql()},{_neighbour_sql('general', spine, ALL_KINDS)},{_neighbour_sql('cards', spine, "'card_fingerprint_hash'")},
 fate AS (SELECT subject AS other, min(CASE WHEN type = 'subject.deleted' THEN at_ns END) AS deleted_ns, min(CASE WHEN type = 'label' THEN at_ns END) AS labelled_ns FROM ev WHERE type IN ('subject.deleted', 'label') GROUP BY subject),
 evidence AS (SELECT s.subject, s.point,
   coalesce(g.deleted_n, 0) AS deleted_n, coalesce(g.labelled_n, 0) AS labelled_n, c.subject IS NOT NULL AS shared, coalesce(g.cut, false) OR coalesce(c.cut, false) AS cut FROM {spine} s
@@ -84,8 +87,8 @@ def _features_sql(spine: str, evidence: bool) -> str:
         "core.upgraded": "CASE WHEN paid_ns IS NULL THEN 0 ELSE 1 END",
         "core.declines_before_first_success": "declines",
         "core.first_funding_prepaid": "CASE WHEN funding = 'prepaid' THEN 1 ELSE 0 END",
-        "brand.name_match": "0",
-        "brand.name_has_at": "0",
+        "brand.name_match": "CASE WHEN named_paypal THEN 1 ELSE 0 END",
+        "brand.name_has_at": "CASE WHEN has_at THEN 1 ELSE 0 END",
         "email.first_day_distinct_domains": "ln(1 + first_day_domains) * 10 / ln(11)",
         "email.self_send_before_external": "least(2, self_sends)",
         "core.linked_deleted_n": "least(3, deleted_n)",
@@ -96,10 +99,10 @@ def _features_sql(spine: str, evidence: bool) -> str:
         "email.sends_10m_max": "least(300, peak / base) * decay",
         "email.sends_1h": "least(300, sends_1h / base) * decay",
         "email.sends_first_day": "least(300, sends_first_day)",
-        "email.webmail_recipient_share": "0",
-        "email.webmail_sends_1h": "0",
+        "email.webmail_recipient_share": "coalesce(webmail / nullif(sends, 0), 0)",
+        "email.webmail_sends_1h": "least(300, webmail_1h / base) * decay",
         "email.distinct_recipients_1h": "least(300, (hashes_1h + unhashed_1h) / base) * decay",
-        "email.subject_brand_match": "0",
+        "email.subject_brand_match": "least(3, CASE WHEN line_paypal AND NOT named_paypal THEN 1 ELSE 0 END + CASE WHEN line_parcel THEN 2 ELSE 0 END + CASE WHEN line_netflix AND NOT agent_netflix THEN 1 ELSE 0 END) * decay",
     }
     columns = ", ".join(f"CAST({v} AS DOUBLE) AS {column(f)}" for f, v in values.items())
     hour, day = (f"at_ns > now_ns - {w} AND at_ns <= now_ns" for w in (h, d))
@@ -123,6 +126,9 @@ g0 AS (SELECT subject, point, any_value(now_ns) AS now_ns, any_value(first_ns) A
   coalesce(max(running) FILTER (phase = 'recent'), 0) AS peak, greatest(1, coalesce(max(running) FILTER (phase = 'prior'), 0)) AS base,
   coalesce(sum(rec) FILTER (reach AND {hour}), 0) AS sends_1h, coalesce(sum(rec) FILTER (reach AND at_ns <= now_ns AND at_ns BETWEEN first_ns AND first_ns + {d}), 0) AS sends_first_day,
   count(DISTINCT CASE WHEN reach AND {hour} THEN recipient_hash END) AS hashes_1h, coalesce(sum(rec) FILTER (reach AND {hour} AND recipient_hash IS NULL), 0) AS unhashed_1h,
+  coalesce(bool_or(type = 'resource.created' AND k % 10 = 0), false) AS named_paypal, coalesce(bool_or(type = 'resource.created' AND k % 10 = 1), false) AS has_at, coalesce(bool_or(kind = 'agent' AND k % 10 = 3), false) AS agent_netflix,
+  coalesce(bool_or(reach AND {hour} AND k % 9 = 0), false) AS line_paypal, coalesce(bool_or(reach AND {hour} AND k % 9 = 2), false) AS line_parcel, coalesce(bool_or(reach AND {hour} AND k % 9 = 4), false) AS line_netflix,
+  coalesce(sum(rec) FILTER (reach AND at_ns <= now_ns), 0) AS sends, coalesce(sum(rec) FILTER (reach AND at_ns <= now_ns AND k % 23 < 2), 0) AS webmail, coalesce(sum(rec) FILTER (reach AND {hour} AND k % 23 < 2), 0) AS webmail_1h,
   min(at_ns) FILTER (type IN ('resource.created', 'content.sent') AND {hour}) AS oldest_hour, min(at_ns) FILTER (type IN ('resource.created', 'content.sent') AND {day}) AS oldest_day
   FROM j2 GROUP BY subject, point),
 g AS (SELECT *, least(1.0, greatest(0.2, 1 - ((now_ns - first_ns) / {float(d)} - 3) / 27)) AS decay,
@@ -237,7 +243,14 @@ def neighbour_outcomes(spark, sf_dir):
     return every.join(got, ["tenant", "subject"], "left").select("subject", F.coalesce("deleted_n", zero).alias("deleted_n"), F.coalesce("labelled_n", zero).alias("labelled_n"))
 
 
-@query(f"WITH {EVENTS_SQL},{_touch_sql()} SELECT DISTINCT b.subject FROM touches a JOIN touches b ON a.kind = b.kind AND a.hash = b.hash AND a.subject <> b.subject WHERE a.subject IN (SELECT subject FROM ev WHERE type IN ('subject.deleted', 'label'))")
+@query(f"WITH {EVENTS_SQL},{_ACTIVITY},{_touch_sql()},{_neighbour_sql('few', 'slices', ALL_KINDS, 3, 5)} SELECT subject, point, other, truncated FROM few")
+def neighbours_capped(spark, sf_dir):
+    """Caps small enough to bite at every key: three subjects a key, five in all."""
+    spine, events = _slices(spark, sf_dir)
+    return links.neighbours_as_of(spine, links.link_touches(events), per_key=3, total=5).drop("tenant")
+
+
+@query(f"WITH {EVENTS_SQL}, changed AS (SELECT DISTINCT subject, 'now' AS point, CAST(9e18 AS BIGINT) AS cutoff_ns FROM ev WHERE type IN ('subject.deleted', 'label')),{_touch_sql()},{_neighbour_sql('near', 'changed', ALL_KINDS)} SELECT DISTINCT other AS subject FROM near")
 def dirty_neighbours(spark, sf_dir):
     events = mapped_events(spark, sf_dir)
     changed = events.where("type in ('subject.deleted', 'label')").select("tenant", "subject").distinct()
@@ -279,7 +292,7 @@ def _classes(events: DataFrame) -> DataFrame:
 
 def _number(domain, count):
     """The k of 0 to 99 with k % 23 and k % 5 given (23 and 5 have no common factor, and 115 > 99)."""
-    a, b = F.substring(domain, 2, 3).cast("int"), (count - 1).cast("int")
+    a, b = F.when(domain == "gmail.com", 0).when(domain == " Web.DE", 1).otherwise(F.substring(domain, 2, 3).try_cast("int")), (count - 1).cast("int")
     return (a * 70 + b * 46) % 115
 
 

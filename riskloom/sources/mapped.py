@@ -1,18 +1,32 @@
 """The driver's tables as an account-risk event log: one fixed mapping, so that every operator runs on real rows.
 
 signup -> subject.created, purchase -> payment.attempt, view -> content.sent, click -> resource.created; error becomes a
-permanent deletion, a label or a paid subscription by the number in ``props``. Link hashes come from user ids; names and
-subject lines are the whole text of a document picked by event id.
+permanent deletion, a label or a paid subscription by the number in ``props``. Link hashes come from user ids, and every
+second user shares one device, a hub. Names, subject lines and webmail domains come from the number, too; with ``texts``
+names and subject lines are the whole text of a document picked by event id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENTS
 
 
+#: Names and subject lines by the last digits of the number (k % 10, k % 9); the others are plain.
+NAMES = {0: "PayPal login", 1: "mail@box desk", 2: "Amazon webhook", 3: "Netflix sync 7"}
+LINES = {0: "Your PayPal invoice", 1: "Netflix fan club", 2: "DHL and UPS parcel", 3: "your ups and downs", 4: "Netflix premiere"}
+WEBMAIL_DOMAINS = {0: "gmail.com", 1: " Web.DE"}
+
+
+def _by_number(k: Column, texts: dict[int, str], other: Column) -> Column:
+    out = other
+    for number, text in texts.items():
+        out = F.when(k == number, text).otherwise(out)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,13 +58,16 @@ def mapped_events(spark: SparkSession, sf_dir: str, texts: bool = False) -> Data
         "at_ns": F.unix_micros(F.col("ts").cast("timestamp")) * 1000,
         "email_hash": F.sha2(F.concat(F.lit("e"), (F.col("u") % 40).cast("string")), 256),
         "card_fingerprint_hash": F.sha2(F.concat(F.lit("c"), (F.col("u") % 25).cast("string")), 256),
+        "device_hash": F.when(F.col("u") % 2 == 0, F.sha2(F.lit("d"), 256)),
         "mode": of("subject.deleted", F.lit("permanent")),
         "outcome": of("payment.attempt", F.when(F.col("k") % 4 == 0, "declined").otherwise("succeeded")),
         "funding": of("payment.attempt", F.when(F.col("k") % 3 == 0, "prepaid").otherwise("credit")),
         "amount_minor": F.when(F.col("type").isin("payment.attempt", "subscription.changed"), F.col("value")),
         "status": of("subscription.changed", F.lit("active")),
         "kind": of("resource.created", F.when(F.col("k") % 2 == 0, "key").otherwise("agent")),
-        "recipient_domain": of("content.sent", F.concat(F.lit("d"), (F.col("k") % 23).cast("string"))),
+        "recipient_domain": of("content.sent", _by_number(F.col("k") % 23, WEBMAIL_DOMAINS, F.concat(F.lit("d"), (F.col("k") % 23).cast("string")))),
+        "name": of("resource.created", _by_number(F.col("k") % 10, NAMES, F.lit("plain name"))),
+        "subject_line": of("content.sent", _by_number(F.col("k") % 9, LINES, F.lit("weekly notes"))),
         "recipient_count": of("content.sent", (1 + F.col("k") % 5).cast("double")),
         "recipient_is_own_identity": of("content.sent", F.col("k") % 7 == 0),
         "recipient_hash": of("content.sent", F.when(F.col("k") % 2 == 0, F.concat(F.lit("hash-"), (F.col("k") % 11).cast("string")))),
@@ -73,12 +90,12 @@ raw AS (SELECT *, CAST(regexp_extract(props, '(\d+)', 1) AS INT) AS k, user_id A
 typed AS (SELECT *, CASE event_type WHEN 'signup' THEN 'subject.created' WHEN 'purchase' THEN 'payment.attempt' WHEN 'view' THEN 'content.sent' WHEN 'click' THEN 'resource.created'
   ELSE CASE WHEN k < 3 THEN 'subject.deleted' WHEN k < 6 THEN 'label' ELSE 'subscription.changed' END END AS type FROM raw),
 ev AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(u AS VARCHAR) AS subject, type, epoch_us(ts) * 1000 AS at_ns, k,
-  sha256('e' || (u % 40)) AS email_hash, sha256('c' || (u % 25)) AS card_fingerprint_hash,
+  sha256('e' || (u % 40)) AS email_hash, sha256('c' || (u % 25)) AS card_fingerprint_hash, CASE WHEN u % 2 = 0 THEN sha256('d') END AS device_hash,
   CASE WHEN type = 'payment.attempt' THEN CASE WHEN k % 4 = 0 THEN 'declined' ELSE 'succeeded' END END AS outcome,
   CASE WHEN type = 'payment.attempt' THEN CASE WHEN k % 3 = 0 THEN 'prepaid' ELSE 'credit' END END AS funding,
   CASE WHEN type IN ('payment.attempt', 'subscription.changed') THEN value END AS amount_minor,
   CASE WHEN type = 'resource.created' THEN CASE WHEN k % 2 = 0 THEN 'key' ELSE 'agent' END END AS kind,
-  CASE WHEN type = 'content.sent' THEN 'd' || (k % 23) END AS recipient_domain,
+  CASE WHEN type = 'content.sent' THEN CASE k % 23 WHEN 0 THEN 'gmail.com' WHEN 1 THEN ' Web.DE' ELSE 'd' || (k % 23) END END AS recipient_domain,
   CASE WHEN type = 'content.sent' THEN 1 + k % 5 END AS n,
   CASE WHEN type = 'content.sent' THEN k % 7 = 0 END AS own,
   CASE WHEN type = 'content.sent' AND k % 2 = 0 THEN 'hash-' || (k % 11) END AS recipient_hash
