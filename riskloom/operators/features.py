@@ -35,11 +35,14 @@ def within(at: Column, now: Column, width: int) -> Column:
 
 
 def history(spine: DataFrame, events: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Each point's events: those strictly before its ``cutoff_ns`` (``inclusive``: those up to it too).
+    """Each point's events: those strictly before its ``cutoff_ns`` (``inclusive``: those up to it too). Where the spine
+    has ``cutoff_seq``, those whose ``seq`` is not above it, whatever their instant (see ``replay.replay_points``).
 
     Points without an event keep one row of nulls, so that they come out with zeros.
     """
     past = F.col("e.at_ns") <= F.col("s.cutoff_ns") if inclusive else F.col("e.at_ns") < F.col("s.cutoff_ns")
+    if "cutoff_seq" in spine.columns:
+        past = F.col("e.seq") <= F.col("s.cutoff_seq")
     s, e = spine.alias("s"), events.where("type <> 'label'").alias("e")
     own = [F.col(f"e.{c}") for c in events.columns if c not in ("tenant", "subject")]
     return s.join(e, (F.col("s.tenant") == F.col("e.tenant")) & (F.col("s.subject") == F.col("e.subject")) & past, "left").select("s.*", *own)

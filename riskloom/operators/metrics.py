@@ -1,6 +1,6 @@
 """Evaluation: runs over labelled subjects, confusion, intervals, calibration, AUROC, lead time and gates.
 
-Metrics are grouped aggregations over (run keys); the only global order, AUROC's, runs over distinct risks per group.
+Metrics are grouped aggregations over (run keys); the only global order, AUROC's, runs over ranges of distinct risks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import family_keys, wilson
 from ..schema import CombineParams
+from .ranges import running_sum
 
 SLICES = ("first_send", "early_15m", "full")
 
@@ -41,7 +42,7 @@ def _rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 def confusion(records: DataFrame, keys: tuple[str, ...] = (), flagged: Column | None = None) -> DataFrame:
     """Counts and rates of records (positive, unscored, risk, flagged): an unscored positive is a miss, an unscored
-    negative is left out."""
+    negative is left out. Records with ``truncated`` or ``cost_micro`` are counted and added up by them, too."""
     flag = F.col("flagged") if flagged is None else flagged
     scored = ~F.col("unscored")
     count = lambda c: F.count_if(c)
@@ -53,6 +54,8 @@ def confusion(records: DataFrame, keys: tuple[str, ...] = (), flagged: Column |
         count(F.col("unscored")).alias("unscored"),
         count(F.coalesce(F.col("error_code") == "missing_slice", F.lit(False))).alias("missing_slice"),
         F.count("*").alias("total"),
+        *([count(F.coalesce("truncated", F.lit(False))).alias("truncated")] if "truncated" in records.columns else []),
+        *([F.coalesce(F.sum("cost_micro"), F.lit(0)).cast("long").alias("cost_micro")] if "cost_micro" in records.columns else []),
     )
     return out.withColumns(_rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
@@ -89,8 +92,8 @@ def calibration_error(records: DataFrame, bins: int = 10) -> DataFrame:
 def auroc(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, auroc) by ranks, tied risks sharing their mean rank; null if one class is missing."""
     each = records.where("not unscored").groupBy(*keys, "risk").agg(F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*(keys or (F.lit(1),))).orderBy("risk").rowsBetween(Window.unboundedPreceding, -1))
-    won = each.withColumn("won", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    upto = running_sum(each, list(keys), ["risk"], F.col("neg"), "upto")
+    won = upto.withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     total = won.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return total.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auroc"))
 
@@ -119,15 +122,31 @@ def long_metrics(records: DataFrame, params: CombineParams = CombineParams()) ->
     return whole.unionByName(area).unionByName(ece).unionByName(high).unionByName(families)
 
 
+RUN = ("rule", "scorer", "slice")
+
+
 def gate(metrics: DataFrame, floors: DataFrame) -> DataFrame:
-    """Violations (metric, floor, got, undefined) of floors (metric, floor); ece is a ceiling; an undefined metric fails."""
-    joined = floors.join(metrics, "metric", "left")
+    """Violations (metric, floor, got, undefined) of floors (metric, floor); ece is a ceiling; an undefined metric fails.
+
+    With columns rule, scorer and slice in ``floors``, each floor holds for the run of that name: a floor of a run that
+    is not in ``metrics`` is an error. So is one outside [0, 1] or without a name.
+    """
+    run = [c for c in RUN if c in floors.columns]
+    wrong = floors.where((F.col("floor") < 0) | (F.col("floor") > 1) | F.col("floor").isNull() | F.exists(F.array(*[F.col(c) for c in (*run, "metric")]), lambda c: F.coalesce(c, F.lit("")) == "")).limit(1)
+    if (row := wrong.first()) is not None:
+        raise ValueError(f"floor {row.asDict()}")
+    if run and (row := floors.join(metrics, run, "left_anti").first()) is not None:
+        raise LookupError(f"no run for floor {row.asDict()}")
+    joined = floors.join(metrics, [*run, "metric"], "left")
     broken = F.when(F.col("metric") == "ece", F.col("value") > F.col("floor")).otherwise(F.col("value") < F.col("floor"))
-    return joined.where(F.col("value").isNull() | broken).select("metric", "floor", F.col("value").alias("got"), F.col("value").isNull().alias("undefined"))
+    return joined.where(F.col("value").isNull() | broken).select(*run, "metric", "floor", F.col("value").alias("got"), F.col("value").isNull().alias("undefined"))
 
 
-def replay_recorded(calls: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Calls with the stored ``probs`` of (scorer, version, model, prompt_version, input_hash); a miss fails the run."""
+def replay_recorded(calls: DataFrame, recorded: DataFrame, corpus_hash: str | None = None) -> DataFrame:
+    """Calls with the stored ``probs`` of (scorer, version, model, prompt_version, input_hash); a miss fails the run.
+    With ``corpus_hash`` so does a recording (column corpus_hash) made over another corpus."""
+    if corpus_hash is not None and (row := recorded.where(~F.col("corpus_hash").eqNullSafe(F.lit(corpus_hash))).first()) is not None:
+        raise ValueError(f"recorded over another corpus: {row['corpus_hash']}")
     key = ["scorer", "version", "model", "prompt_version", "input_hash"]
     missing = calls.join(recorded, key, "left_anti").select(*key).limit(1)
     if not missing.isEmpty():

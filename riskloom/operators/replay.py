@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hmac_sha256, parse_rfc3339, split_for
 from ..functions.text import skeleton
-from ..schema import MINUTE_NS
+from ..schema import DAY_NS, HOUR_NS, MINUTE_NS
+from .features import as_map, features, history
+from .links import evidence_as_of
 from .metrics import SLICES
+from .ranges import running_sum
+
+RESCORE_STEP = 5 * MINUTE_NS
 
 
 def _activity(events: DataFrame) -> DataFrame:
@@ -89,10 +94,80 @@ def subject_split(subject: Column, secret: bytes) -> Column:
     return split_for(hmac_sha256(secret, subject))
 
 
+def unique_ids(events: DataFrame) -> None:
+    """Raise if a (producer, id) of a tenant occurs twice, under whatever subject."""
+    twice = events.groupBy("tenant", "producer", "id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    if not twice.isEmpty():
+        raise ValueError("an event id occurs twice")
+
+
 def every_event(events: DataFrame) -> DataFrame:
     """Spine with one point per event, at its instant and including it; raises if a (producer, id) occurs twice."""
     own = events.where("type <> 'label'")
-    twice = own.groupBy("tenant", "subject", "producer", "id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    if not twice.isEmpty():
-        raise ValueError("an event id occurs twice")
+    unique_ids(own)
     return own.select("tenant", "subject", F.concat_ws("/", "producer", "id").alias("point"), F.col("at_ns").alias("now_ns"), F.col("at_ns").alias("cutoff_ns"))
+
+
+def _timers(events: DataFrame) -> DataFrame:
+    """(tenant, subject, now_ns) of all timer points that a replay of ``events`` meets.
+
+    After each point the next timer is the first instant at which a window loses an event (an hour and a day after a
+    windowed event) or the first day ends, rounded up to ``RESCORE_STEP``. So every such instant fires at its step, unless an
+    event of the subject comes in between and is scored instead: at or after the instant, and before the step. That is one
+    look ahead over the subject's events in order of time, and needs no rounds of scoring.
+    """
+    key = Window.partitionBy("tenant", "subject")
+    first = F.coalesce(F.min(F.when(F.col("type") == "subject.created", parse_rfc3339(F.col("account_created_at"))["at_ns"])).over(key), F.min(F.when(F.col("type") != "label", F.col("at_ns"))).over(key))
+    windowed = F.col("type").isin("resource.created", "content.sent")
+    exits = F.filter(F.array(F.when(windowed, F.col("at_ns") + HOUR_NS), F.when(windowed, F.col("at_ns") + DAY_NS), F.when(F.row_number().over(key.orderBy("at_ns", "producer", "id")) == 1, first + DAY_NS)), lambda x: x.isNotNull())
+    rows = events.select("tenant", "subject", "at_ns", exits.alias("exits"))
+    gone = rows.select("tenant", "subject", F.explode("exits").alias("t"), F.lit(False).alias("is_event")).distinct()
+    seen = rows.select("tenant", "subject", F.col("at_ns").alias("t"), F.lit(True).alias("is_event")).distinct()
+    ahead = key.orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    both = gone.unionByName(seen).withColumn("next", F.min(F.when(F.col("is_event"), F.col("t"))).over(ahead))
+    step = (F.ceil(F.col("t") / F.lit(RESCORE_STEP).cast("decimal(20,0)")) * RESCORE_STEP).cast("long")
+    fired = both.where(~F.col("is_event")).withColumn("now_ns", step).where(F.col("next").isNull() | (F.col("now_ns") <= F.col("next")))
+    return fired.select("tenant", "subject", "now_ns").distinct()
+
+
+def replay_points(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spine, events with ``seq``) of scoring at every event, label events too, and at every timer until none is pending.
+
+    ``seq`` is the canonical order of the whole log (instant, producer, id). A point of an event knows the events up to
+    it in that order, so of events at one instant only earlier ones; a timer goes before the events of its instant. The
+    spine has trigger (event or timer), point, now_ns and cutoff_seq. For evidence of linked subjects as of a point, put
+    ``seq`` and ``cutoff_seq + 1`` in the places of instant and cutoff (see ``replay_evidence``).
+    """
+    unique_ids(events)
+    told = events.select("tenant", "subject", F.lit("event").alias("trigger"), "producer", "id", F.col("at_ns").alias("now_ns"))
+    due = _timers(events).select("tenant", "subject", F.lit("timer").alias("trigger"), F.lit("").alias("producer"), F.lit("").alias("id"), "now_ns")
+    is_event = F.col("trigger") == "event"
+    rows = told.unionByName(due).withColumn("__late", is_event)
+    # the subject comes last, to settle the order of timers
+    rows = running_sum(rows, [], ["now_ns", "__late", "producer", "id", "tenant", "subject"], is_event.cast("long"), "cutoff_seq")
+    point = F.when(is_event, F.concat_ws("/", "producer", "id")).otherwise(F.concat(F.lit("timer/"), F.col("now_ns").cast("string")))
+    spine = rows.select("tenant", "subject", "trigger", point.alias("point"), "now_ns", (F.col("now_ns") + is_event.cast("int")).alias("cutoff_ns"), "cutoff_seq", "producer", "id")
+    numbered = events.join(spine.where(is_event).select("tenant", "producer", "id", F.col("cutoff_seq").alias("seq")), ["tenant", "producer", "id"])
+    return spine.drop("producer", "id"), numbered
+
+
+def replay_evidence(spine: DataFrame, events: DataFrame, **options) -> DataFrame:
+    """Evidence of linked subjects at replay points, from the events before each in canonical order."""
+    return evidence_as_of(spine.withColumn("cutoff_ns", F.col("cutoff_seq") + 1), events.withColumn("at_ns", F.col("seq")), **options)
+
+
+def corpus_snapshot(labels: DataFrame, events: DataFrame, secret: bytes) -> DataFrame:
+    """One example for each label (tenant, subject, label_id, label, labelled_ns, rule): decision instant, event slice,
+    features and texts as of it (inclusive), the split by a keyed hash of the subject, gated false."""
+    spine = snapshot_points(labels, events)
+    key = ["tenant", "subject", "point"]
+    as_of = spine.withColumn("cutoff_ns", F.col("cutoff_ns") + 1)
+    got = as_map(features(as_of.drop("label"), events, evidence_as_of(as_of, events))).select(*key, "features")
+    texts = collect_texts(history(as_of.drop("label"), events), ("tenant", "subject", "point"))
+    rows = spine.join(got, key).join(event_slice(spine, events), key, "left").join(texts, key, "left")
+    rows = rows.join(labels.select("tenant", F.col("label_id").cast("string").alias("point"), "rule"), ["tenant", "point"])
+    none = F.create_map().cast("map<string,array<string>>")
+    return rows.select(
+        "tenant", F.col("point").alias("label_id"), "subject", "label", "rule", F.col("now_ns").alias("decision_ns"), "slice", "features", F.coalesce("text", none).alias("text"),
+        subject_split(F.col("subject"), secret).alias("split"), F.lit(False).alias("gated"),
+    )

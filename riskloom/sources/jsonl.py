@@ -1,8 +1,8 @@
 """JSON Lines sources with row-level errors, and the sinks of the event, verdict, label and run tables.
 
 Readers return good rows and error rows (source, line, code) side by side; ``strict`` turns any error into a failure.
-With ``exact_lines`` a file is one row until it is split, which numbers its lines; larger logs are read line by line and
-numbered by a stable row id instead.
+Files are read line by line in splits of any size; lines are numbered by their place in the split and the number of lines
+in the splits of the file before it, which are counted first.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ _CORPUS_KEYS = ("feature_key_space", "id", "input", "label", "split", "source",
 KEY_SPACE = "ns-v1"
 
 
-def read_lines(spark: SparkSession, path: str, exact_lines: bool = True) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source, line, value) of the lines that are not blank."""
-    if exact_lines:
-        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
-        rows = files.select("source", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
-    else:
-        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("line"), "value")
-    return rows.where(F.trim("value") != "")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    splits = rows.groupBy("source", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("source", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = rows.join(F.broadcast(splits), ["source", "block"]).select("source", (F.col("place") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+    return numbered.where(F.trim("value") != "")
 
 
 def _unknown(value: Column, allowed: tuple[str, ...]) -> Column:
@@ -36,7 +36,7 @@ def _unknown(value: Column, allowed: tuple[str, ...]) -> Column:
     return F.try_parse_json(value).isNull() | keys.isNull() | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) > 0)
 
 
-def read_events(spark: SparkSession, path: str, exact_lines: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(activity, label events, errors, tainted subjects) of an event log; a missing id becomes replay-line-<n>.
 
     Codes: bad_json, missing_field, bad_at, validate_failed, redact_failed, bad_label_event. A subject with a dropped
@@ -44,7 +44,7 @@ def read_events(spark: SparkSession, path: str, exact_lines: bool = True) -> tup
     """
     links = ", ".join(f"{k}: string" for k in LINK_KINDS)
     schema = f"producer string, id string, subject string, type string, at string, links struct<{links}>, data string"
-    lines = read_lines(spark, path, exact_lines)
+    lines = read_lines(spark, path)
     rows = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     broken = _unknown(F.col("value"), _EVENT_KEYS)
     rows = rows.select("source", "line", "value", broken.alias("broken"), "row.*")
@@ -162,3 +162,8 @@ def score_files(spark: SparkSession, source: str, target: str, scorer) -> None:
 def read_brands(rows: DataFrame) -> DataFrame:
     """Union of brand lists (name, aliases, case_sensitive): one row per name, aliases merged."""
     return rows.groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"), F.max(F.coalesce("case_sensitive", F.lit(False))).alias("case_sensitive"))
+
+
+def read_webmail(spark: SparkSession, path: str) -> DataFrame:
+    """(domain): a list of webmail domains, one a line, blank lines and # comments left out; lower case, each once."""
+    return spark.read.text(path).select(F.lower(F.trim(F.regexp_replace("value", "#.*$", ""))).alias("domain")).where("domain <> ''").distinct()

@@ -4,22 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in local tests."""
+    """The folder of spark.checkpoint.dir. Only a local session, as in tests, gets a temporary one where none is set:
+    on a cluster its executors would each write to a disk of their own."""
     directory = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not directory:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         directory = tempfile.mkdtemp(prefix="riskloom-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(directory)
     return directory
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing else uses."""
+    path = f"{shared_folder(spark).rstrip('/')}/riskloom-{uuid.uuid4().hex}/{name}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table of the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/riskloom-{uuid.uuid4().hex}/{name}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end: for callers whose result is stored elsewhere by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _WRITTEN[before:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del _WRITTEN[before:]

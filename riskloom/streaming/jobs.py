@@ -1,8 +1,9 @@
 """Streaming ingest, deduplication with conflicts, dirty subjects, incremental scoring and timers.
 
 Batches go through the batch operators in ``foreachBatch``; state lives either in the tables they append to, or in the
-stateful operators here. Late and future rows carry a reject code or are counted later. Only ``rescore_timers`` has a
-watermark and drops rows older than it; state that grows with the log belongs in the RocksDB store.
+stateful operators here. Late and future rows carry a reject code or are counted later. Only the timers have a watermark
+and drop rows older than it: ``rescore_timers`` plans from the events themselves, ``score_timers`` keeps the instant that a
+subject's last score asked for. State that grows with the log belongs in the RocksDB store.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ def _batch_id(df: DataFrame, batch: int) -> DataFrame:
 def ingest(raw: DataFrame, events_path: str, rejects_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Validate, redact and append a stream of raw events: good rows to the log, the others with their code.
 
-    A row is classified against its batch and against the log, so a batch that is run again appends nothing twice.
+    A row is classified against its batch and against the log's rows of the same ids, so a batch that is run again appends
+    no event twice; its rejects are the partition of its number, which is written over.
     """
 
     def append(df: DataFrame, batch: int) -> None:
@@ -38,10 +40,13 @@ def ingest(raw: DataFrame, events_path: str, rejects_path: str, checkpoint: str,
         checked = _batch_id(prepare(df), batch).persist()
         try:
             log = _log(spark, events_path)
+            if log is not None:
+                key = ["tenant", "producer", "id"]
+                log = log.select(*key, "body_hash").join(checked.select(*key).distinct(), key, "left_semi")
             judged = classify(checked.where("reject_code is null"), log)
             refused = checked.where("reject_code is not null").select("tenant", "producer", "id", "subject", F.col("reject_code").alias("code"), "batch")
             conflicts = judged.where("outcome = 'conflict'").select("tenant", "producer", "id", "subject", F.lit("conflict").alias("code"), "batch")
-            refused.unionByName(conflicts).write.mode("append").parquet(rejects_path)
+            refused.unionByName(conflicts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects_path)
             accepted = judged.where("outcome = 'accepted'").drop("outcome", "seq", "reject_code", "backfill")
             accepted.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("tenant", "day").parquet(events_path)
         finally:
@@ -119,6 +124,32 @@ def rescore_timers(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
+def _score_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps the instant asked for by the latest score; tells it once the watermark has passed it."""
+    scored, due = state.get if state.exists else (-1, None)
+    for part in parts:
+        for at, wanted in zip(part["scored_ns"], part["next_rescore_ns"], strict=True):
+            if at >= scored:
+                scored, due = int(at), None if pd.isna(wanted) else -(-int(wanted) // 1_000_000)
+    passed = state.getCurrentWatermarkMs()
+    if due is not None and due <= passed:
+        yield pd.DataFrame({"tenant": [key[0]], "subject": [key[1]], "due_ms": [due]})
+        due = None
+    state.update((scored, due))
+    if due is not None:
+        state.setTimeoutTimestamp(due)
+
+
+def score_timers(scores: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(tenant, subject, due_ms) from a stream of scores (tenant, subject, at, scored_ns, next_rescore_ns): a later score
+    replaces the timer of the one before, and one that asks for none removes it. What is asked for comes from the features
+    (see ``features``): the next window exit, the end of the first day, or a future event."""
+    rows = scores.withWatermark("at", delay).select("tenant", "subject", "at", "scored_ns", F.col("next_rescore_ns").cast("double"))
+    return rows.groupBy("tenant", "subject").applyInPandasWithState(
+        _score_group, "tenant string, subject string, due_ms long", "scored long, due long", "append", "EventTimeTimeout"
+    )
+
+
 def velocity(events: DataFrame) -> DataFrame:
     """Resource and send counts of each subject by sliding hour, for dashboards; exact windows come from the features.
 
