@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +11,10 @@ from ..operators import ingest, links, metrics, replay, scoring, subjects
 from ..operators.features import features
 from ..schema import DAY_NS, FEATURES, HASH_QUANTA, HOUR_NS, LOCAL_WEIGHTS, Rule, column
 from ..sources.mapped import EVENTS_SQL, mapped_events, read_table
+from .registry import ORACLES, QUERIES, query
 from .risk import risk_of_points
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- points and features -------------------------------------------------------------------------------------------
 
@@ -392,6 +378,7 @@ def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.when(k < 20, '{"note":"write to x@example.org"}').otherwise('{"note":"plain"}'))
     )
     return e.select(
+        "event_id",
         F.lit("t").alias("tenant"),
         F.lit("p").alias("producer"),
         F.when(k == 1, "").otherwise(F.col("event_id").cast("string")).alias("id"),
@@ -609,3 +596,6 @@ def run_comparison(spark, sf_dir):
 def intervals(spark, sf_dir):
     w = wilson(F.col("c_custkey") % 50, F.lit(50))
     return read_table(spark, sf_dir, "customer").select("c_custkey", F.round(w["low"], 9).alias("low"), F.round(w["high"], 9).alias("high"), clamp(F.col("c_acctbal").cast("double"), 0, 10).alias("clamped"))
+
+
+from . import operator_queries  # noqa: E402, F401  (registers more)

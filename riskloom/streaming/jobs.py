@@ -130,7 +130,7 @@ def _score_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -
     for part in parts:
         for at, wanted in zip(part["scored_ns"], part["next_rescore_ns"], strict=True):
             if at >= scored:
-                scored, due = int(at), None if pd.isna(wanted) else -(-int(wanted) // 1_000_000)
+                scored, due = int(at), None if wanted < 0 else -(-int(wanted) // 1_000_000)
     passed = state.getCurrentWatermarkMs()
     if due is not None and due <= passed:
         yield pd.DataFrame({"tenant": [key[0]], "subject": [key[1]], "due_ms": [due]})
@@ -144,7 +144,7 @@ def score_timers(scores: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(tenant, subject, due_ms) from a stream of scores (tenant, subject, at, scored_ns, next_rescore_ns): a later score
     replaces the timer of the one before, and one that asks for none removes it. What is asked for comes from the features
     (see ``features``): the next window exit, the end of the first day, or a future event."""
-    rows = scores.withWatermark("at", delay).select("tenant", "subject", "at", "scored_ns", F.col("next_rescore_ns").cast("double"))
+    rows = scores.withWatermark("at", delay).select("tenant", "subject", "at", "scored_ns", F.coalesce("next_rescore_ns", F.lit(-1)).alias("next_rescore_ns"))
     return rows.groupBy("tenant", "subject").applyInPandasWithState(
         _score_group, "tenant string, subject string, due_ms long", "scored long, due long", "append", "EventTimeTimeout"
     )
