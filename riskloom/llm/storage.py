@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import shared_folder, written
+from ..sources.shared import new_path, scratch, shared_folder, written
 
-__all__ = ["make_room", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["make_room", "new_path", "scratch", "shared_folder", "small_batches", "table", "written"]
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

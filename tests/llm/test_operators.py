@@ -340,7 +340,9 @@ def test_pipeline(spark, sf_dir, tmp_path):
         if name != "mixing":
             assert docs.columns == columns
         if name == "language_id":
-            assert len(after) >= 0.99 * len(before)
+            # what is rejected repeats a few words; all prose stays
+            prose = {i for i, t in before if len(w := t.split()) < 20 or len(set(w)) > 0.3 * len(w)}
+            assert prose <= set(after) and len(after) >= 0.9 * len(before)
         if name == "jaccard_join":
             first = {c for i, n, c in brute_components(before)}
             assert set(after) == first | {i for i, t in before if not shingles(t)}
