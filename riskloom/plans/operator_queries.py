@@ -163,7 +163,7 @@ _BLANKED = "regexp_replace(text, '[0-9]', ' ', 'g')"
 
 
 @query(
-    f"""WITH l AS (SELECT DISTINCT unnest(string_split({_BLANKED}, chr(10))) AS text FROM documents),
+    rf"""WITH l AS (SELECT DISTINCT unnest(string_split({_BLANKED}, chr(10))) AS text FROM documents),
 r AS (SELECT text, string_split_regex(nfc_normalize(text), '[\s\p{{P}}\p{{S}}]+') AS orig, {_TOKENS_SQL.format(_SKELETON_SQL.format('text'))} AS p, {_TOKENS_SQL.format(_SKELETON_SQL.format(_CAMEL_SQL.format('text')))} AS c FROM l),
 t AS (SELECT text, orig, unnest([p, c]) AS t FROM r), g AS (SELECT text, orig, list_has_any(t, [{_GATES}]) AS gated, ' ' || array_to_string(t, ' ') || ' ' AS line FROM t), s AS (SELECT *, {_SOCIAL} AS social FROM g),
 b AS (SELECT * FROM (VALUES ('The', 'the', NULL), ('And', 'and', NULL), ('And', 'und', NULL), ('In The', 'ln the', NULL), ('La', 'la', 'La'), ('De', 'de', NULL)) v(brand, words, exact)),
