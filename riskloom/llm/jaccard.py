@@ -2,13 +2,15 @@
 
 1. Equal shingle sets collapse into one class, so exact copies cost one row each.
 2. Classes meet through min-hash keys: ``BANDS`` keys of ``ROWS`` minima. A pair at the threshold of 0.8 misses all of
-   them with probability (1 - 0.8**5)**48 = 5e-9. Keys join each class with the smallest class of the key (never all
-   pairs), and the connected components of those links are the blocks.
+   them with probability (1 - 0.8**5)**48 = 5e-9. With ``exact`` the keys are a prefix instead, the floor(n / 5) + 1 least
+   hashes of a set of n: two sets of likeness 0.8 share one of these for certain, at the price of more keys and of blocks
+   that common passages join. Keys join each class with the smallest class of the key (never all pairs), and the
+   connected components of those links are the blocks.
 3. A block is a signature tree: leaves of classes sorted by size, inner nodes with OR-combined token bitmaps (in planes,
    so that tokens that share a bit still count) and size ranges. A dual traversal descends pairs of nodes and prunes a
    pair when its largest possible overlap is below the least overlap that its sizes need, or when all its classes are
    linked already. What is left is compared exactly.
-4. A block of more than ``BLOCK`` classes is cut into parts by size; every pair of parts whose sizes allow a link is a
+4. A block of more than ``block`` classes is cut into parts by size; every pair of parts whose sizes allow a link is a
    task of its own, so that no task holds more than two parts.
 5. The links' connected components give the answer.
 
@@ -20,6 +22,7 @@ be of any ordered type; only ``doc_id`` and ``text`` are read, and ``one_of_each
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from .storage import table, written
 SHINGLE = 5
 PERCENT = 80
 ROWS, BANDS = 5, 48
-BLOCK = 2048
+BLOCK = 512
 LEAF = 16
 FAN_OUT = 8
 PLANES = 2
@@ -76,21 +79,36 @@ def _minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(min-hash keys end to end, number of keys of each row): ``BANDS``, or none for an empty set."""
+    size = np.diff(offsets)
+    some = np.flatnonzero(size)
+    key = np.zeros((len(some), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    if len(some):
+        minima = _minima(values, np.append(offsets[some], offsets[-1])).reshape(len(some), BANDS, ROWS)
+        for r in range(ROWS):
+            key = tk.mix(key ^ minima[:, :, r])
+    return key.ravel(), (size > 0) * BANDS
+
+
+def _prefix_keys(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least hashes end to end, number of each row): as many as a set can lack of another and still be like it, and one."""
+    size = np.diff(offsets)
+    n = (size > 0) * (size * (100 - PERCENT) // 100 + 1)  # rows are sorted
+    at = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return values[at], n
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], keys_of=_band_keys) -> Iterator[pa.RecordBatch]:
     """Per row: id, set size, 128-bit set hash and the min-hash keys (none for an empty set), each id as it came."""
     for batch in batches:
         for row, values, offsets in shingle_sets(batch.column(1)):
             n, size = len(offsets) - 1, np.diff(offsets)
             first, second = (np.append(np.uint64(0), np.cumsum(tk.mix(values ^ seed), dtype=np.uint64)) for seed in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)))
             h1, h2 = (tk.signed(x[offsets[1:]] - x[offsets[:-1]]) for x in (first, second))
-            some = np.flatnonzero(size)
-            key = np.zeros((len(some), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            if len(some):
-                minima = _minima(values, np.append(offsets[some], offsets[-1])).reshape(len(some), BANDS, ROWS)
-                for r in range(ROWS):
-                    key = tk.mix(key ^ minima[:, :, r])
-            at = np.append(0, np.cumsum((size > 0) * BANDS)).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(at), pa.array(tk.signed(key.ravel())))
+            key, each = keys_of(values, offsets)
+            at = np.append(0, np.cumsum(each)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(at), pa.array(tk.signed(key)))
             yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + n], pa.array(size), pa.array(h1), pa.array(h2), keys], ["id", "n", "h1", "h2", "keys"])
 
 
@@ -210,11 +228,12 @@ def _parts(members: DataFrame, block: int) -> DataFrame:
     return placed.join(pairs.withColumn("part", F.explode(F.array_distinct(F.array("p", "q")))), ["component", "part"])
 
 
-def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    sketches = partial(_sketches, keys_of=_prefix_keys if exact else _band_keys)
     docs = docs.select(F.col("doc_id").alias("id"), "text")
     kind = docs.schema["id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_sketches, f"id {kind}, n long, h1 long, h2 long, keys array<long>"), "sets")
+    rows = written(docs.mapInArrow(sketches, f"id {kind}, n long, h1 long, h2 long, keys array<long>"), "sets")
     known = rows.where("id is not null and n > 0")
     classes = written(known.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "keys")).alias("x")).select("h1", "h2", F.col("x.id").alias("rep"), "x.n", "x.keys"), "classes")
     keys = classes.select("rep", F.explode("keys").alias("key"))

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import regex
 import xxhash
@@ -48,6 +49,21 @@ def test_words_built_to_collide_modulo_a_power_of_two_differ(spark):
     assert substrings.repeated_words(repeats.unique_keys(spark.createDataFrame(rows, TEXT))).count() == 0
 
 
+def test_exact_keys_of_the_join(spark, documents):
+    pick = lambda **o: sorted(map(tuple, jaccard.jaccard_components(documents, **o).collect()))
+    found = pick(exact=True)
+    assert found == pick() and any(i != c for i, _, c in found)
+    rng = random.Random(5)
+    for _ in range(200):  # sets just at the threshold share a key
+        n = rng.randrange(5, 80)
+        both = [rng.getrandbits(64) for _ in range(-(-8 * n // 9) if n % 9 else 8 * n // 9)]
+        a, b = (sorted({*both, *[rng.getrandbits(64) for _ in range(n - len(both))]}) for _ in range(2))
+        if 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)):
+            values = np.array(a + b, np.uint64)
+            keys, each = jaccard._prefix_keys(values, np.array([0, len(a), len(a) + len(b)]))
+            assert set(keys[: each[0]].tolist()) & set(keys[each[0] :].tolist())
+
+
 # --- ids and columns ---
 
 
