@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .storage import make_room, table, written
 
 LEVELS = ("domain", "lang_key", "source_key")
-DIGITS = 3
+DIGITS = 2
 BUCKETS = 16**DIGITS
 EDGE_ROWS = 200_000
 BROADCAST_LEAVES = 20_000
