@@ -266,3 +266,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+#: Pairs of different sets that share a shingle are counted by joining the shingles; copies meet in their set.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS size, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+grams AS (SELECT doc_id, size, p, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g FROM words),
+shingles AS (SELECT DISTINCT doc_id, md5(g) AS g FROM grams WHERE p <= greatest(size - 4, 1)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS name FROM shingles GROUP BY doc_id),
+reps AS (SELECT name, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY name),
+slim AS (SELECT s.doc_id AS rep, r.n, s.g FROM shingles s JOIN reps r ON r.rep = s.doc_id),
+links AS (SELECT a.rep AS x, b.rep AS y FROM slim a JOIN slim b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT rep AS x, rep AS y FROM reps UNION SELECT r.x, b.y FROM reach r JOIN both_ b ON b.x = r.y),
+comps AS (SELECT x AS rep, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(c.component_id, d.doc_id) AS BIGINT) AS component_id
+FROM d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN reps r ON r.name = s.name LEFT JOIN comps c ON c.rep = r.rep
+"""

@@ -26,6 +26,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, lines, mixing
-
-    return {"op2_mixing": mixing.OP2_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op9_line_dedup": lines.OP9_SQL}
+    from . import decontaminate, jaccard, lines, mixing, runindex, substrings
+
+    return {
+        "op2_mixing": mixing.OP2_SQL,
+        "op5_jaccard_join": jaccard.OP5_SQL,
+        "op6_decontamination": decontaminate.OP6_SQL,
+        "op7_substring_dedup": substrings.OP7_SQL,
+        "op9_line_dedup": lines.OP9_SQL,
+        "op10_run_index": runindex.OP10_SQL,
+    }

@@ -144,3 +144,20 @@ def op10_run_index(spark, sf_dir: str) -> DataFrame:
     marked = keyed.join(repeated_bytes(keyed), "key", "left").select("doc_id", "text", "spans")
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return marked.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Every window of every text, counted; bytes as hex digits, in pieces so that no window is cut out of a long text.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), sized AS (SELECT *, len(x) // 2 AS n FROM d),
+pieces AS (SELECT doc_id, b * 1000 AS start, substr(x, b * 2000 + 1, 2400) AS x FROM (SELECT doc_id, x, unnest(range(0, n // 1000 + 1)) AS b FROM sized)),
+windows AS (SELECT doc_id, start + i AS p, md5(substr(x, i * 2 + 1, 400)) AS h FROM (SELECT doc_id, start, x, unnest(range(0, least(1000, len(x) // 2 - 199))) AS i FROM pieces)),
+hits AS (SELECT doc_id, p FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) r USING (h)),
+steps AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) > 200 AS new FROM hits),
+numbered AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM steps),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY doc_id, span),
+between_ AS (SELECT doc_id, a AS upto, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans UNION ALL SELECT s.doc_id, s.n, max(b) FROM sized s JOIN spans USING (doc_id) GROUP BY s.doc_id, s.n),
+kept AS (SELECT k.doc_id, string_agg(substr(d.x, CAST(since * 2 + 1 AS BIGINT), CAST((upto - since) * 2 AS BIGINT)), '' ORDER BY since) AS x FROM between_ k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_bytes, CAST(coalesce(u.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(u.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.x, s.x))) AS kept_sha256
+FROM sized s LEFT JOIN sums u ON u.doc_id = s.doc_id LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""

@@ -167,3 +167,16 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     marked = keyed.join(repeated_words(keyed), "key", "left").select("doc_id", "text", "spans")
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return marked.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+
+
+#: Every window of every text, counted.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+windows AS (SELECT doc_id, p, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h, count(*) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM words),
+whole AS (SELECT doc_id, p, h FROM windows WHERE n = 35),
+hits AS (SELECT doc_id, p FROM whole SEMI JOIN (SELECT h FROM whole GROUP BY h HAVING count(*) > 1) r USING (h)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM hits),
+kept AS (SELECT w.doc_id, count(g.p) AS n_removed, string_agg(w.word, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS text FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
