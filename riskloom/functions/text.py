@@ -1,7 +1,7 @@
 """Text functions: NFKC, look-alike skeletons, tokens and brand matching.
 
 Spark has no Unicode normalisation, so one Arrow function each for NFKC and for the skeleton runs Python's, and only for
-texts that are not ASCII, or hold digits (skeletons). All the rest, and the join with the brands, are Spark's own expressions. Brands
+texts that are not ASCII, or hold digits (skeletons). All the rest, brands too, are Spark's own expressions. Brands
 match on distinct texts: each text is tokenised once, whatever the number of events that carry it.
 """
 
@@ -123,10 +123,15 @@ def _canonical_words(text: str) -> list[str]:
     return "".join(" " if unicodedata.category(c)[0] in "PSZ" else c for c in folded).split()
 
 
-def brand_words(spark, brands=BRANDS) -> DataFrame:
-    """(brand, words, n, exact): one row per name and alias; exact holds the spelling that a case-sensitive name needs."""
-    rows = [(name, " ".join(words), len(words), name if sensitive and spelled == name else None) for name, aliases, sensitive in brands for spelled in (name, *aliases) if (words := _canonical_words(spelled))]
-    return spark.createDataFrame(rows, "brand string, words string, n int, exact string")
+def brand_words(brands=BRANDS) -> dict[str, list[tuple[str, str | None]]]:
+    """Words of every name and alias, to (brand, spelling that a case-sensitive name needs)."""
+    out: dict[str, list[tuple[str, str | None]]] = {}
+    for name, aliases, sensitive in brands:
+        for spelled in (name, *aliases):
+            if words := _canonical_words(spelled):
+                entry = (name, name if sensitive and spelled == name else None)
+                out.setdefault(" ".join(words), []).append(entry)
+    return out
 
 
 def _runs(tokens: Column, n: int) -> Column:
@@ -138,24 +143,34 @@ def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     """(text, name_brands, subject_brands, has_integration) for each distinct text of column ``text``.
 
     A text is read as it stands and with camel-case borders as spaces; gates and brands are applied to each reading by
-    itself. The words' runs of the brands' lengths are joined with the brands by equality.
+    itself. The words' runs of the brands' lengths are intersected with the configured ones, so a text stays one row.
     """
-    spark = texts.sparkSession
-    listed = brand_words(spark, brands)
-    longest = max([len(r) for r in [_canonical_words(s) for b in brands for s in (b[0], *b[1])]] or [1])
+    listed = brand_words(brands)
+    longest = max((w.count(" ") + 1 for w in listed), default=1)
+    known = F.array(*[F.lit(w) for w in listed]).cast("array<string>")
+    kind = "struct<brand:string,exact:string>"
+    of = {w: F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(e).cast("string").alias("exact")).cast(kind) for b, e in entries]) for w, entries in listed.items()}
+    named = F.create_map(*[x for w, entries in of.items() for x in (F.lit(w), entries)]).cast(f"map<string,array<{kind}>>")
     gate = F.array(*[F.lit(" ".join(_canonical_words(w))) for w in INTEGRATION_WORDS])
     phrases = [" ".join(_canonical_words(p)) for p in COMMUNITY_PHRASES]
+    none = F.array().cast("array<string>")
     distinct = texts.select("text").where(F.col("text").isNotNull()).distinct()
     spelled = distinct.withColumns({"plain": tokenise(skeleton(F.col("text"))), "split": tokenise(skeleton(camel(F.col("text")))), "original": F.split(nfkc(F.col("text")), _SEPARATOR)})
-    read = spelled.select("text", "original", F.arrays_overlap("plain", gate).alias("has_integration"), F.explode(F.array_distinct(F.array("plain", "split"))).alias("tokens"))
-    line = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-    social = F.lit(False)
-    for phrase in phrases:
-        social = social | line.contains(f" {phrase} ")
-    runs = F.flatten(F.array(*[_runs(F.col("tokens"), n) for n in range(1, longest + 1)]))
-    read = read.select("text", "original", "has_integration", F.arrays_overlap("tokens", gate).alias("gated"), social.alias("social"), F.explode(F.array_distinct(runs)).alias("words"))
-    hits = read.join(F.broadcast(listed), "words").where(F.col("exact").isNull() | F.array_contains("original", F.col("exact")))
-    hits = hits.groupBy("text").agg(F.array_sort(F.collect_set(F.when(~F.col("gated"), F.col("brand")))).alias("name_brands"), F.array_sort(F.collect_set(F.when(~F.col("social"), F.col("brand")))).alias("subject_brands"))
-    flags = spelled.select("text", F.arrays_overlap("plain", gate).alias("has_integration"))
-    none = F.array().cast("array<string>")
-    return flags.join(hits, "text", "left").select("text", F.coalesce("name_brands", none).alias("name_brands"), F.coalesce("subject_brands", none).alias("subject_brands"), "has_integration")
+
+    def found(tokens: Column) -> Column:
+        runs = F.flatten(F.array(*[_runs(tokens, n) for n in range(1, longest + 1)]))
+        entries = F.flatten(F.transform(F.array_intersect(runs, known), lambda w: F.element_at(named, w)))
+        return F.transform(F.filter(entries, lambda e: e["exact"].isNull() | F.array_contains(F.col("original"), e["exact"])), lambda e: e["brand"])
+
+    def social(tokens: Column) -> Column:
+        line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+        out = F.lit(False)
+        for phrase in phrases:
+            out = out | line.contains(f" {phrase} ")
+        return out
+
+    readings = ("plain", "split")
+    spelled = spelled.withColumns({f"{c}_found": found(F.col(c)) for c in readings})
+    both = lambda closed: F.array_sort(F.array_distinct(F.concat(*[F.when(closed(F.col(c)), none).otherwise(F.col(f"{c}_found")) for c in readings])))
+    gated = lambda tokens: F.arrays_overlap(tokens, gate)
+    return spelled.select("text", both(gated).alias("name_brands"), both(social).alias("subject_brands"), gated(F.col("plain")).alias("has_integration"))

@@ -1,9 +1,9 @@
 """Point-in-time features: a spine of (tenant, subject, point, now_ns) joined with each subject's events before it.
 
-One plan computes all features of all points: events join the spine on the subject with a time predicate, the few values
-that others lean on (first seen, first success, first external send) and the sliding peaks are windows over the joined
-rows, and one grouped aggregation gives the rest. The join's partitioning by subject serves windows and aggregation, so
-events are shuffled once.
+One plan computes all features of all points: events, whose names and subject lines have become the brands in them, join
+the spine on the subject with a time predicate; the few values that others lean on (first seen, first success, first
+external send) and the sliding peaks are windows over the joined rows, and one grouped aggregation gives the rest. The
+join's partitioning by subject serves windows and aggregation, so the joined rows are made once and not shuffled again.
 """
 
 from __future__ import annotations
@@ -48,13 +48,37 @@ def history(spine: DataFrame, events: DataFrame, inclusive: bool = False) -> Dat
     return s.join(e, (F.col("s.tenant") == F.col("e.tenant")) & (F.col("s.subject") == F.col("e.subject")) & past, "left").select("s.*", *own)
 
 
+def tag_brands(events: DataFrame, brands=BRANDS) -> DataFrame:
+    """``events`` with what names and subject lines tell in place of the texts, so that histories carry no text:
+    ``has_at``, ``text_brands`` (of a name, or of a subject line), ``agent_brands`` (exempt ones, of an agent's name that
+    says it is an integration) and ``name_key`` (hash of the folded name). Each distinct text is matched once; rows without
+    a text take no part in that."""
+    named = F.col("type").isin("resource.created", "resource.deleted")
+    line = (F.col("type") == "content.sent") & ~F.coalesce(F.col("recipient_is_own_identity"), F.lit(False)) & (F.col("subject_line") != "")
+    rows = events.withColumn("__text", F.when(named, F.col("name")).when(line, F.col("subject_line")))
+    agent = (F.col("type") == "resource.created") & F.coalesce(fold(F.col("kind")), F.lit("")).isin(*AGENT_KINDS)
+    told = rows.where("__text is not null")
+    found = told.join(match_brands(told.select(F.col("__text").alias("text")), brands).withColumnRenamed("text", "__text"), "__text")
+    tags = {
+        "has_at": named & F.col("name").contains("@"),
+        "text_brands": F.when(named, F.col("name_brands")).otherwise(F.col("subject_brands")),
+        "agent_brands": F.when(agent & F.col("has_integration"), F.col("subject_brands")),
+        "name_key": F.when(named, F.md5(fold(F.col("__text")))),
+    }
+    gone = ("name", "subject_line", "__text", "name_brands", "subject_brands", "has_integration")
+    found = found.withColumns(tags).drop(*gone)
+    none = {"has_at": "boolean", "text_brands": "array<string>", "agent_brands": "array<string>", "name_key": "string"}
+    silent = rows.where("__text is null").withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).drop(*gone)
+    return found.unionByName(silent)
+
+
 def _peak(width: int, name: str) -> Column:
     """Largest recipient sum of any ``width`` within the phase's own rows."""
     return F.max(F.when(F.col("phase") == name, F.col("running")))
 
 
 def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WEBMAIL)) -> DataFrame:
-    """Features of one subject's own events (all but links and brands), with first_ns, decay and next_rescore_ns."""
+    """Features of one subject's own tagged events (all but links), with first_ns, decay and next_rescore_ns."""
     at, now, kind_of = F.col("at_ns"), F.col("now_ns"), F.col("type")
     sent = kind_of == "content.sent"
     own = F.coalesce(F.col("recipient_is_own_identity"), F.lit(False))
@@ -84,6 +108,7 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
     domain = fold(F.col("recipient_domain"))
     to_webmail = domain.isin(*webmail)
     named = kind_of.isin("resource.created", "resource.deleted")
+    own_name = F.struct("name_key", F.col("agent_brands").alias("brands"))
     total = lambda condition, value=1: F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
     flag = lambda condition: F.coalesce(F.max(F.when(condition, 1)), F.lit(0))
     up_to = lambda limit: F.col(limit).isNull() | (at <= F.col(limit))
@@ -97,7 +122,11 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
         F.min(F.when(paid, at)).alias("paid_ns"),
         total((kind_of == "payment.attempt") & (F.col("outcome") == "declined") & up_to("success_ns")).alias("declines"),
         F.min_by(F.when(success, F.col("funding")), F.when(success, F.struct("at_ns", "producer", "id"))).alias("first_funding"),
-        flag(named & F.col("name").contains("@")).alias("has_at"),
+        flag(F.col("has_at")).alias("has_at"),
+        F.flatten(F.collect_set(F.when(named, F.col("text_brands")))).alias("named"),
+        F.flatten(F.collect_set(F.when(sent & hour, F.col("text_brands")))).alias("lines"),
+        F.collect_set(F.when(F.col("agent_brands").isNotNull(), own_name)).alias("agents"),
+        F.collect_set(F.when(kind_of == "resource.deleted", F.col("name_key"))).alias("gone"),
         F.size(F.collect_set(F.when(sent & first_day & (F.col("recipient_domain") != ""), domain))).alias("first_day_domains"),
         total(sent & own & up_to("external_ns")).alias("self_sends"),
         total(windowed & day).alias("windowed_day"),
@@ -124,6 +153,9 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
     later = lambda value: F.when(value > now, value)
     soon = F.least(F.col("oldest_hour") + HOUR_NS, F.col("oldest_day") + DAY_NS, later(first + DAY_NS), F.col("future_ns"))
     step = 5 * MINUTE_NS
+    # brands of names, and brands of the last hour's lines that neither a name nor a live agent's name accounts for
+    exempt = F.flatten(F.transform(F.filter("agents", lambda a: ~F.array_contains("gone", a["name_key"])), lambda a: a["brands"]))
+    line_brands = F.size(F.array_except(F.array_except(F.array_distinct("lines"), F.col("named")), exempt))
     values = {
         "core.subject_age_h": clamp((now - first) / float(HOUR_NS), 0, 24),
         "core.resource_velocity_1h": F.col("resource_1h"),
@@ -134,7 +166,9 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
         "core.upgraded": F.col("paid_ns").isNotNull().cast("int"),
         "core.declines_before_first_success": F.col("declines"),
         "core.first_funding_prepaid": (F.coalesce(F.col("first_funding"), F.lit("")) == "prepaid").cast("int"),
+        "brand.name_match": (F.size("named") > 0).cast("int"),
         "brand.name_has_at": F.col("has_at"),
+        "email.subject_brand_match": F.least(F.lit(3), line_brands) * F.col("decay"),
         "email.first_day_distinct_domains": F.log1p("first_day_domains") * LOG_SCALE,
         "email.self_send_before_external": F.least(F.col("self_sends"), F.lit(2)),
         "core.burst_ratio_24h_vs_lifetime": F.when(F.col("windowed") > 0, F.col("windowed_day") / F.col("windowed")),
@@ -149,34 +183,13 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
     return grouped.select(*KEY, "now_ns", "first_ns", "decay", F.when(seen, (F.ceil(soon / step) * step).cast("long")).alias("next_rescore_ns"), *out)
 
 
-def brand_evidence(joined: DataFrame, brands=BRANDS) -> DataFrame:
-    """(key, name_match, subject_brands): brands in resource names, and those only in the last hour's subject lines."""
-    named = F.col("type").isin("resource.created", "resource.deleted")
-    sent = (F.col("type") == "content.sent") & ~F.coalesce(F.col("recipient_is_own_identity"), F.lit(False)) & (F.col("subject_line") != "")
-    rows = joined.where(named | (sent & within(F.col("at_ns"), F.col("now_ns"), HOUR_NS)))
-    rows = rows.select(*KEY, "type", F.coalesce(fold(F.col("kind")), F.lit("")).alias("kind"), F.when(named, F.col("name")).otherwise(F.col("subject_line")).alias("text"))
-    known = match_brands(rows, brands)
-    rows = rows.join(known, "text")
-    live = F.when((F.col("type") == "resource.created") & F.col("kind").isin(*AGENT_KINDS) & F.col("has_integration"), F.struct(fold(F.col("text")).alias("name"), F.col("subject_brands").alias("brands")))
-    got = rows.groupBy(*KEY).agg(
-        F.flatten(F.collect_set(F.when(F.col("type") != "content.sent", F.col("name_brands")))).alias("named"),
-        F.flatten(F.collect_set(F.when(F.col("type") == "content.sent", F.col("subject_brands")))).alias("lines"),
-        F.collect_set(live).alias("agents"),
-        F.collect_set(F.when(F.col("type") == "resource.deleted", fold(F.col("text")))).alias("gone"),
-    )
-    exempt = F.flatten(F.transform(F.filter("agents", lambda a: ~F.array_contains("gone", a["name"])), lambda a: a["brands"]))
-    left = F.array_except(F.array_except(F.array_distinct("lines"), F.col("named")), exempt)
-    return got.select(*KEY, (F.size("named") > 0).cast("double").alias("name_match"), F.size(left).alias("subject_brands"))
-
-
 def features(spine: DataFrame, events: DataFrame, evidence: DataFrame | None = None, brands=BRANDS, webmail=tuple(WEBMAIL), inclusive: bool = False) -> DataFrame:
     """All features of every spine row (tenant, subject, point, now_ns, cutoff_ns), in feature order, with next_rescore_ns.
 
     ``evidence``: (key, deleted_n, labelled_n, fingerprint_shared, truncated) of linked subjects; without it they count
     nothing. Points without events are all zeros and are never rescored.
     """
-    joined = history(spine, events, inclusive)
-    out = behaviour(joined, webmail).join(brand_evidence(joined, brands), list(KEY), "left")
+    out = behaviour(history(spine, tag_brands(events, brands), inclusive), webmail)
     if evidence is None:
         linked = {"deleted_n": F.lit(0), "labelled_n": F.lit(0), "fingerprint_shared": F.lit(False), "truncated": F.lit(False)}
     else:
@@ -184,8 +197,6 @@ def features(spine: DataFrame, events: DataFrame, evidence: DataFrame | None = N
         linked = {c: F.col(c) for c in ("deleted_n", "labelled_n", "fingerprint_shared", "truncated")}
     seen = F.col("first_ns").isNotNull()
     more = {
-        "brand.name_match": F.col("name_match"),
-        "email.subject_brand_match": F.least(F.lit(3), F.coalesce("subject_brands", F.lit(0))) * F.col("decay"),
         "core.linked_deleted_n": F.least(F.lit(3), F.coalesce(linked["deleted_n"], F.lit(0))),
         "core.linked_labelled_abusive_n": linked["labelled_n"],
         "core.fingerprint_seen_on_other_subjects": linked["fingerprint_shared"].cast("int"),
