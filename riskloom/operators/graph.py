@@ -1,9 +1,7 @@
 """Connected components by large-star / small-star rounds.
 
 Both star steps are joins and grouped minima over the edge list, so no node's neighbourhood is ever gathered; each round
-is cut off with a checkpoint and the only thing that reaches the driver is the round's change count. Nodes with more than
-one in ``HUBS`` of all edge ends, fewer than ``HUBS`` by that, meet their minimum by a broadcast, so that no hub's edges
-fill a task.
+is cut off with a checkpoint and the only thing that reaches the driver is the round's change count.
 """
 
 from __future__ import annotations
@@ -13,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
-HUBS = 1000
-
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edge list; component is the smallest node it reaches.
@@ -26,16 +22,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    before, ends = None, 2 * e.count()
+    before = None
     for _ in range(max_rounds):
         # large star: link each node's larger neighbours to its smallest neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        hub = F.col("n") * HUBS > ends
-        hubs = F.broadcast(lowest.where(hub).drop("n"))
-        upward = both.where("v > u")
-        met = upward.join(hubs, "u").unionByName(upward.join(hubs, "u", "left_anti").join(lowest.where(~hub).drop("n"), "u"))
-        large = met.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        lowest = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small star: link each node's smaller neighbours and itself to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -44,5 +36,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == before:
             labels = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
             return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        before, ends = now, 2 * now[0]
+        before = now
     raise RuntimeError("connected components did not settle")
