@@ -246,6 +246,40 @@ def test_lines_held_in_pieces(spark):
     assert whole == pieces and len(whole) > 100
 
 
+# --- the pipeline ---
+
+
+def test_stages_against_brute_force(spark, sf_dir, documents, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r["doc_id"]: r for r in documents.collect()}
+    key = lambda line: line.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = {}
+    for i, r in rows.items():
+        for line in (r["text"] or "").split("\n"):
+            if len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(i)
+    drops = {k: max(v) for k, v in holders.items() if len(v) >= 3}
+    want = {i: "\n".join(line for line in (r["text"] or "").split("\n") if drops.get(key(line), i) == i) for i, r in rows.items()}
+    got = {r["doc_id"]: r["text"] or "" for r in stages["line_dedup"](spark, documents, sf_dir).collect()}
+    assert got == want and drops
+
+    bench = [words_of(t) for _, t in texts(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))]
+    windows = {tuple(w[k : k + 10]) for w in bench if w for k in range(max(1, len(w) - 9))}
+    sizes = {len(x) for x in windows}
+    bad = {i for i, r in rows.items() for w in [words_of(r["text"] or "")] if any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))}
+    assert {r["doc_id"] for r in stages["decontamination"](spark, documents, sf_dir).collect()} == set(rows) - bad and bad
+
+    import duckdb
+
+    few = documents.where("length(text) % 3 > 0")
+    few.write.parquet(str(tmp_path / "few"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/few/*.parquet')")
+    want = sorted(con.execute(f"SELECT doc_id, epoch FROM ({mixing.OP2_SQL})").fetchall())
+    got = sorted((r["doc_id"], r["epoch"]) for r in stages["mixing"](spark, few, sf_dir).collect())
+    assert got == want and got
+
+
 # --- op8 ---
 
 
