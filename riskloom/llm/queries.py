@@ -15,6 +15,7 @@ _OPS = {
     "op8_pii": "pii",
     "op9_line_dedup": "lines",
     "op10_run_index": "runindex",
+    "op11_quality_rules": "quality",
 }
 
 
@@ -26,7 +27,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, jaccard, lines, mixing, runindex, substrings
+    from . import decontaminate, jaccard, lines, mixing, quality, runindex, substrings
 
     return {
         "op2_mixing": mixing.OP2_SQL,
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": substrings.OP7_SQL,
         "op9_line_dedup": lines.OP9_SQL,
         "op10_run_index": runindex.OP10_SQL,
+        "op11_quality_rules": quality.OP11_SQL,
     }
