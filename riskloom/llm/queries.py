@@ -16,6 +16,7 @@ _OPS = {
     "op9_line_dedup": "lines",
     "op10_run_index": "runindex",
     "op11_quality_rules": "quality",
+    "op12_whitening": "whitening",
 }
 
 
