@@ -17,6 +17,7 @@ _OPS = {
     "op10_run_index": "runindex",
     "op11_quality_rules": "quality",
     "op12_whitening": "whitening",
+    "op13_prefix_trie": "trie",
 }
 
 
@@ -28,7 +29,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, jaccard, lines, mixing, quality, runindex, substrings
+    from . import decontaminate, jaccard, lines, mixing, quality, runindex, substrings, trie
 
     return {
         "op2_mixing": mixing.OP2_SQL,
@@ -38,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_line_dedup": lines.OP9_SQL,
         "op10_run_index": runindex.OP10_SQL,
         "op11_quality_rules": quality.OP11_SQL,
+        "op13_prefix_trie": trie.OP13_SQL,
     }
