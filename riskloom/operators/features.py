@@ -144,6 +144,14 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
         F.min(F.when(windowed & day, at)).alias("oldest_day"),
         F.min(F.when(at > now, at)).alias("future_ns"),
     )
+    # brands of names, and brands of the last hour's lines that neither a name nor a live agent's name accounts for
+    exempt = F.flatten(F.transform(F.filter("agents", lambda a: ~F.array_contains("gone", a["name_key"])), lambda a: a["brands"]))
+    line_brands = F.size(F.array_except(F.array_except(F.array_distinct("lines"), F.col("named")), exempt))
+    return finish(grouped.withColumns({"name_brands": F.size("named"), "line_brands": line_brands}))
+
+
+def finish(grouped: DataFrame) -> DataFrame:
+    """Features, with first_ns, decay and next_rescore_ns, from the counts of each point (see ``behaviour`` and ``sweep``)."""
     now, first = F.col("now_ns"), F.col("first_ns")
     seen = first.isNotNull()
     decay = clamp(1 - ((now - first) / float(DAY_NS) - 3) / 27, 0.2, 1.0)
@@ -153,9 +161,6 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
     later = lambda value: F.when(value > now, value)
     soon = F.least(F.col("oldest_hour") + HOUR_NS, F.col("oldest_day") + DAY_NS, later(first + DAY_NS), F.col("future_ns"))
     step = 5 * MINUTE_NS
-    # brands of names, and brands of the last hour's lines that neither a name nor a live agent's name accounts for
-    exempt = F.flatten(F.transform(F.filter("agents", lambda a: ~F.array_contains("gone", a["name_key"])), lambda a: a["brands"]))
-    line_brands = F.size(F.array_except(F.array_except(F.array_distinct("lines"), F.col("named")), exempt))
     values = {
         "core.subject_age_h": clamp((now - first) / float(HOUR_NS), 0, 24),
         "core.resource_velocity_1h": F.col("resource_1h"),
@@ -166,9 +171,9 @@ def behaviour(joined: DataFrame, webmail: tuple[str, ...] | list[str] = tuple(WE
         "core.upgraded": F.col("paid_ns").isNotNull().cast("int"),
         "core.declines_before_first_success": F.col("declines"),
         "core.first_funding_prepaid": (F.coalesce(F.col("first_funding"), F.lit("")) == "prepaid").cast("int"),
-        "brand.name_match": (F.size("named") > 0).cast("int"),
+        "brand.name_match": (F.col("name_brands") > 0).cast("int"),
         "brand.name_has_at": F.col("has_at"),
-        "email.subject_brand_match": F.least(F.lit(3), line_brands) * F.col("decay"),
+        "email.subject_brand_match": F.least(F.lit(3), F.col("line_brands")) * F.col("decay"),
         "email.first_day_distinct_domains": F.log1p("first_day_domains") * LOG_SCALE,
         "email.self_send_before_external": F.least(F.col("self_sends"), F.lit(2)),
         "core.burst_ratio_24h_vs_lifetime": F.when(F.col("windowed") > 0, F.col("windowed_day") / F.col("windowed")),
@@ -189,7 +194,11 @@ def features(spine: DataFrame, events: DataFrame, evidence: DataFrame | None = N
     ``evidence``: (key, deleted_n, labelled_n, fingerprint_shared, truncated) of linked subjects; without it they count
     nothing. Points without events are all zeros and are never rescored.
     """
-    out = behaviour(history(spine, tag_brands(events, brands), inclusive), webmail)
+    return with_evidence(behaviour(history(spine, tag_brands(events, brands), inclusive), webmail), evidence)
+
+
+def with_evidence(out: DataFrame, evidence: DataFrame | None) -> DataFrame:
+    """``finish``-ed points with the features of linked subjects, in feature order."""
     if evidence is None:
         linked = {"deleted_n": F.lit(0), "labelled_n": F.lit(0), "fingerprint_shared": F.lit(False), "truncated": F.lit(False)}
     else:

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.text import COMMUNITY_PHRASES, INTEGRATION_WORDS, camel, match_brands, nfkc, skeleton, tokenise
 from ..operators import ingest, metrics, replay, scoring, subjects
 from ..operators.features import features
+from ..operators.sweep import features_by_sweep
 from ..schema import DAY_NS, FEATURES, HOUR_NS, LINK_KINDS, LOCAL_WEIGHTS, Rule, column
 from ..sources import jsonl
 from ..sources.mapped import EVENTS_SQL, mapped_events, read_table
 from ..sources.shared import new_path
 from ..streaming import jobs
-from .queries import TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _VERDICTS, _features_sql, _raw_events, _records, _slices, _verdicts
+from .queries import TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _ROUNDED, _VERDICTS, _evidence_sql, _features_sql, _logit_sql, _raw_events, _records, _shown, _slices, _verdicts
 from .registry import query
+from .risk import risk_of_replay
 
 SECRET = b"k"
 
@@ -481,30 +483,54 @@ def recorded_scores(spark, sf_dir):
     return metrics.replay_recorded(o.select("o_orderkey", *named), recorded, corpus).select("o_orderkey", F.round(F.element_at("probs", "benign"), 9).alias("benign"))
 
 
-@query(
-    f"""WITH {EVENTS_SQL}, first AS (SELECT subject, min(at_ns) FILTER (type <> 'label') AS first_ns FROM ev GROUP BY subject),
+_REPLAY = f"""first AS (SELECT subject, min(at_ns) FILTER (type <> 'label') AS first_ns FROM ev GROUP BY subject),
 x AS (SELECT DISTINCT subject, t FROM (SELECT subject, at_ns + {HOUR_NS} AS t FROM ev WHERE type IN ('resource.created', 'content.sent') UNION ALL SELECT subject, at_ns + {DAY_NS} FROM ev WHERE type IN ('resource.created', 'content.sent') UNION ALL SELECT subject, first_ns + {DAY_NS} FROM first WHERE first_ns IS NOT NULL)),
 y AS (SELECT subject, t, CASE WHEN t % 300000000000 = 0 THEN t ELSE (t // 300000000000 + 1) * 300000000000 END AS step FROM x),
 z AS (SELECT y.*, e.at_ns AS next_ns FROM y ASOF LEFT JOIN (SELECT DISTINCT subject, at_ns FROM ev) e ON e.subject = y.subject AND e.at_ns >= y.t),
 due AS (SELECT DISTINCT subject, step FROM z WHERE next_ns IS NULL OR step <= next_ns),
-p AS (SELECT 'event' AS trigger, subject, '/' || id AS point, at_ns AS now_ns, 1 AS late, id FROM ev UNION ALL SELECT 'timer', subject, 'timer/' || step, step, 0, '' FROM due)
-SELECT trigger, subject, ltrim(point, '/') AS point, CAST(now_ns AS BIGINT) AS now_ns, CAST(sum(late) OVER (ORDER BY now_ns, late, id, subject ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cutoff_seq FROM p"""
-)
+p AS (SELECT 'event' AS trigger, subject, '/' || id AS point, at_ns AS now_ns, 1 AS late, id FROM ev UNION ALL SELECT 'timer', subject, 'timer/' || step, step, 0, '' FROM due),
+rp AS (SELECT trigger, subject, ltrim(point, '/') AS point, CAST(now_ns AS BIGINT) AS now_ns, CAST(sum(late) OVER (ORDER BY now_ns, late, id, subject ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cutoff_seq FROM p)"""
+
+
+@query(f"WITH {EVENTS_SQL}, {_REPLAY} SELECT * FROM rp")
 def replay_points(spark, sf_dir):
     """Every event and every timer of a replay, with what each may know."""
     spine, _ = replay.replay_points(mapped_events(spark, sf_dir))
     return spine.select("trigger", "subject", F.ltrim(F.col("point"), F.lit("/")).alias("point"), "now_ns", "cutoff_seq")
 
 
+# The log with each event's place in canonical order; for evidence, the place stands for the instant.
+_PLACED = f"""{_REPLAY}, placed AS (SELECT *, row_number() OVER (ORDER BY at_ns, id) AS seq FROM ev),
+sp AS (SELECT subject, point, now_ns, cutoff_seq + 1 AS cutoff_ns FROM rp), timed AS (SELECT * REPLACE (seq AS at_ns) FROM placed)"""
+
+
+def _replayed_features(evidence: bool) -> str:
+    return _features_sql("sp", evidence, "e.seq < s.cutoff_ns").replace("JOIN ev e", "JOIN placed e")
+
+
+# points that no event precedes have no row in ``feat`` and all features zero
+_FEATS = f"""feats AS (SELECT rp.subject, rp.point, rp.trigger, rp.now_ns, {', '.join(f'coalesce({column(f)}, 0) AS {column(f)}' for f in FEATURES)}, next_rescore_ns
+FROM rp LEFT JOIN feat ON feat.subject = rp.subject AND feat.point = rp.point)"""
+_REPLAYED = ",".join((_PLACED, _evidence_sql("sp").replace("FROM ev ", "FROM timed "), _replayed_features(True), _FEATS)) + f", risky AS (SELECT *, 1 / (1 + exp(-({_logit_sql()}))) AS r FROM feats)"
+
+
 @query(
-    f"""WITH {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY at_ns, id) AS seq FROM ev) SELECT a.subject, a.id AS point, count(b.id) AS resources
-FROM n a LEFT JOIN n b ON b.subject = a.subject AND b.seq <= a.seq AND b.type = 'resource.created' GROUP BY a.subject, a.id"""
+    f"""WITH {EVENTS_SQL}, {_REPLAYED} SELECT subject, point, trigger, now_ns, {_ROUNDED}, CAST(next_rescore_ns AS VARCHAR) AS next_rescore_ns, round(r, 9) AS score,
+CASE WHEN r >= 0.8 THEN 'high' WHEN r >= 0.4 THEN 'medium' ELSE 'low' END AS tier, false AS degraded FROM risky"""
 )
+def replay_verdicts(spark, sf_dir):
+    """All features, evidence among them, and the verdict at every event and timer of the replay."""
+    got = risk_of_replay(mapped_events(spark, sf_dir))
+    shown = [F.round(column(f), 9).alias(column(f)) for f in FEATURES]
+    return got.select("subject", F.ltrim(F.col("point"), F.lit("/")).alias("point"), "trigger", "now_ns", *shown, F.col("next_rescore_ns").cast("string").alias("next_rescore_ns"), F.round("score", 9).alias("score"), "tier", "degraded")
+
+
+@query(f"WITH {EVENTS_SQL}, {_PLACED}, {_replayed_features(False)}, {_FEATS} SELECT subject, point, {_ROUNDED}, CAST(next_rescore_ns AS VARCHAR) AS next_rescore_ns FROM feats")
 def replay_features(spark, sf_dir):
-    """A feature at every event of the replay: only events before it in canonical order count."""
+    """A subject's own features at every event and timer of the replay, by one sweep of each subject."""
     spine, events = replay.replay_points(mapped_events(spark, sf_dir))
-    got = features(spine.where("trigger = 'event'"), events)
-    return got.select("subject", F.ltrim(F.col("point"), F.lit("/")).alias("point"), F.col("core__resource_total").cast("long").alias("resources"))
+    got = _shown(features_by_sweep(spine, events))
+    return got.withColumn("point", F.ltrim(F.col("point"), F.lit("/")))
 
 
 # --- streams -------------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from ..functions.scalar import clamp, parse_rfc3339, reason, sha_bucket, split_f
 from ..functions.text import mask_emails, match_brands, skeleton, truncate_utf8
 from ..operators import ingest, links, metrics, replay, scoring, subjects
 from ..operators.features import features
+from ..operators.sweep import features_by_sweep
 from ..schema import DAY_NS, FEATURES, HASH_QUANTA, HOUR_NS, LOCAL_WEIGHTS, Rule, column
 from ..sources.mapped import EVENTS_SQL, mapped_events, read_table
 from .registry import ORACLES, QUERIES, query
@@ -58,8 +59,8 @@ evidence AS (SELECT s.subject, s.point,
   LEFT JOIN (SELECT subject, point, bool_or(truncated) AS cut FROM cards GROUP BY ALL) c ON c.subject = s.subject AND c.point = s.point)"""
 
 
-def _features_sql(spine: str, evidence: bool) -> str:
-    """Common table ``feat`` of all features at the points of ``spine``."""
+def _features_sql(spine: str, evidence: bool, known: str = "e.at_ns < s.cutoff_ns") -> str:
+    """Common table ``feat`` of all features at the points of ``spine``, from the events that are ``known`` at them."""
     ev = "e.deleted_n, e.labelled_n, e.shared, e.cut" if evidence else "0 AS deleted_n, 0 AS labelled_n, false AS shared, false AS cut"
     join = "LEFT JOIN evidence e ON e.subject = g.subject AND e.point = g.point" if evidence else ""
     h, d = HOUR_NS, DAY_NS
@@ -93,7 +94,7 @@ def _features_sql(spine: str, evidence: bool) -> str:
     columns = ", ".join(f"CAST({v} AS DOUBLE) AS {column(f)}" for f, v in values.items())
     hour, day = (f"at_ns > now_ns - {w} AND at_ns <= now_ns" for w in (h, d))
     return f"""
-j0 AS (SELECT s.*, e.* EXCLUDE (subject) FROM {spine} s JOIN ev e ON e.subject = s.subject AND e.at_ns < s.cutoff_ns WHERE e.type <> 'label'),
+j0 AS (SELECT s.*, e.* EXCLUDE (subject) FROM {spine} s JOIN ev e ON e.subject = s.subject AND {known} WHERE e.type <> 'label'),
 j1 AS (SELECT *, type = 'content.sent' AND NOT own AS reach, least(300, n) AS rec,
   CASE WHEN type = 'content.sent' AND NOT own AND {day} THEN 'recent' WHEN type = 'content.sent' AND NOT own AND at_ns > now_ns - {30 * d} AND at_ns <= now_ns - {d} THEN 'prior' END AS phase,
   min(at_ns) OVER (PARTITION BY subject, point) AS first_ns,
@@ -154,7 +155,7 @@ def features_at_slices(spark, sf_dir):
 def features_at_sends(spark, sf_dir):
     events = mapped_events(spark, sf_dir)
     spine = events.where("type = 'content.sent'").select("tenant", "subject", F.col("id").alias("point"), F.col("at_ns").alias("now_ns"), (F.col("at_ns") + 1).alias("cutoff_ns"))
-    return _shown(features(spine, events))
+    return _shown(features_by_sweep(spine, events))
 
 
 @query(
