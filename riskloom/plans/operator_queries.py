@@ -16,7 +16,7 @@ from ..schema import DAY_NS, FEATURES, HOUR_NS, LINK_KINDS, LOCAL_WEIGHTS, Rule,
 from ..sources import jsonl
 from ..sources.mapped import EVENTS_SQL, mapped_events, read_table
 from ..sources.shared import new_path
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .queries import TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _ROUNDED, _VERDICTS, _evidence_sql, _features_sql, _logit_sql, _raw_events, _records, _shown, _slices, _verdicts
 from .registry import query
 from .risk import risk_of_replay
@@ -612,3 +612,69 @@ def streamed_scores(spark, sf_dir):
     stream = spark.readStream.schema("tenant string, subject string, type string, mode string, label string").option("maxFilesPerTrigger", 1).parquet(path)
     jobs.score_stream(stream, lambda who, batch: who.withColumn("risk", F.lit(0.1)), out, lambda: links, new_path(spark, "state")).awaitTermination()
     return spark.read.parquet(out).groupBy("subject").agg(F.count("*").alias("rounds"))
+
+
+# --- state with timers and expiry ----------------------------------------------------------------------------------
+
+
+def _finished(stream: DataFrame, spark: SparkSession, schema: str) -> DataFrame:
+    """What a stream appends until its files are read, from the RocksDB store."""
+    out = new_path(spark, "out")
+    with stateful.with_state_store(spark):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+def _in_turn(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """A stream with a micro-batch for each part, in order."""
+    path = new_path(spark, "stream")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"WITH {EVENTS_SQL}, {_VERDICTS}, l AS (SELECT subject, max(scored_ns) AS last_ns, count(DISTINCT scored_ns) AS n FROM verdicts GROUP BY subject) SELECT subject, CAST(last_ns // 1000000 + 3600000 AS BIGINT) AS due_ms FROM l WHERE CAST(subject AS INT) % 5 <> 0")
+def clock_timers(spark, sf_dir):
+    """Timers by the clock: every score but a subject's last asks for an instant far ahead, the last one for an hour after
+    it, or for none (every fifth subject); then all earlier scores come once more, late, and change nothing."""
+    own = _verdicts(mapped_events(spark, sf_dir)).select("tenant", "subject", "scored_ns").distinct()
+    last = own.groupBy("tenant", "subject").agg(F.max("scored_ns").alias("scored_ns"))
+    soon = F.when(F.col("subject").cast("int") % 5 != 0, F.floor(F.col("scored_ns") / 1_000_000) * 1_000_000 + HOUR_NS).cast("long")
+    early = own.join(last, ["tenant", "subject", "scored_ns"], "left_anti").withColumn("next_rescore_ns", F.col("scored_ns") + 36500 * DAY_NS)
+    stream = _in_turn(spark, [early, last.withColumn("next_rescore_ns", soon), early])
+    return _finished(stateful.score_timers(stream), spark, "tenant string, subject string, due_ms long").select("subject", "due_ms")
+
+
+@query(f"""WITH {EVENTS_SQL}, w AS (SELECT subject, at_ns FROM ev WHERE type IN ('resource.created', 'content.sent')), x AS (SELECT subject, at_ns + {HOUR_NS} AS t FROM w UNION ALL SELECT subject, at_ns + {DAY_NS} FROM w)
+SELECT DISTINCT subject, CAST(CASE WHEN t % 300000000000 = 0 THEN t // 1000000 ELSE (t // 300000000000 + 1) * 300000 END AS BIGINT) AS due_ms FROM x""")
+def exit_timers(spark, sf_dir):
+    """Every step at which a window loses an event, though the second batch holds the earlier half of the log: nothing is
+    too late for its timer. A step that both batches ask for is due in each."""
+    own = mapped_events(spark, sf_dir).select("tenant", "subject", "type", "at_ns")
+    middle = own.agg(F.avg("at_ns").alias("middle"))
+    halves = own.join(F.broadcast(middle))
+    stream = _in_turn(spark, [halves.where("at_ns >= middle").drop("middle"), halves.where("at_ns < middle").drop("middle")])
+    return _finished(stateful.rescore_timers(stream), spark, "tenant string, subject string, due_ms long").select("subject", "due_ms").distinct()
+
+
+@query("WITH o AS (SELECT o_custkey, o_orderstatus AS s, o_orderkey, first_value(o_orderstatus) OVER w AS f, row_number() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderkey AS received_ns, CASE WHEN r = 1 THEN 'accepted' WHEN s = f THEN 'duplicate' ELSE 'conflict' END AS outcome FROM o")
+def expiring_outcomes(spark, sf_dir):
+    """Idempotency classes of a stream in two batches, from state that expires."""
+    rows = read_table(spark, sf_dir, "orders").select(F.lit("t").alias("tenant"), F.lit("").alias("producer"), F.col("o_custkey").cast("string").alias("id"), F.col("o_orderstatus").alias("body_hash"), F.col("o_orderkey").cast("long").alias("received_ns"))
+    middle = F.broadcast(rows.agg(F.avg("received_ns").alias("middle")))
+    halves = rows.join(middle)
+    stream = _in_turn(spark, [halves.where("received_ns < middle").drop("middle"), halves.where("received_ns >= middle").drop("middle")])
+    found = _finished(stateful.outcomes(stream), spark, "tenant string, producer string, id string, received_ns long, outcome string")
+    return found.select("id", "received_ns", "outcome")
+
+
+@query(f"""WITH {EVENTS_SQL}, w AS (SELECT subject, id, at_ns, CASE WHEN type = 'resource.created' THEN 1 ELSE 0 END AS r, CASE WHEN type = 'content.sent' AND NOT own THEN n ELSE 0 END AS s FROM ev WHERE type IN ('resource.created', 'content.sent'))
+SELECT a.subject, a.id, CAST(sum(b.r) AS BIGINT) AS resource_1h, CAST(sum(b.s) AS BIGINT) AS sends_1h FROM w a JOIN w b ON b.subject = a.subject AND b.at_ns > a.at_ns - {HOUR_NS} AND (b.at_ns < a.at_ns OR b.at_ns = a.at_ns AND b.id <= a.id) GROUP BY a.subject, a.id""")
+def exact_velocity(spark, sf_dir):
+    """At each resource and send the resources and recipients of the hour up to it, from recent events in state; the log
+    comes in two batches."""
+    own = mapped_events(spark, sf_dir).select("tenant", "subject", "producer", "id", "type", "at_ns", "recipient_is_own_identity", "recipient_count")
+    halves = own.join(F.broadcast(own.agg(F.avg("at_ns").alias("middle"))))
+    stream = _in_turn(spark, [halves.where("at_ns < middle").drop("middle"), halves.where("at_ns >= middle").drop("middle")])
+    found = _finished(stateful.velocity(stream), spark, "tenant string, subject string, producer string, id string, at_ns long, resource_1h long, sends_1h long")
+    return found.select("subject", "id", "resource_1h", "sends_1h")
