@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import COMMUNITY_PHRASES, INTEGRATION_WORDS, camel, match_brands, nfkc, skeleton, tokenise
-from ..operators import ingest, metrics, replay, scoring, subjects
+from ..operators import graph, ingest, metrics, replay, scoring, subjects
 from ..operators.features import features
 from ..operators.sweep import features_by_sweep
 from ..schema import DAY_NS, FEATURES, HOUR_NS, LINK_KINDS, LOCAL_WEIGHTS, Rule, column
@@ -17,7 +17,7 @@ from ..sources import jsonl
 from ..sources.mapped import EVENTS_SQL, mapped_events, read_table
 from ..sources.shared import new_path
 from ..streaming import jobs, stateful
-from .queries import TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _ROUNDED, _VERDICTS, _evidence_sql, _features_sql, _logit_sql, _raw_events, _records, _shown, _slices, _verdicts
+from .queries import TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _ROUNDED, _VERDICTS, _evidence_sql, _features_sql, _logit_sql, _raw_events, _records, _shown, _slices, _touch_sql, _verdicts
 from .registry import query
 from .risk import risk_of_replay
 
@@ -614,6 +614,29 @@ def streamed_scores(spark, sf_dir):
     return spark.read.parquet(out).groupBy("subject").agg(F.count("*").alias("rounds"))
 
 
+_CLUSTERS_SQL = f"""{_touch_sql()}, e AS (SELECT DISTINCT a.subject AS a, b.subject AS b FROM touches a JOIN touches b ON a.kind = b.kind AND a.hash = b.hash),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)"""
+
+
+def _by_month(events: DataFrame, parts: int) -> list[DataFrame]:
+    """The log cut by time into parts of like length."""
+    ends = events.agg(F.min("at_ns").alias("low"), F.max("at_ns").alias("high"))
+    at = F.least(F.lit(parts - 1), F.floor((F.col("at_ns") - F.col("low")) * parts / (F.col("high") - F.col("low") + 1)))
+    rows = events.join(F.broadcast(ends)).withColumn("part", at).drop("low", "high")
+    return [rows.where(F.col("part") == k).drop("part") for k in range(parts)]
+
+
+@query(f"WITH RECURSIVE {EVENTS_SQL},{_CLUSTERS_SQL} SELECT a AS subject, min(b) AS cluster FROM reach GROUP BY a")
+def streamed_clusters(spark, sf_dir):
+    """Clusters of linked subjects from a stream of three micro-batches, each contracted against those so far."""
+    forest = new_path(spark, "forest")
+    jobs.cluster_stream(_in_turn(spark, _by_month(mapped_events(spark, sf_dir), 3)), forest, new_path(spark, "state")).awaitTermination()
+    of = graph.components_of(graph.read_forest(spark, forest)).where("node like 's%'")
+    subjects_ = of.select(F.element_at(F.split("node", "\x1f"), -1).alias("subject"), "component")
+    names = subjects_.groupBy("component").agg(F.min("subject").alias("cluster"))
+    return subjects_.join(names, "component").select("subject", "cluster")
+
+
 # --- state with timers and expiry ----------------------------------------------------------------------------------
 
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+#: Paths made inside the innermost ``scratch`` of this thread or task; None outside of any.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+#: The latest paths made by this process, to look at; nothing is deleted by it.
+_WRITTEN: deque[str] = deque(maxlen=256)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,25 +34,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path of the shared folder that nothing else uses."""
     path = f"{shared_folder(spark).rstrip('/')}/riskloom-{uuid.uuid4().hex}/{name}"
     _WRITTEN.append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table of the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table of the shared folder (at ``path``, where one is given) and read it back."""
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``new_path`` named."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are deleted at the end: for callers whose result is stored elsewhere by then."""
-    before = len(_WRITTEN)
+    """Tables written inside, by this call alone, are deleted at the end: for callers whose result is stored elsewhere by
+    then. What other threads write meanwhile stays, and so does what was named before."""
+    made: list[str] = []
+    token = _MADE.set(made)
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
-        for path in _WRITTEN[before:]:
-            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        del _WRITTEN[before:]
+        _MADE.reset(token)
+        delete(spark, *made)

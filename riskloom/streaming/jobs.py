@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.ingest import classify, prepare
-from ..operators.links import propagate_dirty
+from ..operators.graph import add_edges
+from ..operators.links import link_touches, propagate_dirty
 from ..schema import HOUR_NS
 
 STEP_MS = 300_000
@@ -181,6 +182,22 @@ def score_stream(events: DataFrame, score: Callable[[DataFrame, int], DataFrame]
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def link_edges(touches: DataFrame) -> DataFrame:
+    """(src, dst): subjects, as ``s`` and the name, with the keys that they touched."""
+    key = F.concat_ws("\x1f", F.lit("key"), "tenant", "kind", "hash")
+    return touches.select(F.concat_ws("\x1f", F.lit("s"), "tenant", "subject").alias("src"), key.alias("dst"))
+
+
+def cluster_stream(events: DataFrame, forest_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the clusters of linked subjects up to date: each micro-batch contracts its own links against the components so
+    far (see ``graph.add_edges``), and its number is the version of the rows that it adds."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        add_edges(link_edges(link_touches(df)), forest_path, batch)
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def is_late(received_ns: str = "received_ns", at_ns: str = "at_ns", most: int = 24 * HOUR_NS):
     """A row outside the accepted skew, told apart instead of dropped."""
     return F.abs(F.col(received_ns) - F.col(at_ns)) > most

@@ -149,3 +149,44 @@ def test_velocity_of_late_events(spark, tmp_path):
     parts = [[row("1", 0), row("2", 30, "resource.created")], [row("3", 59, n=900.0), row("4", 20, own=True)], [row("5", 60)]]
     got = finished(spark, tmp_path, stateful.velocity(streamed(spark, tmp_path, parts, kind)))
     assert sorted((r[3], r[5], r[6]) for r in got) == [("1", 0, 2), ("2", 1, 2), ("3", 1, 302), ("4", 0, 2), ("5", 1, 302)]
+
+
+# --- components batch by batch ---
+
+
+def test_components_after_every_batch(spark, tmp_path):
+    from riskloom.operators import graph
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(20)][::-1] + [(7, 7), (None, 3), (200, 200)]
+    rng.shuffle(edges)
+    path, seen = str(tmp_path / "forest"), []
+    for batch in range(4):
+        part = edges[batch::4]
+        seen += part
+        for _ in range(2 if batch == 2 else 1):  # one batch is run twice
+            graph.add_edges(spark.createDataFrame(part, "src long, dst long"), path, batch)
+        got = sorted(map(tuple, graph.components_of(graph.read_forest(spark, path, node_type="long")).collect()))
+        assert got == sorted(map(tuple, graph.connected_components(spark.createDataFrame(seen, "src long, dst long")).collect()))
+    old = graph.components_of(graph.read_forest(spark, path, 1, "long"))
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, graph.connected_components(spark.createDataFrame(edges[0::4], "src long, dst long")).collect()))
+
+
+def test_scratch_deletes_only_its_own(spark):
+    import threading
+
+    from riskloom.sources.shared import scratch, written
+
+    kept = []
+    with scratch(spark):
+        mine = written(spark.range(3), "mine")
+        other = threading.Thread(target=lambda: kept.append(written(spark.range(5), "other")))
+        other.start()
+        other.join()
+        with scratch(spark):
+            inner = written(spark.range(2), "inner")
+        assert mine.count() == 3
+    assert kept[0].count() == 5
+    for gone in (mine, inner):
+        with pytest.raises(Exception, match="FILE|PATH"):
+            gone.count()
