@@ -12,8 +12,8 @@ own over ids and texts whose result, a row for each document with a hit, is writ
 one block at most is held at a time.
 
 Defined cases: null or empty text has no words and no hits; an item without words never occurs; repeated documents are
-each answered; repeated item ids are one item with all their windows; a null item id is never reported; item ids of any
-type are reported as strings; input columns named ``hits`` or ``items`` are kept as ``in_hits`` and ``in_items``
+each answered; repeated item ids are one item with all their windows; an item with a null id hits like any other but is
+neither counted nor named among the items; item ids of any type are reported as strings; input columns named ``hits`` or ``items`` are kept as ``in_hits`` and ``in_items``
 (``decontaminate`` returns the input's columns unchanged).
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .storage import make_room, table, written
+from .storage import make_room, row_name, table, written
 
 WINDOW = 10
 GRAM = 5
@@ -80,8 +80,8 @@ class _Block:
         kind, hashes = (rows[c].to_numpy() for c in ("kind", "hash"))
         self.lengths = [int(k) for k in np.unique(kind) if 0 < k < WINDOW]
         self.fingerprints = np.unique(hashes[kind == 0])
-        self.items = sorted(set(rows["item_id"].to_pylist()))
-        number = {x: k for k, x in enumerate(self.items)}
+        self.items = sorted(set(rows["item_id"].to_pylist()) - {None})
+        number = {None: -1} | {x: k for k, x in enumerate(self.items)}  # -1: an item without an id
         self.windows = {}
         for k in (*self.lengths, WINDOW):
             own = np.flatnonzero(kind == k)
@@ -114,11 +114,11 @@ class _Block:
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[pa.Table]:
     """Windows and fingerprints of the benchmark, in blocks of about ``block_words`` words by item."""
-    items = benchmark.select(F.col("item_id").cast("string"), "text").where(F.col("item_id").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("string"), "text")
     n = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = 1 + int(n // 2) // block_words  # a word takes two bytes at least
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         yield own.mapInArrow(_item_rows, "kind int, hash long, digest binary, item_id string").distinct().toArrow()
 
 
@@ -146,7 +146,7 @@ def _overlaps(docs: DataFrame, rows: pa.Table) -> DataFrame:
                         cut = np.flatnonzero(np.diff(at) > length)
                         first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + length
                         spans[row + r] += [{"start": int(a), "end": int(b)} for a, b in zip(first, last, strict=True)]
-                        items[row + r] |= {block.items[k] for k in item[mine].tolist()}
+                        items[row + r] |= {block.items[k] for k in item[mine].tolist() if k >= 0}
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, hits_kind), pa.array([sorted(x) for x in items], items_kind)], names=[*batch.schema.names, "__hits", "__items"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -159,7 +159,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFram
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _overlaps(docs, first)
-    docs = docs.withColumn("__row", F.xxhash64("doc_id", "text"))  # rows of equal id and text have equal hits
+    docs = docs.withColumn("__row", row_name("doc_id", "text"))  # rows of equal id and text have equal hits
     slim = docs.select("__row", "text")
     found = None
     for rows in (first, second, *blocks):
@@ -229,7 +229,7 @@ doc_windows AS (
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, lengths WHERE len(w) >= k)),
 hits AS (SELECT d.doc_id, d.i, d.k, b.item_id FROM doc_windows d JOIN item_windows b ON d.k = b.k AND d.win = b.win),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id

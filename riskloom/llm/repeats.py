@@ -17,7 +17,9 @@ Items are words (op7) or bytes (op10). The common part of both:
 5. The spans found in a content are joined back to its rows. Contents with more than one in ``HOT`` of all rows, fewer
    than ``HOT`` by that, are broadcast; of the others none can fill a task.
 
-Rows are named by document id, or by a hash of id and text where ids repeat, are null or are no numbers.
+A text of a short period is as cheap as another: its equal runs that follow each other are one row with a count, and one span.
+
+Rows are named by document id, or by a 128-bit hash of id and text where ids repeat, are null or are no numbers.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .storage import written
+from .storage import row_name, written
 
 CROWD = 1000
 HOT = 1000
@@ -60,9 +62,12 @@ class Items:
         return (tk.grams if self.words else tk.byte_grams)(items, self.gram)
 
     def runs(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """From (key, text) to the runs (key, start, n, times, a, c). In a text with a short period each period is a run
+        of its own; ``times`` equal runs that follow each other at once are one row."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = batch.column(0).to_numpy()
+                keys = batch.column(0)
                 for row, rows, values in self.read(batch.column(1)):
                     starts = tk.starts_within(rows, self.window)
                     if not len(starts):
@@ -76,9 +81,14 @@ class Items:
                     begin = starts[first]
                     owner = np.searchsorted(rows, begin, "right") - 1
                     content = tk.content_hashes(values, begin, begin + n + self.window - 1)
+                    again = np.zeros(len(begin), bool)
+                    again[1:] = (content[1:] == content[:-1]) & (n[1:] == n[:-1]) & (owner[1:] == owner[:-1]) & (begin[1:] == begin[:-1] + n[:-1])
+                    kept = np.flatnonzero(~again)
+                    times = np.diff(np.append(kept, len(begin)))
+                    begin, n, owner, a, content = begin[kept], n[kept], owner[kept], grams[at[first[kept]]], content[kept]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[row + owner]), pa.array((begin - rows[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(tk.signed(grams[at[first]])), pa.array(tk.signed(content))],
-                        ["key", "start", "n", "a", "c"],
+                        [keys.take(pa.array(row + owner)), *[pa.array(x.astype(np.int32)) for x in (begin - rows[owner], n, times)], pa.array(tk.signed(a)), pa.array(tk.signed(content))],
+                        ["key", "start", "n", "times", "a", "c"],
                     )
 
         return run
@@ -106,11 +116,12 @@ class Items:
 
 
 def unique_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text), text not null; the key is the id, or a hash where ids do not name rows or are no numbers."""
+    """(key, doc_id, text), text not null; the key is the id, or a 128-bit hash of id and text where ids do not name rows or
+    are no numbers."""
     integral = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id") if integral else "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     named = integral and docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty()
-    return docs.withColumn("key", F.col("doc_id") if named else F.xxhash64("doc_id", "text"))
+    return docs.withColumn("key", F.col("doc_id") if named else row_name("doc_id", "text"))
 
 
 def _halve(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -213,10 +224,11 @@ def _in_rows(rows: DataFrame, hits: DataFrame, sizes: DataFrame, hot: int) -> Da
 def repeated_windows(keyed: DataFrame, items: Items, matcher: Matcher, shard: int, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """(key, spans array<struct<start int, n int>>): the starts of all repeated windows of each row, as runs of n starts."""
     texts = keyed.select("key", "text")
-    runs = written(texts.mapInArrow(items.runs(), "key long, start int, n int, a long, c long"), "runs")
-    anchors = written(runs.groupBy("a").agg(F.count("*").alias("rows")).where("rows > 1").select("a"), "anchors")
+    kind = keyed.schema["key"].dataType.simpleString()
+    runs = written(texts.mapInArrow(items.runs(), f"key {kind}, start int, n int, times int, a long, c long"), "runs")
+    anchors = written(runs.groupBy("a").agg(F.sum("times").alias("rows")).where("rows > 1").select("a"), "anchors")
     found = written(runs.join(anchors, "a", "left_semi"), "repeated-anchors")
-    contents = found.groupBy("a", "c").agg(F.count("*").alias("rows"), F.min(F.struct("key", "start", "n")).alias("one"))
+    contents = found.groupBy("a", "c").agg(F.sum("times").alias("rows"), F.min(F.struct("key", "start", "n")).alias("one"))
     contents = written(contents.select("a", "c", "rows", "one.*"), "contents")
     parts = _with_crowds(contents, crowd).select("key", F.struct("start", "n", "a", "c", "rows", "crowded").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
     bodies = texts.join(parts, "key").groupBy("key", F.xxhash64("text")).agg(F.first("text").alias("text"), F.first("parts").alias("parts"))
@@ -235,7 +247,11 @@ def repeated_windows(keyed: DataFrame, items: Items, matcher: Matcher, shard: in
     for places, sizes in reversed(levels):
         up = _in_rows(places, hits, sizes, hot).select(F.col("of_a").alias("a"), F.col("of_c").alias("c"), "first", F.inline("spans"))
         hits = written(hits.unionAll(up.select("a", "c", F.col("first") + F.col("at"), "m")), "hits")
-    spans = _in_rows(found, hits, contents.select("a", "c", F.col("rows").alias("n")), hot).select("key", "start", F.inline("spans"))
+    once = found.where("times = 1").drop("n", "times")
+    spans = _in_rows(once, hits, contents.select("a", "c", F.col("rows").alias("n")), hot).select("key", "start", F.inline("spans"))
+    # each window of a run that follows itself starts elsewhere, too: all of them are one span
+    periodic = found.where("times > 1").select("key", "start", F.lit(0).alias("at"), (F.col("n") * F.col("times")).alias("m"))
+    spans = spans.select("key", "start", "at", "m").unionByName(periodic)
     return spans.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), F.col("m").alias("n"))).alias("spans"))
 
 

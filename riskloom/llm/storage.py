@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, scratch, shared_folder, written
 
-__all__ = ["make_room", "new_path", "scratch", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["make_room", "new_path", "row_name", "scratch", "shared_folder", "small_batches", "table", "written"]
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -32,3 +33,8 @@ def make_room(docs: DataFrame, *names: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_name(*columns: str) -> Column:
+    """A 128-bit name of a row from its columns: rows with one name are equal in all of them."""
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *reversed(columns))))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .repeats import Items, covered, repeated_windows, unique_keys
-from .storage import make_room, table, written
+from .storage import make_room, row_name, table, written
 
 WINDOW = 35
 ITEMS = Items(window=WINDOW, gram=5, words=True)
@@ -132,7 +132,7 @@ def dedup_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW, s
     pass of its own over ids and texts: its automaton is broadcast, and the spans found are written before the next one is."""
     size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + int(size // 4 // shard_words)
-    docs = make_room(docs, "spans").withColumn("__row", F.xxhash64("doc_id", "text"))
+    docs = make_room(docs, "spans").withColumn("__row", row_name("doc_id", "text"))
     slim, kind = docs.select("__row", "text"), "array<struct<start:int,end:int>>"
     found = None
     for shard in range(shards):
@@ -154,7 +154,7 @@ def dedup_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW, s
                         spans[row + k] = [{"start": int(x), "end": int(y)} for x, y in zip(step[::2], step[1::2], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, spans_kind)], names=["__row", "spans"])
 
-        part = slim.mapInArrow(mark, f"__row long, spans {kind}").where(F.size("spans") > 0)
+        part = slim.mapInArrow(mark, f"__row string, spans {kind}").where(F.size("spans") > 0)
         part = written(part.groupBy("__row").agg(F.first("spans").alias("spans")), "shard-spans")
         shared.unpersist()
         found = part if found is None else found.unionAll(part)

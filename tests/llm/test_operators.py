@@ -187,7 +187,9 @@ def test_decontamination_blocks(spark, documents):
     whole = sorted(map(tuple, decontaminate.contamination_report(docs, bench).collect()))
     parts = sorted(map(tuple, decontaminate.contamination_report(docs, bench, block_words=500).collect()))
     assert whole == parts
-    assert [r[2:4] for r in whole if r[0] == 9001] == [(400 // 1 and LONG.split().count("w3x3"), 1)]
+    # the item without an id hits all words, and is not named
+    assert [r[2:4] for r in whole if r[0] == 9001] == [(400, 1)]
+    assert {r[3] for r in decontaminate.contamination_report(docs, bench.where("item_id is null")).collect()} == {0}
     extra = docs.withColumns({"hits": F.lit(1), "items": F.lit(2)})
     assert decontaminate.decontaminate(extra.drop("hits", "items"), bench).columns == ["doc_id", "text"]
 
@@ -231,6 +233,34 @@ def test_repeats_of_documents(spark, sf_dir, documents, name, cut, size, join):
     assert got == want and any(r for r, _ in want.values())
 
 
+PERIODIC = [(1, "abc " * 700), (2, "x" * 900), (3, "ab cd " * 300 + "abc " * 90), (4, "0123456789 " * 45 + "end"), (5, "abc " * 60 + "! " + "abc " * 60), (6, "q" * 199), (7, " ".join(f"w{k % 50}" for k in range(400)))]
+
+
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 2])
+@pytest.mark.parametrize(("found", "cut", "size", "window"), [(substrings.repeated_words, lambda t: t.encode().split(), 35, substrings.WINDOW), (runindex.repeated_bytes, str.encode, 200, runindex.WINDOW)])
+def test_periodic_texts(spark, monkeypatch, found, cut, size, window, crowd):
+    monkeypatch.setattr(repeats.repeated_windows, "__defaults__", (crowd, repeats.HOT))
+    for rows in (PERIODIC, [(None, t) for _, t in PERIODIC]):
+        keyed = repeats.unique_keys(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+        spans = {r["key"]: r["spans"] for r in found(keyed).collect()}
+        masks = {r["text"]: repeats.covered(spans.get(r["key"]), window, len(cut(r["text"]))).tolist() for r in keyed.collect()}
+        want = brute_masks([(t, t) for _, t in rows], cut, size)
+        assert masks == want
+    assert sum(len(x) for x in spans.values()) < 200  # a period is no span of its own
+
+
+def brute_masks(rows, cut, size):
+    seqs = [(i, cut(t)) for i, t in rows]
+    seen = Counter(tuple(s[k : k + size]) for _, s in seqs for k in range(len(s) - size + 1))
+    out = {}
+    for i, s in seqs:
+        out[i] = [False] * len(s)
+        for k in range(len(s) - size + 1):
+            if seen[tuple(s[k : k + size])] > 1:
+                out[i][k : k + size] = [True] * size
+    return out
+
+
 def test_run_index_is_compressed():
     import numpy as np
 
