@@ -11,11 +11,13 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BRANDS
+from .words import lookup
 
 #: E-mail shape after NFKC (fixed value).
 EMAIL = r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}.\-]+\.[\p{L}]{2,}"
@@ -134,23 +136,49 @@ def brand_words(brands=BRANDS) -> dict[str, list[tuple[str, str | None]]]:
     return out
 
 
+def listed_brands(brands: DataFrame) -> list[tuple[str, tuple[str, ...], bool]]:
+    """A table (name, aliases, case_sensitive), as ``jsonl.read_brands`` gives it, in the form of ``BRANDS``."""
+    return [(r["name"], tuple(r["aliases"] or ()), bool(r["case_sensitive"])) for r in brands.select("name", "aliases", "case_sensitive").orderBy("name").toLocalIterator()]
+
+
 def _runs(tokens: Column, n: int) -> Column:
     """All runs of n consecutive words; what there is if the text has fewer."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
+#: Phrases that a plan holds as literals.
+LITERAL_WORDS = 200
+_ENTRY = "struct<brand:string,exact:string>"
+
+
+def _brand_literals(listed: dict, longest: int):
+    known = F.array(*[F.lit(w) for w in listed]).cast("array<string>")
+    of = {w: F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(e).cast("string").alias("exact")).cast(_ENTRY) for b, e in entries]) for w, entries in listed.items()}
+    named = F.create_map(*[x for w, entries in of.items() for x in (F.lit(w), entries)]).cast(f"map<string,array<{_ENTRY}>>")
+
+    def entries_of(tokens: Column) -> Column:
+        runs = F.flatten(F.array(*[_runs(tokens, n) for n in range(1, longest + 1)]))
+        return F.flatten(F.transform(F.array_intersect(runs, known), lambda w: F.element_at(named, w)))
+
+    return entries_of
+
+
+def _brand_trie(spark: SparkSession, listed: dict):
+    phrases = [(tuple(words.split(" ")), {"brand": brand, "exact": exact}) for words, each in listed.items() for brand, exact in each]
+    return lookup(spark, phrases, _ENTRY, pa.struct([("brand", pa.string()), ("exact", pa.string())]))
+
+
 def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     """(text, name_brands, subject_brands, has_integration) for each distinct text of column ``text``.
 
     A text is read as it stands and with camel-case borders as spaces; gates and brands are applied to each reading by
-    itself. The words' runs of the brands' lengths are intersected with the configured ones, so a text stays one row.
+    itself. A text stays one row. Up to ``LITERAL_WORDS`` phrases are literals of the plan, with which the words' runs of
+    their lengths are intersected; longer lists are a broadcast trie of checked size, and the plan does not grow with them.
+    ``brands``: as ``BRANDS``, or a table of (name, aliases, case_sensitive).
     """
-    listed = brand_words(brands)
+    listed = brand_words(listed_brands(brands) if isinstance(brands, DataFrame) else brands)
     longest = max((w.count(" ") + 1 for w in listed), default=1)
-    known = F.array(*[F.lit(w) for w in listed]).cast("array<string>")
-    kind = "struct<brand:string,exact:string>"
-    of = {w: F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(e).cast("string").alias("exact")).cast(kind) for b, e in entries]) for w, entries in listed.items()}
-    named = F.create_map(*[x for w, entries in of.items() for x in (F.lit(w), entries)]).cast(f"map<string,array<{kind}>>")
+    entries_of = _brand_trie(texts.sparkSession, listed) if len(listed) > LITERAL_WORDS else _brand_literals(listed, longest)
     gate = F.array(*[F.lit(" ".join(_canonical_words(w))) for w in INTEGRATION_WORDS])
     phrases = [" ".join(_canonical_words(p)) for p in COMMUNITY_PHRASES]
     none = F.array().cast("array<string>")
@@ -158,9 +186,7 @@ def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     spelled = distinct.withColumns({"plain": tokenise(skeleton(F.col("text"))), "split": tokenise(skeleton(camel(F.col("text")))), "original": F.split(nfkc(F.col("text")), _SEPARATOR)})
 
     def found(tokens: Column) -> Column:
-        runs = F.flatten(F.array(*[_runs(tokens, n) for n in range(1, longest + 1)]))
-        entries = F.flatten(F.transform(F.array_intersect(runs, known), lambda w: F.element_at(named, w)))
-        return F.transform(F.filter(entries, lambda e: e["exact"].isNull() | F.array_contains(F.col("original"), e["exact"])), lambda e: e["brand"])
+        return F.transform(F.filter(entries_of(tokens), lambda e: e["exact"].isNull() | F.array_contains(F.col("original"), e["exact"])), lambda e: e["brand"])
 
     def social(tokens: Column) -> Column:
         line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))

@@ -129,6 +129,12 @@ def classify(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("outcome", outcome).where("__old = 1").drop("__old")
 
 
+def judge(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """As ``classify``, with the class in ``judged``: a payment's own ``outcome`` stays."""
+    kept = events.withColumnRenamed("outcome", "__own")
+    return classify(kept, history).withColumnRenamed("outcome", "judged").withColumnRenamed("__own", "outcome")
+
+
 def feature_key_code(features: Column, renames: dict[str, str], known: tuple[str, ...]) -> Column:
     """feature_renamed for an old flat key, invalid_feature_name for one outside the grammar, null if all keys are good."""
     keys = F.map_keys(features)

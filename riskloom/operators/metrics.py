@@ -107,9 +107,35 @@ def lead_time(records: DataFrame) -> DataFrame:
     return every.join(named, "first_flagged", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def quantiles(records: DataFrame, keys: tuple[str, ...], value: str, at: tuple[float, ...]) -> DataFrame:
+    """(keys, q array<double>): exact quantiles with linear interpolation, null without a value.
+
+    Equal values are counted before anything moves; the counted ones are ranked by sorted ranges (see ``running_sum``), and
+    a quantile is the values whose ranks enclose it. So no buffer holds a key's values, however many they are.
+    """
+    counted = records.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    ranked = running_sum(counted, list(keys), ["__x"], F.col("__c"), "__upto")
+    totals = records.groupBy(*keys).agg(F.count(value).alias("__n")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    rows = totals.join(ranked, same, "left")
+    found = []
+    for i, q in enumerate(at):
+        place = (F.col("__n") - 1) * F.lit(float(q))
+        for name, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found.append(F.max(F.when((rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__c")), F.col("__x"))).alias(f"__{name}{i}"))
+    got = rows.groupBy(*[f"__k{i}" for i in range(len(keys))], "__n").agg(*found)
+    out = []
+    for i, q in enumerate(at):
+        place, low, high = (F.col("__n") - 1) * F.lit(float(q)), F.col(f"__low{i}"), F.col(f"__high{i}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
+    return got.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], F.array(*out).alias("q"))
+
+
 def latency(records: DataFrame, keys: tuple[str, ...] = (), value: str = "latency_ms") -> DataFrame:
     """Exact p50 and p95 with linear interpolation."""
-    return records.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.5), F.lit(0.95))).alias("p")).select(*keys, F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"))
+    return quantiles(records, keys, value, (0.5, 0.95)).select(*keys, F.get("q", F.lit(0)).alias("p50"), F.get("q", F.lit(1)).alias("p95"))
 
 
 def long_metrics(records: DataFrame, params: CombineParams = CombineParams()) -> DataFrame:

@@ -5,11 +5,14 @@ Queries that read or write files make them from the tables in the shared folder
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import COMMUNITY_PHRASES, INTEGRATION_WORDS, camel, match_brands, nfkc, skeleton, tokenise
 from ..operators import graph, ingest, metrics, replay, scoring, subjects
+from ..operators import links as link_ops
 from ..operators.features import features
 from ..operators.sweep import features_by_sweep
 from ..schema import DAY_NS, FEATURES, HOUR_NS, LINK_KINDS, LOCAL_WEIGHTS, Rule, column
@@ -17,7 +20,7 @@ from ..sources import jsonl
 from ..sources.mapped import EVENTS_SQL, mapped_events, read_table
 from ..sources.shared import new_path
 from ..streaming import jobs, stateful
-from .queries import TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _ROUNDED, _VERDICTS, _evidence_sql, _features_sql, _logit_sql, _raw_events, _records, _shown, _slices, _touch_sql, _verdicts
+from .queries import ALL_KINDS, TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _ROUNDED, _VERDICTS, _evidence_sql, _features_sql, _logit_sql, _neighbour_sql, _raw_events, _records, _shown, _slices, _touch_sql, _verdicts
 from .registry import query
 from .risk import risk_of_replay
 
@@ -543,11 +546,14 @@ def _streamed(spark: SparkSession, rows: DataFrame, files: int = 2) -> DataFrame
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query(r"""WITH e AS (SELECT *, CAST(regexp_extract(props, '(\d+)', 1) AS INT) AS k FROM events),
+_INGEST_SQL = r"""WITH e AS (SELECT *, CAST(regexp_extract(props, '(\d+)', 1) AS INT) AS k FROM events),
 c AS (SELECT event_id, CASE WHEN k = 1 THEN 'bad_id' WHEN k = 2 THEN 'bad_subject' WHEN k = 3 THEN 'bad_type' WHEN k IN (4, 6) THEN 'bad_timestamp' WHEN k = 5 THEN 'bad_links'
   WHEN event_type = 'purchase' AND k BETWEEN 50 AND 59 THEN 'redaction_failed' WHEN event_type = 'view' AND k >= 90 AND k % 4 <> 0 THEN 'redaction_failed'
   WHEN event_type NOT IN ('purchase', 'view') AND k < 20 THEN 'redaction_failed' ELSE 'accepted' END AS outcome FROM e)
-SELECT outcome, count(*) * CASE WHEN outcome = 'accepted' THEN 1 ELSE 2 END AS n FROM c GROUP BY outcome""")
+SELECT outcome, count(*) * CASE WHEN outcome = 'accepted' THEN 1 ELSE 2 END AS n FROM c GROUP BY outcome"""
+
+
+@query(_INGEST_SQL)
 def streamed_ingest(spark, sf_dir):
     """Raw events as a stream in which every row comes twice: good rows are logged once, the others keep their code."""
     raw = _raw_events(spark, sf_dir)
@@ -701,3 +707,107 @@ def exact_velocity(spark, sf_dir):
     stream = _in_turn(spark, [halves.where("at_ns < middle").drop("middle"), halves.where("at_ns >= middle").drop("middle")])
     found = _finished(stateful.velocity(stream), spark, "tenant string, subject string, producer string, id string, at_ns long, resource_1h long, sends_1h long")
     return found.select("subject", "id", "resource_1h", "sends_1h")
+
+
+@query(_INGEST_SQL)
+def stateful_ingest(spark, sf_dir):
+    """As ``streamed_ingest``, with what is known of each id in state; the log itself is never read."""
+    raw = _raw_events(spark, sf_dir)
+    events, rejects = new_path(spark, "events"), new_path(spark, "rejects")
+    with stateful.with_state_store(spark):
+        stateful.ingest(_in_turn(spark, [raw, raw]), events, rejects, new_path(spark, "state")).awaitTermination()
+    logged = spark.read.parquet(events).agg(F.count("*").alias("n")).select(F.lit("accepted").alias("outcome"), "n")
+    return logged.unionByName(spark.read.parquet(rejects).groupBy(F.col("code").alias("outcome")).agg(F.count("*").alias("n")))
+
+
+# --- the engine in SQL ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {EVENTS_SQL},{_ACTIVITY},{_evidence_sql('slices')},{_features_sql('slices', True)}, now AS (SELECT DISTINCT subject, 'now' AS point, CAST(9e18 AS BIGINT) AS cutoff_ns FROM ev),
+{_neighbour_sql('near', 'now', ALL_KINDS)}, risk AS (SELECT subject, point, 1 / (1 + exp(-({_logit_sql()}))) AS r FROM feat)
+SELECT r.subject, count(*) AS points, round(max(r), 9) AS worst, (SELECT count(*) FROM near n WHERE n.subject = r.subject) AS n_neighbours, (SELECT max(core__resource_total) FROM feat f WHERE f.subject = r.subject) AS resources
+FROM risk r GROUP BY r.subject""")
+def sql_surface(spark, sf_dir):
+    """A question to the registered views, asked in SQL."""
+    from .sql import register
+
+    register(mapped_events(spark, sf_dir), "rl_")
+    return spark.sql("""SELECT v.subject, v.points, v.worst, coalesce(n.n, 0) AS n_neighbours, f.resources
+FROM (SELECT subject, count(*) AS points, round(max(score), 9) AS worst FROM rl_verdicts GROUP BY subject) v
+LEFT JOIN (SELECT subject, count(*) AS n FROM rl_neighbours GROUP BY subject) n ON n.subject = v.subject
+JOIN (SELECT subject, max(core__resource_total) AS resources FROM rl_features GROUP BY subject) f ON f.subject = v.subject""")
+
+
+# --- whole results of single operators -----------------------------------------------------------------------------
+
+
+@query(f"WITH {EVENTS_SQL} SELECT subject, count(*) FILTER (type <> 'label') AS dirty_before, count(*) AS dirty_after FROM ev GROUP BY subject")
+def label_appends(spark, sf_dir):
+    """Labels appended to their table make their subjects dirty: the count of each before and after."""
+    events = mapped_events(spark, sf_dir)
+    own, marks = events.where("type <> 'label'"), events.where("type = 'label'").select("tenant", "subject", "label", F.col("at_ns").alias("labelled_ns"))
+    path = new_path(spark, "labels")
+    jsonl.append_rows(marks.limit(0), path)
+    everyone = events.select("tenant", "subject").distinct()
+
+    def dirty(name: str) -> DataFrame:
+        labels = spark.read.schema(marks.schema).parquet(path)
+        return subjects.roll_up(own, labels).select("tenant", "subject", F.col("dirty_seq").alias(name))
+
+    before = everyone.join(dirty("dirty_before"), ["tenant", "subject"], "left")
+    jsonl.append_rows(marks, path)
+    both = before.join(dirty("dirty_after"), ["tenant", "subject"], "left")
+    return both.select("subject", F.coalesce("dirty_before", F.lit(0)).alias("dirty_before"), F.coalesce("dirty_after", F.lit(0)).alias("dirty_after"))
+
+
+def _weights_body(bias: str) -> str:
+    """The hashed form of the local weights in SQL, with another bias."""
+    pairs = ", ".join(f'["{f}", {w!r}]' for f, w in sorted(LOCAL_WEIGHTS.weights.items()))
+    return f"""'["{LOCAL_WEIGHTS.benign_label}", ' || {bias} || ', [{pairs}]]'"""
+
+
+@query(f"SELECT n_nationkey, substr(sha256({_weights_body("n_nationkey || '.5'")}), 1, 16) AS version FROM nation")
+def weight_versions(spark, sf_dir):
+    """The version of the local weights with each nation's key and a half as bias: a hash of benign label, bias and weights."""
+    rows = read_table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()
+    made = [(r["n_nationkey"], scoring.weights_version(replace(LOCAL_WEIGHTS, bias=r["n_nationkey"] + 0.5))) for r in rows]
+    return read_table(spark, sf_dir, "nation").select("n_nationkey").join(spark.createDataFrame(made, "n_nationkey int, version string"), "n_nationkey")
+
+
+#: Compatibility characters and what NFKC makes of them (fixed values).
+_COMPATIBILITY = (("\ufb01", "fi"), ("\uff21\uff42", "Ab"), ("\u00b2", "2"), ("\u2460", "1"), ("\u2126", "\u03a9"), ("\u3392", "MHz"), ("\u00a0", " "))
+
+
+@query(f"SELECT doc_id, sha256(CASE doc_id % {len(_COMPATIBILITY)} {' '.join(f"WHEN {k} THEN '{plain}'" for k, (_, plain) in enumerate(_COMPATIBILITY))} END || nfc_normalize(text)) AS nfkc_sha256 FROM documents WHERE text IS NOT NULL")
+def compatibility_texts(spark, sf_dir):
+    """NFKC of every text behind a compatibility character, which NFC would leave."""
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    mark = F.element_at(F.array(*[F.lit(c) for c, _ in _COMPATIBILITY]), (F.col("doc_id") % len(_COMPATIBILITY) + 1).cast("int"))
+    return docs.select("doc_id", F.sha2(nfkc(F.concat(mark, F.col("text"))), 256).alias("nfkc_sha256"))
+
+
+@query(f"""WITH {EVENTS_SQL}, touches AS (SELECT 'asn' AS kind, 'as' || (CAST(subject AS INT) % 9) AS hash, subject, at_ns FROM ev WHERE type <> 'label' UNION ALL SELECT 'ua_hash', 'ua' || (CAST(subject AS INT) % 4), subject, at_ns FROM ev WHERE type <> 'label'
+  UNION ALL SELECT 'email_hash', email_hash, subject, at_ns FROM ev WHERE type <> 'label'), now AS (SELECT DISTINCT subject, 'now' AS point, CAST(9e18 AS BIGINT) AS cutoff_ns FROM ev),{_neighbour_sql('near', 'now', "'asn', 'ua_hash'", 6, 9)}
+SELECT subject, other, truncated FROM near""")
+def opt_in_links(spark, sf_dir):
+    """Neighbours over kinds of links that count only where they are asked for."""
+    u = F.col("subject").cast("int")
+    events = mapped_events(spark, sf_dir).withColumns({"asn": F.concat(F.lit("as"), u % 9), "ua_hash": F.concat(F.lit("ua"), u % 4)})
+    summary = link_ops.link_summary(link_ops.link_touches(events))
+    found = link_ops.neighbours(events.select("tenant", "subject").distinct(), summary, ("asn", "ua_hash"), 6, 9)
+    return found.select("subject", "other", "truncated")
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Nation ' || lower((SELECT n_name FROM nation WHERE n_nationkey = c_custkey % 25)) ELSE 'Zz' || c_custkey || 'q' END AS brand FROM customer"""
+)
+def listed_phrases(spark, sf_dir):
+    """Names from a long list (one for each customer, and the nations) found in lines of text by the trie."""
+    customers, nations = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
+    spelled = F.concat(F.lit("Zz"), F.col("c_custkey"), F.lit("q"))
+    listed = customers.where("c_custkey % 3 <> 0").select(spelled.alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(False).alias("case_sensitive"))
+    listed = listed.unionByName(nations.select(F.concat(F.lit("Nation "), F.lower("n_name")).alias("name"), F.array(F.concat_ws(" ", F.lit("land of"), "n_name")).alias("aliases"), F.lit(False).alias("case_sensitive")))
+    lines = customers.join(F.broadcast(nations), F.col("c_custkey") % 25 == F.col("n_nationkey"))
+    lines = lines.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("greetings from the land of "), "n_name", F.lit("!"))).otherwise(F.concat(F.lit("to "), spelled, F.lit(" with thanks"))).alias("text"))
+    found = match_brands(lines, jsonl.read_brands(listed))
+    return lines.join(found, "text").select("c_custkey", F.element_at("name_brands", 1).alias("brand"))

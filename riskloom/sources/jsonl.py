@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_rfc3339
-from ..operators.ingest import classify, feature_key_code, prepare
+from ..operators.ingest import feature_key_code, judge, prepare
 from ..schema import DATA_TYPES, LINK_KINDS
 
 _EVENT_KEYS = ("producer", "id", "subject", "type", "at", "links", "data")
@@ -112,10 +112,10 @@ def skipped_by_code(errors: DataFrame, strict: bool = False) -> DataFrame:
 
 def append_events(events: DataFrame, path: str, history: DataFrame | None = None) -> DataFrame:
     """Append accepted rows to the log, partitioned by tenant and day; returns every row's outcome."""
-    judged = classify(events, history)
-    accepted = judged.where("outcome = 'accepted'").drop("outcome").withColumn("day", F.to_date("at"))
+    judged = judge(events, history)
+    accepted = judged.where("judged = 'accepted'").drop("judged").withColumn("day", F.to_date("at"))
     accepted.write.mode("append").partitionBy("tenant", "day").parquet(path)
-    return judged.select("tenant", "producer", "id", "outcome")
+    return judged.select("tenant", "producer", "id", F.col("judged").alias("outcome"))
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

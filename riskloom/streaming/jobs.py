@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.ingest import classify, prepare
+from ..operators.ingest import judge, prepare
 from ..operators.graph import add_edges
 from ..operators.links import link_touches, propagate_dirty
 from ..schema import HOUR_NS
@@ -44,11 +44,11 @@ def ingest(raw: DataFrame, events_path: str, rejects_path: str, checkpoint: str,
             if log is not None:
                 key = ["tenant", "producer", "id"]
                 log = log.select(*key, "body_hash").join(checked.select(*key).distinct(), key, "left_semi")
-            judged = classify(checked.where("reject_code is null"), log)
+            judged = judge(checked.where("reject_code is null"), log)
             refused = checked.where("reject_code is not null").select("tenant", "producer", "id", "subject", F.col("reject_code").alias("code"), "batch")
-            conflicts = judged.where("outcome = 'conflict'").select("tenant", "producer", "id", "subject", F.lit("conflict").alias("code"), "batch")
+            conflicts = judged.where("judged = 'conflict'").select("tenant", "producer", "id", "subject", F.lit("conflict").alias("code"), "batch")
             refused.unionByName(conflicts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects_path)
-            accepted = judged.where("outcome = 'accepted'").drop("outcome", "seq", "reject_code", "backfill")
+            accepted = judged.where("judged = 'accepted'").drop("judged", "seq", "reject_code", "backfill")
             accepted.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("tenant", "day").parquet(events_path)
         finally:
             checked.unpersist()

@@ -13,8 +13,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators.ingest import prepare
 from ..schema import DAY_NS, HOUR_NS
 
 STEP_MS = 300_000
@@ -121,7 +122,7 @@ def rescore_timers(events: DataFrame) -> DataFrame:
 class _FirstHash(StatefulProcessor):
     """An id's first body hash, for as long as a repeat may come."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -150,6 +151,54 @@ def outcomes(prepared: DataFrame, ttl_ms: int = 48 * 3_600_000) -> DataFrame:
     return rows.groupBy("tenant", "producer", "id").transformWithState(_FirstHash(ttl_ms), "tenant string, producer string, id string, received_ns long, outcome string", "Append", "ProcessingTime")
 
 
+class _Judge(_FirstHash):
+    """Passes whole rows on with their outcome."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.known.get()[0] if self.known.exists() else None
+        fresh = known is None
+        for row in sorted(rows, key=lambda r: (r["received_ns"], r["body_hash"])):
+            value = row["body_hash"]
+            outcome = "accepted" if known is None else "duplicate" if value == known else "conflict"
+            known = value if known is None else known
+            yield Row(row=row["row"], judged=outcome)
+        if fresh and known is not None:
+            self.known.update((known,))
+
+
+def judged(prepared: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of prepared rows that are not rejected, with ``judged`` (accepted, duplicate or conflict), from the first hash
+    of each id in state."""
+    rows = prepared.select("tenant", "producer", "id", "body_hash", "received_ns", F.struct(*prepared.columns).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.groupBy("tenant", "producer", "id").transformWithState(_Judge(ttl_ms), f"row {kind}, judged string", "Append", "ProcessingTime").select("row.*", "judged")
+
+
+def ingest(raw: DataFrame, events_path: str, rejects_path: str, checkpoint: str, trigger: dict | None = None, ttl_ms: int | None = None) -> StreamingQuery:
+    """As ``jobs.ingest``, but what is known of each id is in state and not looked up in the log: a micro-batch reads its own
+    rows and the state of its own ids, however long the log has grown (RocksDB's files have Bloom filters of their keys).
+
+    Log and rejects are partitioned by micro-batch, too, so one that runs again writes its own partitions over. A session
+    needs ``with_state_store`` when this starts. Ids are known for ever, or for ``ttl_ms``.
+    """
+    prepared = prepare(raw)
+    good = judged(prepared.where("reject_code is null"), ttl_ms)
+    both = good.unionByName(prepared.where("reject_code is not null").withColumn("judged", F.lit("rejected")))
+
+    def put(df: DataFrame, batch: int) -> None:
+        df = df.withColumn("batch", F.lit(batch)).persist()
+        try:
+            code = F.coalesce("reject_code", F.lit("conflict"))
+            refused = df.where("judged in ('rejected', 'conflict')").select("tenant", "producer", "id", "subject", code.alias("code"), "batch")
+            refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects_path)
+            accepted = df.where("judged = 'accepted'").drop("judged", "reject_code", "backfill").withColumn("day", F.to_date("at"))
+            accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "tenant", "day").parquet(events_path)
+        finally:
+            df.unpersist()
+
+    return both.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 class _Velocity(StatefulProcessor):
     """A subject's recent resources and sends in state, each told with the counts of the hour up to it."""
 

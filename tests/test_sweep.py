@@ -190,3 +190,31 @@ def test_scratch_deletes_only_its_own(spark):
     for gone in (mine, inner):
         with pytest.raises(Exception, match="FILE|PATH"):
             gone.count()
+
+
+def test_ingest_by_state_needs_no_log(spark, tmp_path):
+    from test_library import raw
+
+    parts = [raw(spark, {"id": "1", "data": '{"recipient_count": 2}'}, {"id": "2", "type": "Bad"}), raw(spark, {"id": "1", "data": '{"recipient_count": 2}'}, {"id": "1", "data": '{"recipient_count": 3}'}, {"id": "3"})]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        with stateful.with_state_store(spark):  # the second run has another log: ids are known from state
+            query = stateful.ingest(source, str(tmp_path / f"events{k}"), str(tmp_path / f"rejects{k}"), str(tmp_path / "state"))
+            assert query.awaitTermination(100)
+    ids = lambda name, *c: sorted(tuple(r[x] for x in c) for r in spark.read.parquet(str(tmp_path / name)).collect())
+    assert ids("events0", "id") == [("1",)] and ids("events1", "id") == [("3",)]
+    assert ids("rejects0", "id", "code") == [("2", "bad_type")] and ids("rejects1", "id", "code") == [("1", "conflict")]
+
+
+def test_the_log_keeps_a_payments_outcome(spark, tmp_path):
+    from test_library import raw
+
+    from riskloom.operators.ingest import judge, prepare
+    from riskloom.streaming import jobs
+
+    rows = raw(spark, {"id": "1", "type": "payment.attempt", "data": '{"outcome": "declined"}'})
+    assert [(r["outcome"], r["judged"]) for r in judge(prepare(rows).withColumn("seq", F.lit(1))).collect()] == [("declined", "accepted")]
+    rows.write.parquet(str(tmp_path / "in"))
+    jobs.ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "events"), str(tmp_path / "rejects"), str(tmp_path / "state")).awaitTermination()
+    assert [r["outcome"] for r in spark.read.parquet(str(tmp_path / "events")).collect()] == ["declined"]
