@@ -7,8 +7,9 @@ its own length (powers of two of bytes) are: a few words share few n-grams with
 that does so is of no known language, or no prose.
 
 Every language of the labelled rows is learnt, each from a bounded sample of its own: about ``sample_per_lang`` of its
-rows that have a letter, picked by a hash of the document id, and one at least. Vectors are fitted in one task a
-language; only centroids reach the driver. Prediction reads every whole text and nothing but the text.
+rows that have a letter, picked by a hash of the document id, and one at least; where ids repeat, ``MOST_TIMES`` as many
+at most. Vectors are fitted in one task a language; only centroids reach the driver, of ``MOST_LANGUAGES`` at most: more
+values of the column raise, as 64 KiB of each are broadcast. Prediction reads every whole text and nothing but the text.
 
 Defined cases: null text and text without a letter are ``und`` with score 0 and count as rejected; null languages and
 null ids are never learnt from; with nothing to learn from every text is ``und``; ties go to the first language in order;
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as tk
@@ -33,6 +34,8 @@ from .storage import make_room, table, written
 DIM = 1 << 12
 CENTROIDS = 4
 SAMPLE_PER_LANG = 400
+MOST_TIMES = 2
+MOST_LANGUAGES = 2000
 #: A text is rejected below the median cosine of its language's training texts of like length, less this many robust
 #: deviations, and less this share of the median at least. Lengths with fewer than LEAST_ROWS different ones take in texts
 #: of up to NEAR_LENGTHS lengths; where they are still fewer, LEAST_COSINE alone or the floor of the shorter texts holds.
@@ -151,12 +154,17 @@ def held_out(doc_id: str) -> Column:
 
 
 def _sample(train: DataFrame, sample_per_lang: float) -> DataFrame:
-    """(lang, hash, vector, size) of about ``sample_per_lang`` rows of each language: hashes below its share of all 64 bits, and the least."""
+    """(lang, hash, vector, size) of about ``sample_per_lang`` rows of each language: hashes below its share of all 64 bits, and
+    the least; rows of one id share a hash, so the sample is cut at ``MOST_TIMES`` its size, in order of hash and text."""
     rows = train.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64(F.lit("langid"), F.col("doc_id")))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("__n"), F.min("hash").alias("__least"))
     below = F.lit(2.0**64) * sample_per_lang / F.col("__n") - 2.0**63
     picked = (F.col("__n") <= sample_per_lang) | (F.col("hash").cast("double") < below) | (F.col("hash") == F.col("__least"))
-    return rows.join(F.broadcast(sizes), "lang").where(picked).select("lang", "text", "hash").mapInArrow(_sample_vectors, "lang string, hash long, vector binary, size int")
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    place = Window.partitionBy("lang").orderBy("hash", F.xxhash64("text"))
+    sample = rows.join(F.broadcast(sizes), "lang").where(picked).withColumn("__rank", F.row_number().over(place)).where(F.col("__rank") <= max(1, int(MOST_TIMES * sample_per_lang)))
+    return sample.select("lang", "text", "hash").mapInArrow(_sample_vectors, "lang string, hash long, vector binary, size int")
 
 
 def fit(train: DataFrame, sample_per_lang: float = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> LanguageModel:

@@ -7,9 +7,11 @@ different values different ones. What the pseudonym keeps:
 
 - card numbers (Luhn-checked): separators, length, first digit; the check digit is recomputed, so it is valid again
 - social security numbers: valid area, group and serial
-- phone numbers: punctuation, country code, and whether area and exchange start with 2 to 9. The ten digits are permuted
-  as one number, so a number has one pseudonym however it is written
-- IBANs (checked modulo 97): country, length, spaces, letters and digits in place; the check digits are recomputed
+- phone numbers (ten digits in groups, or a plus and 8 to 15 digits): punctuation, country code, and whether the first
+  digit, and the fourth of ten, is 2 to 9. The digits behind the country code are permuted as one number, so a number has
+  one pseudonym however it is written. Ten digits without any mark are not taken for a phone number
+- IBANs (checked modulo 97): country, length, letters and digits in place; the check digits are recomputed. Spaces take no
+  part, so an account has one pseudonym however it is spaced
 - IPv4 addresses: four octets
 - dates (ISO, or day, month and year by '/' or '.'): a calendar day of the years 1800 to 2199 in the same notation
 - e-mail addresses: domain, and letters, digits and dots of the name
@@ -18,7 +20,7 @@ different values different ones. What the pseudonym keeps:
 Checks by kind: Luhn, modulo 97, octets below 256, days of the calendar, areas and serials in use, no empty part in a
 mail's name and two letters at the end of its domain. For secrets and phone numbers, whose areas no rule settles, the
 pattern is the check. Values that fail are left alone. The key is a parameter; without one it is the session's ``KEY_CONF``, and
-``EXAMPLE_KEY``, which keeps nothing secret, only where that is unset too.
+where that is unset, too, nothing is masked: it raises. ``EXAMPLE_KEY`` is for queries and tests and keeps nothing secret.
 
 Null text stays null with nothing found; empty and very long texts are as any other (every pattern starts at a boundary
 and repeats possessively, so the scan is linear); repeated rows are masked alike; an input column ``found`` is kept as
@@ -44,7 +46,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,2}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])\+\d(?:[ .-]?\(?\d\)?){7,14}+(?![\d-])|(?<![\d+])(?:\+\d{1,2}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}+(?![\d-]?\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -72,7 +74,13 @@ def feistel(values: Column, radices: Column, kind: str, key: str = EXAMPLE_KEY)
         shift = lambda d, j: F.conv(F.substring(d, (j % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
         return let(digest, lambda d: F.transform(v, lambda x, j: F.when(j % 2 == r % 2, (x + shift(d, j) + (j / 16).cast("int") * 7) % F.get(radices, j)).otherwise(x)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
+    def alone(v: Column) -> Column:
+        ranked = F.transform(F.sequence(F.lit(0), F.array_max(radices) - 1), lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit("one"), i.cast("string")), 256).alias("by"), i.alias("i")))
+        return let(F.sort_array(ranked), lambda t: F.transform(v, lambda x, j: F.when(F.get(radices, j) > 1, F.get(t, x)["i"]).otherwise(x)))
+
+    # one symbol has nothing to be shifted by: its values are ranked by their keyed hashes instead
+    one = F.size(F.filter(radices, lambda r: r > 1)) == 1
+    return F.when(one, alone(values)).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round))
 
 
 def _by_symbol(text: Column, kind: str, key: str, lead: tuple[int, ...] = ()) -> Column:
@@ -95,12 +103,12 @@ def _by_symbol(text: Column, kind: str, key: str, lead: tuple[int, ...] = ()) ->
     return let(parts, build)
 
 
-def _refill(pattern: Column, digits: Column) -> Column:
-    """Put ``digits`` in the places of the digits of ``pattern``."""
+def _refill(pattern: Column, symbols: Column, place=lambda c: c.between("0", "9")) -> Column:
+    """Put ``symbols`` in the places of the digits (by default) of ``pattern``."""
 
     def step(acc: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + is_digit.cast("int")).alias("at"))
+        here = place(c)
+        return F.struct(F.concat(acc["out"], F.when(here, F.substring(symbols, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + here.cast("int")).alias("at"))
 
     return F.aggregate(F.split(pattern, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step)["out"]
 
@@ -126,14 +134,18 @@ def _ip(m: Column, key: str) -> Column:
     return F.array_join(F.transform(feistel(values, F.array(*[F.lit(256)] * 4), "ip", key), lambda x: x.cast("string")), ".")
 
 
+#: Country codes of one and two digits (fixed values); all others have three.
+COUNTRY_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def _national(m: Column) -> Column:
     """A phone number without its country code."""
-    return F.regexp_replace(m, r"^\+\d{1,2}[ .-]?", "")
+    return F.regexp_replace(m, rf"^\+{COUNTRY_CODE}[ .-]?", "")
 
 
 def _phone(m: Column, key: str) -> Column:
     rest = _national(m)
-    made = _refill(rest, _by_symbol(_digits(rest), "phone", key, lead=(0, 3)))
+    made = let(_digits(rest), lambda d: _refill(rest, F.when(F.length(d) == 10, _by_symbol(d, "phone", key, lead=(0, 3))).otherwise(_by_symbol(d, "phone", key, lead=(0,)))))
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(rest)), made)
 
 
@@ -157,12 +169,14 @@ def _iban_rest(country: Column, check: str | Column, account: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    def build(rest: Column) -> Column:
+    rest = F.substring(m, F.lit(5), F.length(m))
+
+    def build(account: Column) -> Column:
         country = F.substring(m, 1, 2)
-        account = F.replace(rest, F.lit(" "), F.lit(""))
-        return F.concat(country, F.lpad((98 - _iban_rest(country, "00", account)).cast("string"), 2, "0"), rest)
+        check = F.lpad((98 - _iban_rest(country, "00", account)).cast("string"), 2, "0")
+        return F.concat(country, check, _refill(rest, account, lambda c: c != " "))
 
-    return let(_by_symbol(F.substring(m, F.lit(5), F.length(m)), "iban", key), build)
+    return let(_by_symbol(F.replace(rest, F.lit(" "), F.lit("")), "iban", key), build)
 
 
 def _day(m: Column) -> Column:
@@ -228,13 +242,16 @@ def pseudonymise(text: Column, key: str = EXAMPLE_KEY) -> Column:
 
 def mask_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with ``text`` pseudonymised under ``key`` and ``found`` (kind, value, pseudonym) added."""
-    key = key or docs.sparkSession.conf.get(KEY_CONF, EXAMPLE_KEY)
+    key = key or docs.sparkSession.conf.get(KEY_CONF, None)
+    if not key:
+        raise ValueError(f"give a key, or set {KEY_CONF}")
     docs = make_room(docs, "found").withColumn("__pii", pseudonymise(F.col("text"), key))
     return docs.withColumns({"text": F.col("__pii.text"), "found": F.col("__pii.found")}).drop("__pii")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    masked = mask_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_CONF, None) or EXAMPLE_KEY
+    masked = mask_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     return masked.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -97,7 +97,7 @@ def test_columns_of_the_input_stay(spark, sf_dir, documents):
         "lang": (lambda d: langid.predict(d, langid.fit(langid.labelled(d))), ("lang_pred", "score", "rejected")),
         "hits": (lambda d: decontaminate.find_overlaps(d, table(spark, sf_dir, "benchmark")), ("hits", "items")),
         "licenses": (licenses.scan_licenses, ("licenses",)),
-        "found": (pii.mask_documents, ("found",)),
+        "found": (lambda d: pii.mask_documents(d, pii.EXAMPLE_KEY), ("found",)),
         "anchors": (fingerprints.fingerprints, ("anchors", "fingerprint")),
         "spans": (lambda d: substrings.dedup_against(d, d.limit(1)), ("spans",)),
     }
@@ -285,6 +285,9 @@ def test_stages_against_brute_force(spark, sf_dir, documents, tmp_path):
 
 def feistel(values, radices, kind, key):
     values = list(values)
+    if sum(x > 1 for x in radices) == 1:
+        ranked = sorted(range(max(radices)), key=lambda i: hashlib.sha256(f"{key}|{kind}|one|{i}".encode()).hexdigest())
+        return [ranked[v] if x > 1 else v for v, x in zip(values, radices)]
     for r in range(pii.ROUNDS):
         others = [v for j, v in enumerate(values) if j % 2 != r % 2]
         digest = hashlib.sha256("|".join([key, kind, str(r), str(len(values)), ",".join(map(str, others))]).encode()).hexdigest()
@@ -334,8 +337,9 @@ def pseudonym(kind, m, key):
         return prefix + by_symbol(m[len(prefix) :], kind, key)
     if kind == "iban":
         rest = lambda account, check: int("".join(str(int(c, 36)) for c in account.replace(" ", "") + m[:2] + check)) % 97
-        made = by_symbol(m[4:], kind, key)
-        return f"{m[:2]}{98 - rest(made, '00'):02d}{made}" if rest(m[4:], m[2:4]) == 1 else None
+        made = by_symbol(m[4:].replace(" ", ""), kind, key)
+        left = iter(made)
+        return f"{m[:2]}{98 - rest(made, '00'):02d}" + "".join(c if c == " " else next(left) for c in m[4:]) if rest(m[4:], m[2:4]) == 1 else None
     if kind == "ip":
         parts = [int(x) for x in m.split(".")]
         return ".".join(map(str, feistel(parts, [256] * 4, kind, key))) if max(parts) < 256 else None
@@ -346,8 +350,9 @@ def pseudonym(kind, m, key):
         a, b, c = feistel([a - 1 - (a > 666), b - 1, c - 1], [898, 99, 9999], kind, key)
         return f"{a + 1 + (a >= 665):03d}-{b + 1:02d}-{c + 1:04d}"
     if kind == "phone":
-        rest = regex.sub(r"^\+\d{1,2}[ .-]?", "", m)
-        return m[: len(m) - len(rest)] + refill(rest, by_symbol(regex.sub("[^0-9]", "", rest), kind, key, (0, 3)))
+        rest = regex.sub(rf"^\+{pii.COUNTRY_CODE}[ .-]?", "", m)
+        national = regex.sub("[^0-9]", "", rest)
+        return m[: len(m) - len(rest)] + refill(rest, by_symbol(national, kind, key, (0, 3) if len(national) == 10 else (0,)))
     if kind == "card":
         if luhn(digits):
             return None
@@ -391,3 +396,55 @@ def test_pii_of_documents(spark, documents):
     assert len({regex.sub("[^0-9]", "", p)[-10:] for p in phones}) == 1 and len(phones) == 3
     other = {r["doc_id"]: r["text"] for r in pii.mask_documents(df, "another").collect()}
     assert other[10_000] != want[10_000][0]
+
+
+def test_equal_values_are_linked_however_written(spark):
+    rows = [
+        "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "+1 212 555 0100", "+12125550100", "(212) 555-0100", "+49 30 1234567", "+49301234567", "+351 21 234 5678", "+351212345678",
+    ]
+    df = spark.createDataFrame([(k, f"see {t}; {t}, x") for k, t in enumerate(rows)], TEXT)
+    got = {r["doc_id"]: [tuple(f) for f in r["found"]] for r in pii.mask_documents(df, "a key").collect()}
+    plain = {k: regex.sub("[^0-9A-Z]", "", v[0][2]) for k, v in got.items()}
+    assert all(len(v) == 2 and v[0] == v[1] and v[0][0] == ("iban" if k < 2 else "phone") for k, v in got.items())
+    assert plain[0] == plain[1] and plain[2] == plain[3] and plain[2][1:] == plain[4] and plain[5] == plain[6] and plain[7] == plain[8]
+    assert plain[5].startswith("49") and plain[7].startswith("351")
+    names = spark.createDataFrame([(k, f"{c}@x.com") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")], TEXT)
+    made = [r["text"][0] for r in pii.mask_documents(names, "a key").orderBy("doc_id").collect()]
+    assert sorted(made) == list("abcdefghijklmnopqrstuvwxyz") and len({(ord(m) - k) % 26 for k, m in enumerate(made)}) > 5
+    with pytest.raises(ValueError, match="give a key"):
+        pii.mask_documents(names)
+
+
+# --- op4: the nearest centroid by plain Python ---
+
+
+def test_nearest_centroid(spark, documents):
+    model = langid.fit(langid.labelled(documents))
+    got = {r["doc_id"]: r for r in langid.predict(documents.select("doc_id", "text").union(spark.createDataFrame([(9999, None), (9998, "123 ?!")], TEXT)), model).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for doc_id, r in sorted(got.items())[::9] + [(k, got[k]) for k in (9998, 9999)]:
+        if not regex.search(r"\p{L}", r["text"] or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0, True)
+            continue
+        raw = r["text"].lower().encode()
+        letters = [c if 97 <= c <= 122 or c >= 128 else 32 for c in raw] + [32, 32]
+        counts = [0] * langid.DIM
+        for i in range(len(raw)):
+            x, y, z = letters[i : i + 3]
+            if y != 32:
+                counts[((x | y << 8 | z << 16) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+            if x != 32:
+                counts[((x | y << 8 | 1 << 24) * 2246822519 & 0xFFFFFFFF) >> 20] += 1
+        vector = [np.log1p(c) * w if c else 0.0 for c, w in zip(counts, model.idf.tolist())]
+        norm = dot(vector, vector) ** 0.5
+        like = [dot(vector, c) / norm for c in model.centroids.tolist()]
+        best = max(range(len(like)), key=like.__getitem__)
+        assert abs(r["score"] - like[best]) < 1e-4 and (r["lang_pred"] == model.langs[best] or sorted(like)[-1] - sorted(like)[-2] < 1e-4), doc_id
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    rows = spark.range(4000).select(F.lit(4).cast("long").alias("doc_id"), F.format_string("some words number %d", "id").alias("text"), F.lit("xx").alias("lang"))
+    assert langid._sample(rows, 50).count() == 100
+    many = spark.range(langid.MOST_LANGUAGES + 1).select("id", F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang")).withColumnRenamed("id", "doc_id")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(many)
