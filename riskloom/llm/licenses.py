@@ -22,7 +22,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as tk
@@ -217,6 +217,19 @@ class TemplateIndex:
 _PLACES = "array<struct<license:string,start:int,end:int,containment:double>>"
 
 
+def read_templates(spark: SparkSession, folder: str, most_bytes: int = 16 << 20) -> dict[str, str]:
+    """Templates from a folder of text files, whole licenses as a rule: the file's name without its ending names the
+    template. Read by Spark, so the folder may be in any store; files of more than ``most_bytes`` in all raise, empty ones
+    are left out, and of two files of one name (in different folders) the first in order counts."""
+    files = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    size = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"templates of {size} bytes; at most {most_bytes} are read")
+    name = F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), -1)), r"\.[A-Za-z]+$", "")
+    rows = files.select(name.alias("name"), "path", "text").where(F.col("text").rlike("\\S")).orderBy(F.desc("path")).collect()
+    return {r["name"]: r["text"] for r in rows}
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """``docs`` with ``licenses`` added: places (license, start, end in words, containment)."""
     docs = make_room(docs, "licenses")

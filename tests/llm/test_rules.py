@@ -448,3 +448,25 @@ def test_sample_is_bounded_where_ids_repeat(spark):
     many = spark.range(langid.MOST_LANGUAGES + 1).select("id", F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang")).withColumnRenamed("id", "doc_id")
     with pytest.raises(ValueError, match="languages"):
         langid.fit(many)
+
+
+# --- op3: templates of a folder ---
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"term{k}" for k in range(400)]
+    whole = {name: " ".join(rng.choice(words) for _ in range(n)) for name, n in (("Long-License-2.0", 2500), ("Other 1.1", 1800))}
+    for name, text in whole.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    (tmp_path / "empty.txt").write_text(" \n")
+    templates = licenses.read_templates(spark, str(tmp_path))
+    assert {k: v.strip() for k, v in templates.items()} == whole
+    edited = whole["Long-License-2.0"].split()
+    for k in range(100, 2500, 400):
+        edited[k] = "changed"
+    docs = spark.createDataFrame([(1, "before " * 50 + " ".join(edited) + " after" * 50), (2, whole["Other 1.1"]), (3, " ".join(rng.choice(words) for _ in range(3000))), (4, None)], TEXT)
+    got = {r["doc_id"]: sorted(x["license"] if "license" in x.asDict() else x[0] for x in r["licenses"]) for r in licenses.scan_licenses(docs, templates).collect()}
+    assert got == {1: ["Long-License-2.0"], 2: ["Other 1.1"], 3: [], 4: []}
+    with pytest.raises(ValueError, match="at most"):
+        licenses.read_templates(spark, str(tmp_path), most_bytes=1000)
