@@ -9,7 +9,7 @@
 3. A block is a signature tree: leaves of classes sorted by size, inner nodes with OR-combined token bitmaps (in planes,
    so that tokens that share a bit still count) and size ranges. A dual traversal descends pairs of nodes and prunes a
    pair when its largest possible overlap is below the least overlap that its sizes need, or when all its classes are
-   linked already. What is left is compared exactly.
+   linked already. Two leaves meet with all their bounds at once, and what is left is compared exactly.
 4. A block of more than ``block`` classes is cut into parts by size; every pair of parts whose sizes allow a link is a
    task of its own, so that no task holds more than two parts.
 5. The links' connected components give the answer.
@@ -113,10 +113,21 @@ def _sketches(batches: Iterator[pa.RecordBatch], keys_of=_band_keys) -> Iterator
 
 
 class _Node:
-    __slots__ = ("children", "high", "low", "members", "planes", "spare")
+    __slots__ = ("children", "high", "low", "members", "planes", "spare", "table")
 
     def __init__(self, members: np.ndarray, children: list[_Node], low: int, high: int, planes: np.ndarray, spare: int):
-        self.members, self.children, self.low, self.high, self.planes, self.spare = members, children, low, high, planes, spare
+        self.members, self.children, self.low, self.high, self.planes, self.spare, self.table = members, children, low, high, planes, spare, None
+
+    @property
+    def is_leaf(self) -> bool:
+        """A node of single sets."""
+        return bool(self.children) and not self.children[0].children
+
+    def stacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Planes, sizes and spare tokens of a leaf's sets, as arrays."""
+        if self.table is None:
+            self.table = (np.stack([c.planes for c in self.children]), np.array([c.low for c in self.children]), np.array([c.spare for c in self.children]))
+        return self.table
 
 
 class SignatureTree:
@@ -178,6 +189,15 @@ class SignatureTree:
         both = int((b[at] == a).sum())
         return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
+    def _candidates(self, a: _Node, b: _Node) -> list[tuple[int, int]]:
+        """Pairs of two leaves' sets that may overlap enough, all bounds of both leaves at once."""
+        (p, m, s), (q, n, t) = a.stacked(), b.stacked()
+        most = np.bitwise_count(p[:, None] & q[None]).sum((2, 3), dtype=np.int64) + np.minimum.outer(s, t)
+        fine = (100 + PERCENT) * most >= PERCENT * np.add.outer(m, n)
+        fine &= (100 * m[:, None] >= PERCENT * n[None]) & (100 * n[None] >= PERCENT * m[:, None])
+        at = np.argwhere(np.triu(fine, 1) if a is b else fine)
+        return list(zip(a.members[at[:, 0]].tolist(), b.members[at[:, 1]].tolist(), strict=True))
+
     def links(self, across: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links that connect what the threshold connects. ``across``: part of each set; links inside a part are known and needless."""
         out: list[tuple[int, int]] = []
@@ -186,17 +206,17 @@ class SignatureTree:
             a, b = stack.pop()
             if not self.possible(a, b):
                 continue
-            if not a.children and not b.children:
-                x, y = int(a.members[0]), int(b.members[0])
-                if x != y and (across is None or across[x] != across[y]) and (p := self.find(x)) != (q := self.find(y)) and self.similar(x, y):
-                    self.parent[p] = q
-                    out.append((x, y))
+            if a.is_leaf and b.is_leaf:
+                for x, y in self._candidates(a, b):
+                    if (across is None or across[x] != across[y]) and (p := self.find(x)) != (q := self.find(y)) and self.similar(x, y):
+                        self.parent[p] = q
+                        out.append((x, y))
                 continue
             if (a is not b or len(a.members) > 1) and self._connected(a, b):
                 continue
             if a is b:
                 stack += [(a.children[i], a.children[j]) for i in range(len(a.children)) for j in range(i, len(a.children))]
-            elif a.children and (len(a.members) >= len(b.members) or not b.children):
+            elif not a.is_leaf and (len(a.members) >= len(b.members) or b.is_leaf):
                 stack += [(c, b) for c in a.children]
             else:
                 stack += [(a, c) for c in b.children]
