@@ -18,11 +18,11 @@ from ..operators.sweep import features_by_sweep
 from ..schema import DAY_NS, FEATURES, HOUR_NS, LINK_KINDS, LOCAL_WEIGHTS, Rule, column
 from ..sources import jsonl
 from ..sources.mapped import EVENTS_SQL, mapped_events, read_table
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from ..streaming import jobs, stateful
 from .queries import ALL_KINDS, TEST_BRANDS, _ACTIVITY, _LATEST, _METRICS, _RECORDS, _ROUNDED, _VERDICTS, _evidence_sql, _features_sql, _logit_sql, _neighbour_sql, _raw_events, _records, _shown, _slices, _touch_sql, _verdicts
 from .registry import query
-from .risk import risk_of_replay
+from .risk import risk_of_points, risk_of_replay
 
 SECRET = b"k"
 
@@ -624,7 +624,7 @@ _CLUSTERS_SQL = f"""{_touch_sql()}, e AS (SELECT DISTINCT a.subject AS a, b.subj
 reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)"""
 
 
-def _by_month(events: DataFrame, parts: int) -> list[DataFrame]:
+def _by_time(events: DataFrame, parts: int) -> list[DataFrame]:
     """The log cut by time into parts of like length."""
     ends = events.agg(F.min("at_ns").alias("low"), F.max("at_ns").alias("high"))
     at = F.least(F.lit(parts - 1), F.floor((F.col("at_ns") - F.col("low")) * parts / (F.col("high") - F.col("low") + 1)))
@@ -636,13 +636,51 @@ def _by_month(events: DataFrame, parts: int) -> list[DataFrame]:
 def streamed_clusters(spark, sf_dir):
     """Clusters of linked subjects from a stream of three micro-batches, each contracted against those so far."""
     forest = new_path(spark, "forest")
-    jobs.cluster_stream(_in_turn(spark, _by_month(mapped_events(spark, sf_dir), 3)), forest, new_path(spark, "state")).awaitTermination()
+    jobs.cluster_stream(_in_turn(spark, _by_time(mapped_events(spark, sf_dir), 3)), forest, new_path(spark, "state")).awaitTermination()
     of = graph.components_of(graph.read_forest(spark, forest)).where("node like 's%'")
     subjects_ = of.select(F.element_at(F.split("node", "\x1f"), -1).alias("subject"), "component")
     names = subjects_.groupBy("component").agg(F.min("subject").alias("cluster"))
     return subjects_.join(names, "component").select("subject", "cluster")
 
 
+_BATCHES_SQL = f"""ends AS (SELECT min(at_ns) AS low, max(at_ns) AS high FROM ev), cut AS (SELECT ev.*, least(1, CAST(floor(CAST((at_ns - low) * 2 AS DOUBLE) / (high - low + 1)) AS INT)) AS part FROM ev, ends),
+until AS (SELECT b.part, max(c.at_ns) + 1 AS cutoff_ns FROM (SELECT DISTINCT part FROM cut) b JOIN cut c ON c.part <= b.part GROUP BY b.part),
+changed AS (SELECT DISTINCT c.subject, CAST(c.part AS VARCHAR) AS point, u.cutoff_ns FROM cut c JOIN until u ON u.part = c.part WHERE type IN ('subject.deleted', 'label')),
+{_touch_sql()},{_neighbour_sql('near', 'changed', ALL_KINDS)},
+due AS (SELECT subject, CAST(part AS VARCHAR) AS point FROM cut UNION SELECT other, point FROM near),
+sp AS (SELECT d.subject, d.point, u.cutoff_ns AS now_ns, u.cutoff_ns FROM due d JOIN until u ON CAST(u.part AS VARCHAR) = d.point)"""
+
+
+@query(f"""WITH {EVENTS_SQL}, {_BATCHES_SQL},{_evidence_sql('sp').replace(_touch_sql() + ',', '', 1)},{_features_sql('sp', True)},
+risk AS (SELECT subject, point, 1 / (1 + exp(-({_logit_sql()}))) AS r FROM feat)
+SELECT sp.subject, CAST(sp.point AS BIGINT) AS batch, round(coalesce(r, 1 / (1 + exp(-({LOCAL_WEIGHTS.bias})))), 9) AS score FROM sp LEFT JOIN risk ON risk.subject = sp.subject AND risk.point = sp.point""")
+def streamed_risk(spark, sf_dir):
+    """Scores of a stream in two micro-batches: each scores its own subjects and the neighbours of those that it marks, by
+    the links and the log up to it, with all features and evidence."""
+    events = mapped_events(spark, sf_dir)
+    parts = _by_time(events, 2)
+    log = [written(part, "log") for part in parts]
+    seen: list[DataFrame] = []
+
+    def so_far() -> DataFrame:
+        seen.append(log[len(seen)])
+        return link_ops.link_summary(link_ops.link_touches(_union(seen)))
+
+    def score(who: DataFrame, batch: int) -> DataFrame:
+        known = _union(seen)
+        last = F.broadcast(known.agg((F.max("at_ns") + 1).alias("now_ns")))
+        spine = who.join(last).select("tenant", "subject", F.lit(str(batch)).alias("point"), "now_ns", F.col("now_ns").alias("cutoff_ns"))
+        return risk_of_points(written(spine, "due"), known).select("tenant", "subject", "score", "tier", F.lit(batch).cast("long").alias("batch"))
+
+    out = new_path(spark, "verdicts")
+    jobs.score_stream(_in_turn(spark, log), score, out, so_far, new_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(out).select("subject", "batch", F.round("score", 9).alias("score"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(_union(parts[1:]))
+
+
 # --- state with timers and expiry ----------------------------------------------------------------------------------
 
 
