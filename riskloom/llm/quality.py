@@ -107,7 +107,10 @@ def counted(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     docs = make_room(docs, *COUNTS)
     text = F.coalesce("text", F.lit(""))
     full = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_SPACE)) != "")
-    rows = docs.withColumns({"__words": F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), "__lines": full})
+    # always true, but no expression that a filter on the verdict may be rewritten by: else Spark would put the splitting of
+    # the text into the filter, and there into the function of each window
+    once = F.monotonically_increasing_id() >= 0
+    rows = docs.withColumns({"__words": F.when(once, F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), "__lines": full})
     words, lines, n = F.col("__words"), F.col("__lines"), F.size("__words")
     hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
     rows = rows.withColumn("__hashes", hashes)
