@@ -88,7 +88,7 @@ def test_eigen_of_matrices():
 
 def check_whitened(rows, vectors, k):
     """``rows`` of op12 against numpy."""
-    x = np.floor(1024 * np.array(vectors, float)).astype(object) + 100000
+    x = np.floor(1024 * np.array(vectors, float)).astype(np.int64).astype(object) + 100000
     n, total = len(x), x.sum(0)
     y = (n * x - total).astype(object)
     centred = (y / n).astype(float)
@@ -118,8 +118,8 @@ def test_whitening_of_awkward_rows(spark):
     assert whitening.identity_error(out, 3) < 1e-9
     assert whitening.fit(data.where("vec_id >= 90")) is None  # one usable vector
     assert whitening.fit(data.limit(0)) is None and whitening.fit(data.where("vec_id in (0, 50, 51)")) is None
-    large = spark.createDataFrame([(k, [v[0] * 1e9, v[1]]) for k, v in enumerate(good)], "vec_id long, embedding array<double>")
-    check_whitened(sorted(whitening.whiten(large, whitening.fit(large), 2).collect(), key=lambda r: r["vec_id"]), [[v[0] * 1e9, v[1]] for v in good], 2)
+    large = spark.createDataFrame([(k, [v[0] * 1e8, v[1] * 1e8]) for k, v in enumerate(good)], "vec_id long, embedding array<double>")
+    check_whitened(sorted(whitening.whiten(large, whitening.fit(large), 2).collect(), key=lambda r: r["vec_id"]), [[v[0] * 1e8, v[1] * 1e8] for v in good], 2)
 
 
 def test_whitening_query(spark, sf_dir, tmp_path):
