@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
 from ..schema import DAY_NS
 
 
@@ -87,7 +88,7 @@ def backlog(subjects: DataFrame, now_ns: int) -> DataFrame:
 
 def usage(calls: DataFrame) -> DataFrame:
     """(day, dim, key, n) of calls to scorers that cost something: by adapter, subject and tenant."""
-    paid = calls.where("scorer <> 'local'").withColumn("day", F.date_format(F.timestamp_micros(F.floor(F.col("called_ns") / 1000).cast("long")), "yyyy-MM-dd"))
+    paid = calls.where("scorer <> 'local'").withColumn("day", F.date_format(F.timestamp_micros(floor_div(F.col("called_ns"), 1000)), "yyyy-MM-dd"))
     dims = F.array(
         F.struct(F.lit("adapter").alias("dim"), F.col("scorer").alias("key")),
         F.struct(F.lit("subject").alias("dim"), F.concat_ws("/", "tenant", "subject").alias("key")),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_features import START, event, frame, spine
 
-from riskloom.functions.scalar import family_keys, hmac_sha256, parse_rfc3339, wilson
+from riskloom.functions.scalar import family_keys, floor_div, hmac_sha256, parse_rfc3339, wilson
 from riskloom.functions.text import canonical, mask_emails, match_brands, skeleton, skeleton_of, tokenise, truncate_utf8
 from riskloom.operators import ingest, links, metrics, replay, scoring, subjects
 from riskloom.operators.graph import connected_components
@@ -317,3 +317,12 @@ def test_sinks(spark, tmp_path):
         jsonl.score_files(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out2"), lambda df: df)
     brands = spark.createDataFrame([("A", ["x"], False), ("A", ["y", "x"], None), ("B", None, True)], "name string, aliases array<string>, case_sensitive boolean")
     assert sorted(map(tuple, jsonl.read_brands(brands).collect())) == [("A", ["x", "y"], False), ("B", [], True)]
+
+
+def test_instants_are_divided_exactly(spark):
+    """Whole microseconds and milliseconds that a double of nanoseconds misses by one."""
+    micros = [1704101451078096, 1704099014907856, -1704101451078097, 0]
+    rows = spark.createDataFrame([(m * 1000 + r, m) for m in micros for r in (0, 999)], "ns long, micros long")
+    assert rows.where(floor_div(F.col("ns"), 1000) != F.col("micros")).isEmpty()
+    text = rows.where("ns > 0 and ns % 1000 = 0").select("micros", F.date_format(F.timestamp_micros("micros"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("text"))
+    assert text.where(F.unix_micros(parse_rfc3339(F.col("text"))["at"]) != F.col("micros")).isEmpty()
