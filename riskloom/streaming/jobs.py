@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from ..functions.scalar import floor_div
 from ..operators.ingest import judge, prepare
 from ..operators.graph import add_edges
 from ..operators.links import link_touches, propagate_dirty
@@ -72,15 +73,22 @@ def dedup(events: DataFrame) -> DataFrame:
 
 
 def _classify_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps an id's first body hash."""
-    known = state.get[0] if state.exists else None
+    """Keeps an id's first body hash. An id's rows come in parts cut anywhere, in no order: they are counted by hash, with
+    each hash's first instant, before any is told."""
+    counts: dict[str, int] = {}
+    first: dict[str, int] = {}
     for part in parts:
-        found = []
-        for value in part.sort_values("received_ns", kind="stable")["body_hash"]:
-            found.append("accepted" if known is None else "duplicate" if value == known else "conflict")
-            known = known or value
-        yield pd.DataFrame({"tenant": key[0], "producer": key[1], "id": key[2], "outcome": found})
-    state.update((known,))
+        for value, at in zip(part["body_hash"], part["received_ns"], strict=True):
+            counts[value] = counts.get(value, 0) + 1
+            first[value] = min(at, first.get(value, at))
+    fresh = not state.exists
+    known = min(counts, key=lambda value: (first[value], value)) if fresh else state.get[0]
+    same = counts.pop(known, 0)
+    found = ["accepted"] * fresh + ["duplicate"] * (same - fresh) + ["conflict"] * sum(counts.values())
+    for k in range(0, len(found), 10_000):
+        yield pd.DataFrame({"tenant": key[0], "producer": key[1], "id": key[2], "outcome": found[k : k + 10_000]})
+    if fresh:
+        state.update((known,))
 
 
 def outcomes(prepared: DataFrame) -> DataFrame:
@@ -119,7 +127,7 @@ def rescore_timers(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     A subject's state is bounded by the steps of one day, however many events it has.
     """
     own = events.where(F.col("type").isin("resource.created", "content.sent")).withWatermark("at", delay)
-    rows = own.select("tenant", "subject", "at", F.floor(F.col("at_ns") / 1_000_000).cast("long").alias("ms"))
+    rows = own.select("tenant", "subject", "at", floor_div(F.col("at_ns"), 1_000_000).alias("ms"))
     return rows.groupBy("tenant", "subject").applyInPandasWithState(
         _time_group, "tenant string, subject string, due_ms long", "waiting string", "append", "EventTimeTimeout"
     )

@@ -79,3 +79,13 @@ def test_late_backfilled_and_future_rows(spark, tmp_path):
     assert sorted((r["id"], r["outcome"]) for r in run("outcomes_seen", jobs.outcomes)) == sorted([*((k, "accepted") for k in ages), ("1", "duplicate")])
     assert sorted(r["id"] for r in run("dedup_seen", jobs.dedup)) == sorted(ages)
     assert {r["subject"] for r in run("velocity_seen", jobs.velocity, "update")} == set(ages)
+
+
+def test_outcomes_of_an_id_of_many_rows(spark, tmp_path):
+    """An id's rows fill several Arrow batches, latest first: the earliest names the hash, wherever it lies."""
+    rows = spark.range(25_000).select(F.lit("t").alias("tenant"), F.lit("").alias("producer"), F.lit("1").alias("id"), F.when(F.col("id") == 24_999, "a").otherwise("b").alias("body_hash"), (30_000 - F.col("id")).alias("received_ns"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.outcomes(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("outcome").count().collect()
+    assert {r["outcome"]: r["count"] for r in got} == {"accepted": 1, "conflict": 24_999}
