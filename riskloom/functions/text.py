@@ -20,7 +20,12 @@ from ..schema import BRANDS
 from .words import lookup
 
 #: E-mail shape after NFKC (fixed value).
-EMAIL = r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}.\-]+\.[\p{L}]{2,}"
+_LOCAL, _DOMAIN = r"[\p{L}\p{N}._%+\-]", r"@[\p{L}\p{N}.\-]+\.[\p{L}]{2,}"
+#: Whether there is one: its last character before the @ will do. A run of them, tried from each of its characters, would
+#: take the square of its length.
+EMAIL = _LOCAL + _DOMAIN
+#: All of it, from the start of its run or where the match before ended.
+_WHOLE_EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++{_DOMAIN}"
 CONTROL = r"\p{Cc}"
 
 #: Look-alikes and the Latin letters that they stand for (fixed values): Cyrillic, Greek, digits and signs.
@@ -84,7 +89,7 @@ def skeleton(text: Column) -> Column:
 
 
 def mask_emails(text: Column) -> Column:
-    return F.regexp_replace(nfkc(text), EMAIL, "@")
+    return F.regexp_replace(nfkc(text), _WHOLE_EMAIL, "@")
 
 
 def looks_like_email(text: Column) -> Column:

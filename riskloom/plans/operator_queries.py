@@ -86,7 +86,7 @@ def field_rules(spark, sf_dir):
         .when(F.col("t") == 2, F.when(v == 2, '{"mode":"gone"}').otherwise('{"mode":"trash"}'))
         .when(F.col("t") == 3, F.when(v == 1, '{"class":"other"}').otherwise('{"class":"customer"}'))
         .when(F.col("t") == 4, F.concat(F.lit('{"name":"'), F.repeat(F.lit("aé"), 150), F.lit('"}')))
-        .otherwise(F.concat(F.lit('{"free_text":"'), F.repeat(F.lit("x"), F.col("n_chars").cast("int")), F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"free_text_field":"'), F.repeat(F.lit("x"), F.col("n_chars").cast("int")), F.lit('"}')))
     )
     names = ("subject.created", "content.sent", "subject.deleted", "subject.class", "resource.created", "free.form")
     kind = F.get(F.array(*[F.lit(n) for n in names]), F.col("t").cast("int"))

@@ -4,15 +4,17 @@ import hashlib
 import hmac
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from test_features import START, event, frame, spine
 
 from riskloom.functions.scalar import family_keys, floor_div, hmac_sha256, parse_rfc3339, wilson
-from riskloom.functions.text import canonical, mask_emails, match_brands, skeleton, skeleton_of, tokenise, truncate_utf8
+from riskloom.functions.text import canonical, looks_like_email, mask_emails, match_brands, skeleton, skeleton_of, tokenise, truncate_utf8
 from riskloom.operators import ingest, links, metrics, replay, scoring, subjects
 from riskloom.operators.graph import connected_components
+from riskloom.plans.queries import QUERIES
 from riskloom.schema import BRANDS, DAY_NS, LINK_KINDS, MINUTE_NS, NEW_ACCOUNT_RULE, CombineParams, Rule
 from riskloom.sources import jsonl
 
@@ -326,3 +328,23 @@ def test_instants_are_divided_exactly(spark):
     assert rows.where(floor_div(F.col("ns"), 1000) != F.col("micros")).isEmpty()
     text = rows.where("ns > 0 and ns % 1000 = 0").select("micros", F.date_format(F.timestamp_micros("micros"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("text"))
     assert text.where(F.unix_micros(parse_rfc3339(F.col("text"))["at"]) != F.col("micros")).isEmpty()
+
+
+def test_emails_beside_long_runs(spark):
+    """A long run without an @ takes no more time than its length, and what is masked stays the same."""
+    plain = r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}.\-]+\.[\p{L}]{2,}"
+    texts = ["a@b.com1@c.org", "x.y+z@q.de, b@", "@@a@b.cc@d.ee", "a@b.com.@c.de", "ü_ä@ö.öö-a@b.cc", "a@b@c.dd e%f@g.h.ii"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert rows.where(mask_emails(F.col("text")) != F.regexp_replace("text", plain, "@")).isEmpty()
+    assert rows.where(looks_like_email(F.col("text")) != F.col("text").rlike(plain)).isEmpty()
+    began = time.time()
+    long = spark.range(8).select(F.repeat(F.lit("x"), 400_000).alias("text"))
+    assert long.where(looks_like_email(F.col("text")) | mask_emails(F.col("text")).contains("@")).isEmpty()
+    assert time.time() - began < 20
+
+
+def test_field_rules_at_the_size_cap(spark, tmp_path):
+    docs = [(5 + 6 * k, 8168 + k) for k in range(12)]
+    spark.createDataFrame(docs, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["reject_code"] for r in QUERIES["field_rules"](spark, str(tmp_path)).collect()}
+    assert got == {k: "too_large" if n > 8170 else None for k, n in docs}
