@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import parse_rfc3339
 from ..operators.ingest import feature_key_code, judge, prepare
 from ..schema import DATA_TYPES, LINK_KINDS
+from .shared import written
 
 _EVENT_KEYS = ("producer", "id", "subject", "type", "at", "links", "data")
 _LABEL_KEYS = ("subject", "label", "category", "source", "decision_at")
@@ -61,7 +62,8 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     # null values of data are absent in offline logs
     checked = prepare(rows.where(~is_label | F.col("code").isNotNull()), null_is_absent=True)
     late = F.when(F.col("reject_code").isin("redaction_failed", "too_large"), "redact_failed").when(F.col("reject_code").isNotNull(), "validate_failed")
-    checked = checked.withColumn("code", F.coalesce("code", late))
+    # stored once for all that is read off it
+    checked = written(checked.withColumn("code", F.coalesce("code", late)), "checked")
     activity = checked.where("code is null").select("tenant", "producer", "id", "subject", "type", "at", "at_ns", *LINK_KINDS, *DATA_TYPES, F.lit(None).cast("string").alias("label"), "data", "body_hash", "redaction_version", "source", "line")
     bad = checked.where("code is not null")
     errors = bad.select("source", "line", "code")

@@ -348,3 +348,12 @@ def test_field_rules_at_the_size_cap(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["reject_code"] for r in QUERIES["field_rules"](spark, str(tmp_path)).collect()}
     assert got == {k: "too_large" if n > 8170 else None for k, n in docs}
+
+
+def test_log_rows_are_checked_once(spark, tmp_path):
+    """What is read off a log file shares one stored table of checked rows."""
+    line = {"id": "1", "subject": "s", "type": "custom.kind", "at": "2024-01-01T00:00:00Z", "data": {"note": "plain"}}
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps(x) for x in (line, line | {"odd": 1})))
+    activity, _, errors, tainted = jsonl.read_events(spark, str(tmp_path))
+    assert [len(df.inputFiles()) > 0 and all("checked" in f for f in df.inputFiles()) for df in (activity, errors, tainted)] == [True] * 3
+    assert (activity.count(), errors.count(), [r["subject"] for r in tainted.collect()]) == (1, 1, ["s"])
