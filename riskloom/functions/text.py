@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +40,36 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 def _letters_beside(text: str, start: int, end: int) -> int:
-    low, high = start, end
-    while low and text[low - 1].isalpha():
-        low -= 1
-    while high < len(text) and text[high].isalpha():
-        high += 1
-    return (start - low) + (high - end)
+    """Letters directly beside a stretch, of two on either side."""
+    before, after = text[max(start - 2, 0) : start][::-1], text[end : end + 2]
+    return sum(side[:1].isalpha() + (side[:1].isalpha() and side[1:].isalpha()) for side in (before, after))
+
+
+class _PerCharacter(dict):
+    """A table for ``str.translate`` that is filled as characters come."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, code: int):
+        self[code] = self.of(chr(code))
+        return self[code]
+
+
+def _fold(c: str) -> str:
+    if c in "Iı":
+        return "l"
+    low = c.lower() if len(c.lower()) == 1 else unicodedata.normalize("NFD", c.lower())[0]
+    return low if low in _LEET else low.translate(LOOKALIKES)
+
+
+_FOLDED = _PerCharacter(_fold)
+_UNMARKED = _PerCharacter(lambda c: None if unicodedata.category(c) == "Mn" else c)
+_SPELLED = str.maketrans("103457", "loeast")
+
+
+def _spell(digits: re.Match) -> str:
+    return digits[0].translate(_SPELLED) if _letters_beside(digits.string, *digits.span()) >= 2 else digits[0]
 
 
 def skeleton_of(text: str) -> str:
@@ -55,37 +78,36 @@ def skeleton_of(text: str) -> str:
     Digits stand for letters only in a run of digits with two letters or more directly beside it. Capital I, dotless i
     and such a 1 become l before lower-casing.
     """
-    plain = "".join(c for c in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text)) if unicodedata.category(c) != "Mn")
-    chars = list(unicodedata.normalize("NFC", plain))
-    plain = "".join(chars)
-    literal = {k for run in _DIGITS.finditer(plain) if _letters_beside(plain, *run.span()) < 2 for k in range(*run.span())}
-    folded = []
-    for k, c in enumerate(chars):
-        if c in "Iı" or (c == "1" and k not in literal):
-            c = "l"
-        low = c.lower() if len(c.lower()) == 1 else unicodedata.normalize("NFD", c.lower())[0]
-        folded.append(low if low in _LEET and k in literal else low.translate(LOOKALIKES))
-    return " ".join("".join(folded).split())
+    if not text.isascii():
+        text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text)).translate(_UNMARKED)
+        text = unicodedata.normalize("NFC", text)
+    return " ".join(_DIGITS.sub(_spell, text).translate(_FOLDED).split())
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array((unicodedata.normalize("NFKC", x.as_py()) if x.is_valid else None for x in texts), pa.string(), size=len(texts))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(T.StringType())
+def _skeleton(texts: pa.Array) -> pa.Array:
+    return pa.array((skeleton_of(x.as_py()) if x.is_valid else None for x in texts), pa.string(), size=len(texts))
 
 
-@F.pandas_udf(T.StringType())
-def _skeleton(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else skeleton_of(x))
+def _where_needed(plain: Column, text: Column, folded: Column, function) -> Column:
+    """``folded`` where a text is ``plain``, else the Arrow function of it. Spark evaluates such a function for every row, so
+    plain texts go to it as nulls."""
+    return F.when(plain, folded).otherwise(function(F.when(~plain, text)))
 
 
 def nfkc(text: Column) -> Column:
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
+    return _where_needed(text.rlike(r"^\p{ASCII}*$"), text, text, _nfkc)
 
 
 def skeleton(text: Column) -> Column:
     """Skeletons; printable ASCII without digits folds by built-in functions, all else by one Arrow function."""
     plain = F.trim(F.regexp_replace(F.lower(F.translate(text, "I$@", "lsa")), r"\s+", " "))
-    return F.when(text.rlike(r"^[\x20-\x2F\x3A-\x7E\t\n\x0B\f\r]*$"), plain).otherwise(_skeleton(text))
+    return _where_needed(text.rlike(r"^[\x20-\x2F\x3A-\x7E\t\n\x0B\f\r]*$"), text, plain, _skeleton)
 
 
 def mask_emails(text: Column) -> Column:
@@ -187,7 +209,9 @@ def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     gate = F.array(*[F.lit(" ".join(_canonical_words(w))) for w in INTEGRATION_WORDS])
     phrases = [" ".join(_canonical_words(p)) for p in COMMUNITY_PHRASES]
     none = F.array().cast("array<string>")
-    distinct = texts.select("text").where(F.col("text").isNotNull()).distinct()
+    # few distinct texts of many rows would be one partition, and one task would match them all
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = texts.select("text").where(F.col("text").isNotNull()).distinct().repartition(parts)
     spelled = distinct.withColumns({"plain": tokenise(skeleton(F.col("text"))), "split": tokenise(skeleton(camel(F.col("text")))), "original": F.split(nfkc(F.col("text")), _SEPARATOR)})
 
     def found(tokens: Column) -> Column:

@@ -357,3 +357,11 @@ def test_log_rows_are_checked_once(spark, tmp_path):
     activity, _, errors, tainted = jsonl.read_events(spark, str(tmp_path))
     assert [len(df.inputFiles()) > 0 and all("checked" in f for f in df.inputFiles()) for df in (activity, errors, tainted)] == [True] * 3
     assert (activity.count(), errors.count(), [r["subject"] for r in tainted.collect()]) == (1, 1, ["s"])
+
+
+def test_skeletons_of_long_texts(spark):
+    """As slow as its characters, not as a step of Python for each; digits spell letters only beside two of them."""
+    assert [skeleton_of(t) for t in ("pay1 a1 1b 12ab 4a4", "Pаypаl 1Iı", "É́ﬁ ②x3y")] == ["payl a1 1b l2ab 4a4", "paypal lll", "efi 2xey"]
+    began = time.process_time()
+    assert len(skeleton_of("naïve prose of words " * 100_000)) == 21 * 100_000 - 1
+    assert time.process_time() - began < 1
