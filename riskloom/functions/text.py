@@ -195,17 +195,43 @@ def _brand_trie(spark: SparkSession, listed: dict):
     return lookup(spark, phrases, _ENTRY, pa.struct([("brand", pa.string()), ("exact", pa.string())]))
 
 
+def _phrases(brands: DataFrame) -> DataFrame:
+    """(run, brand, exact, n) of a table (name, aliases, case_sensitive): its phrases as ``brand_words`` gives those of a list."""
+    names = brands.select("name", F.coalesce("case_sensitive", F.lit(False)).alias("sensitive"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelled"))
+    words = names.withColumn("words", tokenise(skeleton(F.col("spelled")))).where(F.size("words") > 0)
+    exact = F.when(F.col("sensitive") & (F.col("spelled") == F.col("name")), F.col("name"))
+    return words.select(F.array_join("words", " ").alias("run"), F.col("name").alias("brand"), exact.alias("exact"), F.size("words").alias("n")).distinct()
+
+
+def _joined(spelled: DataFrame, brands: DataFrame, readings: tuple[str, ...]) -> DataFrame:
+    """``spelled`` with ``<reading>_entries``, the entries of the table's phrases in it. Runs of the texts' words, of the
+    lengths that phrases have, are joined with the phrases, so that no process holds the list."""
+    phrases = _phrases(brands)
+    lengths = sorted(r["n"] for r in phrases.select("n").distinct().collect())
+    named = {f"{c}_entries": f"array<{_ENTRY}>" for c in readings}
+    if not lengths:
+        return spelled.withColumns({c: F.array().cast(t) for c, t in named.items()})
+    spelled = spelled.withColumn("__key", F.sha2("text", 256))
+    runs = [F.struct(F.lit(f"{c}_entries").alias("reading"), F.array_distinct(F.flatten(F.array(*[_runs(F.col(c), n) for n in lengths]))).alias("runs")) for c in readings]
+    met = spelled.select("__key", F.inline(F.array(*runs))).select("__key", "reading", F.explode("runs").alias("run")).join(phrases.drop("n"), "run")
+    entry = F.struct("brand", "exact").cast(_ENTRY)
+    each = met.groupBy("__key").agg(*[F.collect_set(F.when(F.col("reading") == c, entry)).alias(c) for c in named])
+    return spelled.join(each, "__key", "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in named.items()}).drop("__key")
+
+
 def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     """(text, name_brands, subject_brands, has_integration) for each distinct text of column ``text``.
 
     A text is read as it stands and with camel-case borders as spaces; gates and brands are applied to each reading by
     itself. A text stays one row. Up to ``LITERAL_WORDS`` phrases are literals of the plan, with which the words' runs of
     their lengths are intersected; longer lists are a broadcast trie of checked size, and the plan does not grow with them.
-    ``brands``: as ``BRANDS``, or a table of (name, aliases, case_sensitive).
+    ``brands``: as ``BRANDS``, or a table of (name, aliases, case_sensitive), which may have any length: it is joined.
     """
-    listed = brand_words(listed_brands(brands) if isinstance(brands, DataFrame) else brands)
-    longest = max((w.count(" ") + 1 for w in listed), default=1)
-    entries_of = _brand_trie(texts.sparkSession, listed) if len(listed) > LITERAL_WORDS else _brand_literals(listed, longest)
+    table = isinstance(brands, DataFrame)
+    if not table:
+        listed = brand_words(brands)
+        longest = max((w.count(" ") + 1 for w in listed), default=1)
+        entries_of = _brand_trie(texts.sparkSession, listed) if len(listed) > LITERAL_WORDS else _brand_literals(listed, longest)
     gate = F.array(*[F.lit(" ".join(_canonical_words(w))) for w in INTEGRATION_WORDS])
     phrases = [" ".join(_canonical_words(p)) for p in COMMUNITY_PHRASES]
     none = F.array().cast("array<string>")
@@ -214,8 +240,11 @@ def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
     distinct = texts.select("text").where(F.col("text").isNotNull()).distinct().repartition(parts)
     spelled = distinct.withColumns({"plain": tokenise(skeleton(F.col("text"))), "split": tokenise(skeleton(camel(F.col("text")))), "original": F.split(nfkc(F.col("text")), _SEPARATOR)})
 
-    def found(tokens: Column) -> Column:
-        return F.transform(F.filter(entries_of(tokens), lambda e: e["exact"].isNull() | F.array_contains(F.col("original"), e["exact"])), lambda e: e["brand"])
+    readings = ("plain", "split")
+    spelled = _joined(spelled, brands, readings) if table else spelled.withColumns({f"{c}_entries": entries_of(F.col(c)) for c in readings})
+
+    def found(entries: Column) -> Column:
+        return F.transform(F.filter(entries, lambda e: e["exact"].isNull() | F.array_contains(F.col("original"), e["exact"])), lambda e: e["brand"])
 
     def social(tokens: Column) -> Column:
         line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
@@ -224,8 +253,7 @@ def match_brands(texts: DataFrame, brands=BRANDS) -> DataFrame:
             out = out | line.contains(f" {phrase} ")
         return out
 
-    readings = ("plain", "split")
-    spelled = spelled.withColumns({f"{c}_found": found(F.col(c)) for c in readings})
+    spelled = spelled.withColumns({f"{c}_found": found(F.col(f"{c}_entries")) for c in readings})
     both = lambda closed: F.array_sort(F.array_distinct(F.concat(*[F.when(closed(F.col(c)), none).otherwise(F.col(f"{c}_found")) for c in readings])))
     gated = lambda tokens: F.arrays_overlap(tokens, gate)
     return spelled.select("text", both(gated).alias("name_brands"), both(social).alias("subject_brands"), gated(F.col("plain")).alias("has_integration"))

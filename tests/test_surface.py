@@ -36,6 +36,17 @@ def test_a_trie_finds_what_literals_find(spark, monkeypatch):
     assert sorted(map(tuple, match_brands(texts).collect())) == plain
     table = spark.createDataFrame([(n, list(a), s) for n, a, s in BRANDS], "name string, aliases array<string>, case_sensitive boolean")
     assert sorted(map(tuple, match_brands(texts, table).collect())) == plain
+    assert set(match_brands(texts, table.limit(0)).select(F.size("name_brands")).collect()) == {(0,)}
+
+
+def test_a_table_of_brands_is_not_held(spark, monkeypatch):
+    """A table's phrases stay with Spark: neither the driver nor a worker's trie gets them."""
+    monkeypatch.setattr("riskloom.functions.text.lookup", None)
+    monkeypatch.setattr("riskloom.functions.text.brand_words", None)
+    table = spark.range(1000).select(F.concat(F.lit("Zz"), "id", F.lit("q")).alias("name"), F.array(F.concat_ws(" ", F.lit("alias of"), "id")).alias("aliases"), (F.col("id") == 7).alias("case_sensitive"))
+    texts = spark.createDataFrame([("to Zz5q, alias of 6",), ("to zz7q",), ("to Zz7q",), ("alias of",), ("zz5Q",), ("",)], "text string")
+    got = {r["text"]: r["name_brands"] for r in match_brands(texts, table).collect()}
+    assert got == {"to Zz5q, alias of 6": ["Zz5q", "Zz6q"], "to zz7q": [], "to Zz7q": ["Zz7q"], "alias of": [], "zz5Q": ["Zz5q"], "": []}
 
 
 def test_plans_do_not_grow_with_the_list(spark):
