@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions.scalar import floor_div
-from ..operators.ingest import judge, prepare
+from ..operators.ingest import classify, prepare
 from ..operators.graph import add_edges
 from ..operators.links import link_touches, propagate_dirty
 from ..schema import HOUR_NS
@@ -45,12 +45,14 @@ def ingest(raw: DataFrame, events_path: str, rejects_path: str, checkpoint: str,
             if log is not None:
                 key = ["tenant", "producer", "id"]
                 log = log.select(*key, "body_hash").join(checked.select(*key).distinct(), key, "left_semi")
-            judged = judge(checked.where("reject_code is null"), log)
+            # rows are told apart by narrow columns, once, and only accepted rows move with all that they hold
+            told = classify(checked.where("reject_code is null").select("tenant", "producer", "id", "subject", "body_hash", "received_ns", "seq", "batch"), log).where("outcome <> 'duplicate'").persist()
             refused = checked.where("reject_code is not null").select("tenant", "producer", "id", "subject", F.col("reject_code").alias("code"), "batch")
-            conflicts = judged.where("judged = 'conflict'").select("tenant", "producer", "id", "subject", F.lit("conflict").alias("code"), "batch")
+            conflicts = told.where("outcome = 'conflict'").select("tenant", "producer", "id", "subject", F.lit("conflict").alias("code"), "batch")
             refused.unionByName(conflicts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects_path)
-            accepted = judged.where("judged = 'accepted'").drop("judged", "seq", "reject_code", "backfill")
+            accepted = checked.join(told.where("outcome = 'accepted'").select("seq"), "seq", "left_semi").drop("seq", "reject_code", "backfill")
             accepted.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("tenant", "day").parquet(events_path)
+            told.unpersist()
         finally:
             checked.unpersist()
 

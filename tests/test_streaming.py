@@ -20,6 +20,18 @@ def test_ingest_twice(spark, tmp_path):
     assert sorted((r["id"], r["code"]) for r in spark.read.parquet(str(tmp_path / "rejects")).collect()) == [("1", "conflict"), ("2", "bad_type")]
 
 
+def test_ingest_tells_rows_apart_once_by_narrow_columns(spark, tmp_path, monkeypatch):
+    seen = []
+    real = jobs.classify
+    monkeypatch.setattr(jobs, "classify", lambda events, log: seen.append(events.columns) or real(events, log))
+    rows = raw(spark, {"id": "1", "data": '{"recipient_count": 2}'}, {"id": "1", "data": '{"recipient_count": 2}'}, {"id": "2"})
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    jobs.ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "events"), str(tmp_path / "rejects"), str(tmp_path / "check")).awaitTermination()
+    assert len(seen) == 1 and "data" not in seen[0] and len(seen[0]) < 10
+    logged = spark.read.parquet(str(tmp_path / "events"))
+    assert sorted(r["id"] for r in logged.collect()) == ["1", "2"] and "data" in logged.columns and "seq" not in logged.columns
+
+
 def test_stateful_outcomes(spark, tmp_path):
     kind = "tenant string, producer string, id string, body_hash string, received_ns long, at timestamp"
     at = datetime.datetime(2024, 1, 1)
