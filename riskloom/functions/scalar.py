@@ -24,9 +24,10 @@ def parse_rfc3339(text: Column) -> Column:
     """
     second = F.try_to_timestamp(F.concat(F.substring(text, 1, 19), F.regexp_extract(text, r"(Z|[+-]\d{2}:\d{2})$", 1)), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
     fraction = F.rpad(F.regexp_extract(text, r"\.(\d{1,9})", 1), 9, "0").cast("long")
-    whole = F.unix_seconds(second) * 1_000_000_000
-    at_ns = whole + F.coalesce(fraction, F.lit(0))
-    return F.when(text.rlike(RFC3339) & second.isNotNull(), F.struct(F.timestamp_micros(floor_div(at_ns, 1000)).alias("at"), at_ns.alias("at_ns"), text.rlike(r"(?:Z|[+-]00:00)$").alias("utc")))
+    at_ns = F.unix_seconds(second) * 1_000_000_000 + F.coalesce(fraction, F.lit(0))
+    read = F.array(F.when(text.rlike(RFC3339), at_ns))  # read once, as a variable: each use of an expression works it out again
+    named = lambda ns: F.when(ns.isNotNull(), F.struct(F.timestamp_micros(floor_div(ns, 1000)).alias("at"), ns.alias("at_ns"), text.rlike(r"(?:Z|[+-]00:00)$").alias("utc")))
+    return F.get(F.transform(read, named), F.lit(0))
 
 
 def sha_bucket(value: Column, buckets: int = 100) -> Column:

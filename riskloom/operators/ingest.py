@@ -53,14 +53,17 @@ def structural_code(now_ns: Column | None = None, instant: Column | None = None)
     )
 
 
-def leaks(data: Column, kind: Column) -> Column:
-    """Does any key or string of the JSON hold a control character, or an e-mail address outside a sent subject line?"""
-    plain = F.to_json(F.try_parse_json(data))
-    controls = F.regexp_replace(plain, r"\\\\", "").rlike(r"\\(?:u00(?:[01][0-9a-f]|7f|[89][0-9a-f])|[bfnrt])") | plain.rlike(CONTROL)
-    line = F.to_json(F.try_variant_get(F.try_parse_json(data), "$.subject_line", "variant"))
-    exempt = F.coalesce(F.replace(plain, F.concat(F.lit('"subject_line":'), line), F.lit('"subject_line":""')), plain)
-    scanned = F.when(kind == "content.sent", exempt).otherwise(plain)
-    return controls | F.coalesce(nfkc(scanned).rlike(EMAIL), F.lit(False))
+def with_leaks(parsed: DataFrame) -> DataFrame:
+    """``__leak``: does any key or string of the JSON in ``__v`` hold a control character, or an e-mail address outside a sent
+    subject line? Each form of the text is named before it is looked at, so it is made once."""
+    line = F.to_json(F.try_variant_get("__v", "$.subject_line", "variant"))
+    exempt = F.coalesce(F.replace("__plain", F.concat(F.lit('"subject_line":'), "__line"), F.lit('"subject_line":""')), F.col("__plain"))
+    rows = parsed.withColumn("__plain", F.to_json("__v")).withColumn("__line", F.when(F.col("type") == "content.sent", line))
+    rows = rows.withColumn("__scanned", F.when(F.col("type") == "content.sent", exempt).otherwise(F.col("__plain")))
+    rows = rows.withColumn("__folded", nfkc(F.col("__scanned")))
+    controls = F.regexp_replace("__plain", r"\\\\", "").rlike(r"\\(?:u00(?:[01][0-9a-f]|7f|[89][0-9a-f])|[bfnrt])") | F.col("__plain").rlike(CONTROL)
+    found = controls | F.coalesce(F.col("__folded").rlike(EMAIL), F.lit(False))
+    return rows.withColumn("__leak", F.col("__v").isNull() | F.coalesce(found, F.lit(False))).drop("__plain", "__line", "__scanned", "__folded")
 
 
 def redact(raw: DataFrame, null_is_absent: bool = False) -> DataFrame:
@@ -72,7 +75,7 @@ def redact(raw: DataFrame, null_is_absent: bool = False) -> DataFrame:
     if "reject_code" not in raw.columns:
         raw = raw.withColumn("reject_code", F.lit(None).cast("string"))
     parsed = raw.withColumn("__v", F.try_parse_json(F.coalesce(F.col("data"), F.lit("{}"))))
-    parsed = parsed.withColumn("__leak", F.col("__v").isNull() | F.coalesce(leaks(F.col("data"), F.col("type")), F.lit(False)))
+    parsed = with_leaks(parsed)
     seen = {f"__t_{name}": F.when(_of_type(name), F.expr(f"schema_of_variant(variant_get(__v, '$.{name}', 'variant'))")) for name in _SPECS}
     typed = {name: F.when(_of_type(name), F.try_variant_get(F.col("__v"), f"$.{name}", DATA_TYPES[name].simpleString())) for name in _SPECS}
     out = parsed.withColumns(seen | typed)

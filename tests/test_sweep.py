@@ -207,6 +207,30 @@ def test_ingest_by_state_needs_no_log(spark, tmp_path):
     assert ids("rejects0", "id", "code") == [("2", "bad_type")] and ids("rejects1", "id", "code") == [("1", "conflict")]
 
 
+@pytest.mark.parametrize(("ttl", "operator"), [(None, "stateStoreSave"), (3_600_000, "applyInPandasWithState")])
+def test_ingest_by_state_tells_ids_by_an_aggregate(spark, tmp_path, ttl, operator):
+    """An id's earliest row of its first batch names the hash, whatever comes later; without expiry no id is a call of Python."""
+    from test_library import raw
+
+    now = raw(spark, {}).first()["received_ns"]
+    row = lambda id_, n, late=0, **more: {"id": id_, "data": f'{{"recipient_count": {n}}}', "received_ns": now + late, **more}
+    parts = [
+        [row("1", 3, 5), row("1", 2, 1), row("1", 2, 9), row("2", 1), row("2", 1), *[row("", 1)] * 4, row("5", 1, type="Bad")],
+        [row("1", 3, 0), row("1", 2, 0), row("1", 3, 2), row("2", 1, -5), row("4", 7, 3), row("4", 6, 2), row("5", 2), row("", 1)],
+    ]
+    for part in parts:
+        raw(spark, *part).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        with stateful.with_state_store(spark):
+            query = stateful.ingest(spark.readStream.schema(raw(spark, {}).schema).parquet(str(tmp_path / "in")), str(tmp_path / "events"), str(tmp_path / "rejects"), str(tmp_path / "state"), ttl_ms=ttl)
+            assert query.awaitTermination(200)
+        assert operator in [o["operatorName"] for o in query.lastProgress["stateOperators"]]
+    events, rejects = spark.read.parquet(str(tmp_path / "events")), spark.read.parquet(str(tmp_path / "rejects"))
+    assert sorted((r["id"], r["recipient_count"], r["batch"]) for r in events.collect()) == [("1", 2.0, 0), ("2", 1.0, 0), ("4", 6.0, 1), ("5", 2.0, 1)]
+    assert not {"first", "seen", "batch_at", "judged"} & set(events.columns)
+    got = sorted((r["id"], r["code"], r["batch"]) for r in rejects.collect())
+    assert got == sorted([("1", "conflict", 0), *[("", "bad_id", 0)] * 4, ("5", "bad_type", 0), *[("1", "conflict", 1)] * 2, ("4", "conflict", 1), ("", "bad_id", 1)])
+
+
 def test_the_log_keeps_a_payments_outcome(spark, tmp_path):
     from test_library import raw
 
