@@ -151,6 +151,34 @@ def test_velocity_of_late_events(spark, tmp_path):
     assert sorted((r[3], r[5], r[6]) for r in got) == [("1", 0, 2), ("2", 1, 2), ("3", 1, 302), ("4", 0, 2), ("5", 1, 302)]
 
 
+def test_a_replay_holds_one_step_on_disk(spark, monkeypatch):
+    """Of the steps' tables only the last stays, and nothing of what they shuffled; evidence in passes is the same, and so is
+    the verdict of two equal rules."""
+    import glob
+    import os
+    from dataclasses import replace
+
+    from riskloom.plans import risk
+    from riskloom.schema import NEW_ACCOUNT_RULE
+    from riskloom.sources import shared
+
+    rng = random.Random(4)
+    rows = [r | {"email_hash": rng.choice("ab"), "device_hash": rng.choice(["d", None])} for r in random_log(rng, 5, 8)]
+    rows += [event(START + 3 * DAY_NS, "subject.deleted", subject="s1", id="gone", mode="permanent"), event(START + DAY_NS, "label", subject="s2", id="told", label="abusive")]
+    log = frame(spark, rows)
+    shuffled = lambda: set(glob.glob(spark.sparkContext.getConf().get("spark.local.dir") + "/**/shuffle_*.data", recursive=True))
+    shared._WRITTEN.clear()
+    setting, before = spark.conf.get(shared._CLEANUP, None), shuffled()
+    replayed = risk.risk_of_replay(log)
+    assert not shuffled() - before and spark.conf.get(shared._CLEANUP, None) == setting
+    assert [p.rsplit("/", 1)[1] for p in shared._WRITTEN if os.path.exists(p.removeprefix("file:"))] == ["replayed"]
+    got = rows_of(replayed.drop("signals"))
+    assert len(got) > len(rows) and replayed.where(f"{column('core.linked_deleted_n')} > 0 and {column('core.linked_labelled_abusive_n')} > 0").count()
+    monkeypatch.setattr(risk, "EVIDENCE_POINTS", len(got) // 2)
+    assert rows_of(risk.risk_of_replay(log).drop("signals")) == got
+    assert rows_of(risk.risk_of_replay(log, [NEW_ACCOUNT_RULE, replace(NEW_ACCOUNT_RULE, name="other")]).drop("signals")) == got
+
+
 # --- components batch by batch ---
 
 
